@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import html_text, language, sharding, url_filter
+from tidelake.llm import html_text, language, packing, sharding, url_filter
 from tidelake.llm.common import table
 
 
@@ -35,6 +36,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return packing.assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dated captures from `pages`, and list changes for their hosts and domains, dated by digests of the names."""
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
 }
 
