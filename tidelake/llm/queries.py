@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import html_text, language, packing, sharding, url_filter
+from tidelake.llm import html_text, language, packing, secrets, sharding, url_filter
 from tidelake.llm.common import table
 
 
@@ -42,6 +42,22 @@ def op4_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return packing.assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.digest(F.concat("base", "linked")).alias("spans"),
+    )
+
+
 def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dated captures from `pages`, and list changes for their hosts and domains, dated by digests of the names."""
 
@@ -101,14 +117,48 @@ m AS (
 SELECT page_id, url, fetched_on, host, entry IS NOT NULL AS blocked, entry, category, valid_from, valid_to FROM m WHERE rn = 1
 """
 
+#: Kind, its rank, its pattern for DuckDB and which matches count.
+_DUCK_KINDS = (
+    (0, r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)""", "len(regexp_extract(m, {p}, 2)) >= 6"),
+    (1, "AKIA[A-Z0-9]{16,}", "true"),
+    (2, "[0-9a-f]{24,}", "true"),
+    (3, "[A-Za-z0-9/+]{40,}", "len(m) = 40"),
+    (4, r"""https?://[^\s"''<>]+""", "true"),
+)
+_DUCK_PARTS = " UNION ALL ".join(
+    f"""SELECT doc_id, {rank} AS rank, x.start AS start, len(x.m) AS n, {keep.format(p=f"'{pattern}'").replace("(m", "(x.m")} AS ok
+    FROM (SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1), lambda i: struct_pack(
+        m := ms[i], start := list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda y: len(y))), 0)))) AS x
+      FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS gs FROM d))"""
+    for rank, pattern, keep in _DUCK_KINDS
+)
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, rank, start::BIGINT AS start, start::BIGINT + n AS stop FROM ({_DUCK_PARTS}) WHERE ok),
+w AS (
+  SELECT c.* FROM a c WHERE c.rank IN (3, 4)
+    AND EXISTS (FROM a WHERE a.doc_id = c.doc_id AND a.rank = 1 AND a.stop >= c.start - 400 AND a.start <= c.stop + 400)
+    AND (c.rank = 3 OR EXISTS (FROM a WHERE a.doc_id = c.doc_id AND a.rank IN (0, 3) AND a.stop >= c.start - 400 AND a.start <= c.stop + 400))),
+s AS (
+  SELECT doc_id, rank, start, stop, (['assign', 'access', 'hex', 'secret', 'endpoint'])[rank + 1] || ':' || start || ':' || stop AS one
+  FROM (FROM a WHERE rank < 3 UNION ALL FROM w))
+SELECT doc_id,
+  count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(one, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(one, ',' ORDER BY start, rank) FILTER (one IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
     "op8_url_filter": op8_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_secrets": OP5_SQL,
     "op8_url_filter": OP8_SQL,
 }
