@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import html_text, language, packing, secrets, sharding, url_filter
+from tidelake.llm import decontaminate, html_text, language, packing, secrets, sharding, url_filter
 from tidelake.llm.common import table
 
 
@@ -58,6 +58,24 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i USING (s) WHERE d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_shared::INT AS n_shared, n_item::INT AS n_item, n_shared::DOUBLE / n_item AS containment
+FROM p JOIN n ON n.id = item_id WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
+"""
+
+
 def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dated captures from `pages`, and list changes for their hosts and domains, dated by digests of the names."""
 
@@ -155,10 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_decontamination": op6_decontamination,
     "op8_url_filter": op8_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_secrets": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
     "op8_url_filter": OP8_SQL,
 }
