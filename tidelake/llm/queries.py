@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, html_text, language, packing, secrets, sharding, url_filter
+from tidelake.llm import decontaminate, html_text, language, line_dedup, packing, secrets, sharding, url_filter
 from tidelake.llm.common import table
 
 
@@ -76,6 +76,11 @@ FROM p JOIN n ON n.id = item_id WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dated captures from `pages`, and list changes for their hosts and domains, dated by digests of the names."""
 
@@ -175,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_url_filter": op8_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
