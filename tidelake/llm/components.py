@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return ends.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def link(classes: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) between classes (id, bands) that share a band.
+
+    `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all pairs, large ones a star. A large
+    bucket whose star leaves some member unlinked goes on, whole, in the narrower buckets of two shared bands.
+    """
+    pairs, large = bucket_pairs(classes.select(F.explode("bands").alias("key"), "id").distinct())
+    first = durable(pairs)
+    found = durable(verify(first))
+    unlike = large.where(F.col("id") != F.col("lead")).join(found, (F.col("lead") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti")
+    wider = large.join(unlike.select("key").distinct(), "key", "left_semi").select("key", "id").join(classes.select("id", "bands"), "id")
+    other = wider.select(F.col("key"), "id", F.explode(F.filter("bands", lambda x: x != F.col("key"))).alias("other"))
+    second, _ = bucket_pairs(other.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct())
+    rest = durable(second.join(first, ["a", "b"], "left_anti"))
+    return found.union(verify(rest)) if rest.count() else found

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, html_text, language, line_dedup, packing, secrets, sharding, url_filter
+from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter
 from tidelake.llm.common import table
 
 
@@ -81,6 +81,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dated captures from `pages`, and list changes for their hosts and domains, dated by digests of the names."""
 
@@ -179,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
