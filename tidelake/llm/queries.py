@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter
+from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup
 from tidelake.llm.common import table
 
 
@@ -76,6 +76,10 @@ FROM p JOIN n ON n.id = item_id WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
 """
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
@@ -186,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
 }
 
