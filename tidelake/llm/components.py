@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import durable
 
-SMALL_BUCKET = 12
+SMALL_BUCKET = 6
+#: Edges are few rows: so many make a task, whatever the number of shuffle partitions.
+EDGES_PER_TASK = 100_000
 
 
 def bucket_pairs(keys: DataFrame, small: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -39,18 +42,23 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = durable(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = F.count("*"), F.bit_xor(F.xxhash64("a", "b"))
     before = now.agg(*mark).first()
-    for _ in range(rounds):
-        if not before[0]:
+    still = 0
+    for step in range(2 * rounds):
+        if still == 2 or not before[0]:
             break
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = durable(both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        met = large.join(low, F.col("a") == F.col("u"))
-        now = durable(low.select(F.col("u").alias("a"), F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        tasks = max(1, math.ceil(before[0] / EDGES_PER_TASK))
+        now = now.coalesce(tasks)
+        if step % 2 == 0:  # large star
+            both = now.union(now.select("b", "a"))
+            least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).coalesce(tasks).select("u", F.least("u", "m").alias("m"))
+            moved = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:  # small star
+            least = now.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).coalesce(tasks)
+            met = now.join(least, F.col("a") == F.col("u"))
+            moved = least.select(F.col("u").alias("a"), F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = durable(moved.coalesce(tasks).distinct().coalesce(tasks))
         after = now.agg(*mark).first()
-        if after == before:
-            break
+        still = still + 1 if after == before else 0
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
