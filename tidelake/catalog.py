@@ -1,4 +1,462 @@
-"""Registered queries of the lake operators."""
+"""Registered queries of the lake operators over the given tables, and DuckDB SQL to hold them against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelake import datasets as D
+from tidelake.functions import scalars as S
+from tidelake.functions import schemas
+from tidelake.operators import compact, frontier, migrate, outcomes, quality, resample, scope, score
+from tidelake.plans import ingest
+from tidelake.sources import chunks, files
+from tidelake.streaming import jobs
+from tidelake.workspace import scratch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL that may use the views of `datasets.SQL`."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH {D.SQL.strip()}{sql if sql.startswith(',') else ' ' + sql}"
+        return f
+
+    return add
+
+
+@query(D.bars_sql("ticks", 900_000))
+def resample_m15(spark, d):
+    return D.tick_bars(spark, d, 900_000)
+
+
+@query(D.bars_sql("ticks", 14_400_000))
+def resample_h4(spark, d):
+    return D.tick_bars(spark, d, 14_400_000)
+
+
+@query(D.bars_sql("ticks", 14_400_000))
+def resample_h4_from_m1(spark, d):
+    return resample.resample(D.tick_bars(spark, d, 60_000), 14_400_000)
+
+
+@query("""SELECT 'P' || (l_partkey % 20) AS symbol, epoch_ms(l_shipdate) - epoch_ms(l_shipdate) % 86400000 AS timestamp,
+  arg_min(round_even(l_extendedprice * 100, 0)::INT, (epoch_ms(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open, max(round_even(l_extendedprice * 100, 0)::INT) AS high,
+  min(round_even(l_extendedprice * 100, 0)::INT) AS low, arg_max(round_even(l_extendedprice * 100, 0)::INT, (epoch_ms(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close,
+  sum(l_quantity)::FLOAT AS volume FROM lineitem GROUP BY ALL""")
+def bars_daily(spark, d):
+    return resample.resample(D.daily_rows(spark, d), 86_400_000, order=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+LAST = "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp ORDER BY seq DESC) AS rn FROM dup_ticks) WHERE rn = 1"
+
+
+@query(LAST)
+def dedup_last(spark, d):
+    return compact.dedup_last(D.dup_ticks(spark, d))
+
+
+@query(f"SELECT symbol, timestamp, bid AS open, seq FROM ({LAST})")
+def compact_bars(spark, d):
+    rows = D.dup_ticks(spark, d).select("symbol", "timestamp", F.col("bid").alias("open"), "seq")
+    middle = rows.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    return compact.merge(rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle))
+
+
+@query(LAST)
+def compact_ticks(spark, d):
+    """Two halves by `seq` go into a month-partitioned table one after the other."""
+    rows = compact.with_month(D.dup_ticks(spark, d))
+    lake, middle = scratch(spark, "lake"), rows.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    compact.compact(lake, rows.where(F.col("seq") <= middle))
+    return compact.compact(lake, rows.where(F.col("seq") > middle)).drop("month")
+
+
+@query("SELECT seq, bid AS scaled, bid AS back FROM ticks")
+def scale_roundtrip(spark, d):
+    t = D.ticks(spark, d)
+    price = S.unscale_price(F.col("bid"), F.lit(100))
+    return t.select("seq", S.scale_price(F.col("bid").cast("double") / 100, F.lit(100)).alias("scaled"), S.scale_price(price, F.lit(100)).alias("back"))
+
+
+@query("""SELECT seq, timestamp AS from_text, timestamp AS from_plain, timestamp AS from_int, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d %H:%M:%S.%g+00:00') AS iso,
+  year(make_timestamp(timestamp * 1000))::INT AS y FROM ticks""")
+def ms_iso(spark, d):
+    t = D.ticks(spark, d).withColumn("iso", S.iso_ms(F.col("timestamp")))
+    return t.select("seq", S.to_ms(F.col("iso")).alias("from_text"), S.to_ms(F.substring("iso", 1, 23)).alias("from_plain"), S.to_ms(F.col("timestamp").cast("string")).alias("from_int"), "iso", F.year(F.timestamp_millis("timestamp")).alias("y"))
+
+
+@query("""SELECT c.c_custkey, coalesce(nullif(c.c_custkey % 3 * 10, 0), i.decimal_factor, 100000)::INT AS decimal_factor
+  FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3 LEFT JOIN instruments i ON i.symbol = upper(n.n_name)""")
+def factor_resolve(spark, d):
+    dim = D.table(spark, d, "nation").where("n_regionkey < 3").join(D.instruments(spark, d), F.upper("n_name") == F.col("symbol")).select("n_nationkey", F.col("decimal_factor").alias("f"))
+    c = D.table(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return c.select("c_custkey", S.resolve_factor((F.col("c_custkey") % 3 * 10).cast("int"), F.col("f")).alias("decimal_factor"))
+
+
+STARTS = """s AS (
+  SELECT i.symbol, t.timeframe, i.decimal_factor, coalesce(c.last_date + 1, greatest(h.history, date '2023-12-25')) AS start
+  FROM instruments i, (VALUES ('tick'), ('m15'), ('h1'), ('h4')) t(timeframe),
+    LATERAL (SELECT CASE t.timeframe WHEN 'tick' THEN i.start_tick WHEN 'm15' THEN i.start_m1 ELSE i.start_h1 END AS history) h
+  LEFT JOIN checkpoints c ON c.symbol = i.symbol AND c.timeframe = t.timeframe WHERE h.history IS NOT NULL)"""
+AS_OF = F.lit(D.AS_OF).cast("date")
+
+
+def _plan(spark, d, frames, **options):
+    return ingest.build_plan(D.instruments(spark, d), frames, D.checkpoints(spark, d), AS_OF, F.lit("2023-12-25").cast("date"), **options)
+
+
+DAILY = "SELECT symbol, timeframe, unnest(generate_series(start, date '2024-01-31', INTERVAL 1 DAY))::DATE AS dt, decimal_factor FROM s WHERE timeframe IN ('tick', 'm15') AND start <= date '2024-01-31'"
+MONTHLY = "SELECT symbol, timeframe, unnest(generate_series({first}, date '2024-01-31', INTERVAL 1 MONTH))::DATE AS dt, decimal_factor FROM s WHERE timeframe IN ('h1', 'h4') AND start <= date '2024-01-31'"
+FIRST = "CASE WHEN day(start) = 1 THEN start ELSE (date_trunc('month', start) + INTERVAL 1 MONTH)::DATE END"
+
+
+@query(f", {STARTS} {DAILY}")
+def plan_daily(spark, d):
+    return _plan(spark, d, ["tick", "m15"])
+
+
+@query(f", {STARTS} {MONTHLY.format(first=FIRST)}")
+def plan_monthly(spark, d):
+    return _plan(spark, d, ["h1", "h4"])
+
+
+@query(f", {STARTS} {MONTHLY.format(first="date_trunc('month', start)::DATE")}")
+def plan_overlap(spark, d):
+    return _plan(spark, d, ["h1", "h4"], partial_first_month=True)
+
+
+@query(f""", {STARTS}, p AS ({DAILY} UNION ALL {MONTHLY.format(first=FIRST)}),
+  q AS (SELECT symbol, CASE timeframe WHEN 'm15' THEN 'm1' WHEN 'h4' THEN 'h1' ELSE timeframe END AS prim, dt, unnest(CASE WHEN timeframe = 'tick' THEN range(24) ELSE [NULL] END)::INT AS hour FROM p)
+  SELECT DISTINCT symbol, prim AS "primitive", dt, hour, CASE prim
+    WHEN 'tick' THEN printf('%s/%d/%02d/%02d/%02dh_ticks', symbol, year(dt), month(dt) - 1, day(dt), hour)
+    WHEN 'm1' THEN printf('%s/%d/%02d/%02d/minute_bars', symbol, year(dt), month(dt) - 1, day(dt))
+    ELSE printf('%s/%d/%02d/hour_bars', symbol, year(dt), month(dt) - 1) END AS key FROM q""")
+def plan_chunks(spark, d):
+    return ingest.chunk_keys(_plan(spark, d, ["tick", "m15", "h1", "h4"]))
+
+
+@query("""SELECT n.n_name AS symbol, t.timeframe, t.dt::DATE AS dt FROM nation n, (
+  SELECT 'h1' AS timeframe, unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 MONTH)) AS dt UNION ALL
+  SELECT 'm1', unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 DAY))) t""")
+def workload_years(spark, d):
+    return ingest.workload(spark.range(2022, 2024).select(F.col("id").cast("int").alias("year")), D.table(spark, d, "nation").select(F.col("n_name").alias("symbol")))
+
+
+KNOWN = "k AS (SELECT p.*, coalesce(o.ok, false) AS ok FROM user_plan p LEFT JOIN user_outcomes o USING (symbol, timeframe, dt))"
+
+
+@query(f""", {KNOWN}, s AS (SELECT symbol, timeframe, min(dt) FILTER (NOT ok) AS bad, max(dt) AS last, min(dt) AS first FROM k GROUP BY ALL)
+  SELECT s.symbol, s.timeframe, greatest(CASE WHEN bad IS NULL THEN last WHEN bad > first THEN bad - 1 END, c.last_date) AS last_date FROM s LEFT JOIN user_checkpoints c USING (symbol, timeframe)""")
+def frontier_daily(spark, d):
+    return frontier.frontier(D.user_plan(spark, d), D.user_outcomes(spark, d), D.user_checkpoints(spark, d))
+
+
+@query(""", p AS (SELECT 'C' || (o_custkey % 50) AS symbol, 'h1' AS timeframe, date_trunc('month', o_orderdate)::DATE AS dt, bool_or(o_orderstatus <> 'P') AS ok FROM orders GROUP BY ALL),
+  f AS (SELECT symbol, timeframe, min(dt) AS lo, max(dt) AS hi FROM p GROUP BY ALL),
+  m AS (SELECT symbol, timeframe, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS dt FROM f),
+  k AS (SELECT m.*, coalesce(p.ok, false) AS ok FROM m LEFT JOIN p USING (symbol, timeframe, dt) WHERE last_day(m.dt) < date '1998-06-15'),
+  s AS (SELECT symbol, timeframe, min(dt) FILTER (NOT ok) AS bad, max(dt) AS last, min(dt) AS first FROM k GROUP BY ALL)
+  SELECT symbol, timeframe, CASE WHEN bad IS NULL THEN last_day(last) WHEN bad > first THEN bad - 1 END AS last_date FROM s""")
+def frontier_monthly(spark, d):
+    """Customers' order months as monthly chunks."""
+    o = D.table(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey") % 50).alias("symbol"), F.lit("h1").alias("timeframe"), F.trunc(F.to_date("o_orderdate"), "MM").alias("dt"), (F.col("o_orderstatus") != "P").alias("ok"))
+    done = o.groupBy("symbol", "timeframe", "dt").agg(F.max("ok").alias("ok"))
+    plan = done.groupBy("symbol", "timeframe").agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).select("symbol", "timeframe", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("dt"))
+    none = D.checkpoints(spark, d).limit(0)
+    return frontier.monthly_frontier(plan, done, none, F.lit("1998-06-15").cast("date"))
+
+
+@query("""SELECT symbol, timeframe, prev AS gap_after, dt AS gap_before, (dt - prev - 1)::INT AS missing
+  FROM (SELECT *, lag(dt) OVER (PARTITION BY symbol, timeframe ORDER BY dt) AS prev FROM user_outcomes WHERE ok) WHERE dt - prev > 1""")
+def gap_list(spark, d):
+    return frontier.gaps(D.user_outcomes(spark, d).where("ok"))
+
+
+@query("SELECT p.* FROM user_plan p LEFT JOIN user_checkpoints c USING (symbol, timeframe) WHERE c.last_date IS NULL OR p.dt > c.last_date")
+def remaining_work(spark, d):
+    return frontier.remaining(D.user_plan(spark, d), D.user_checkpoints(spark, d))
+
+
+@query("SELECT symbol, min(year(last_date))::INT AS first_year, count(*) AS n FROM checkpoints GROUP BY symbol")
+def checkpoint_first_year(spark, d):
+    return frontier.progress(D.checkpoints(spark, d))
+
+
+@query("SELECT 'U' || user_id AS symbol, event_type AS timeframe, arg_max(ts::DATE, event_id) AS last_date, max(event_id) AS version FROM events GROUP BY ALL")
+def checkpoint_upsert(spark, d):
+    rows = D.events(spark, d).select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("event_type").alias("timeframe"), F.to_date("ts").alias("last_date"), F.col("event_id").alias("version"))
+    odd = F.col("version") % 2 == 1
+    return frontier.upsert(frontier.upsert(rows.where(~odd), rows.where("false")), rows.where(odd))
+
+
+@query("SELECT * FROM checkpoints")
+def checkpoint_json(spark, d):
+    per = D.checkpoints(spark, d).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("timeframe", F.col("last_date").cast("string")))).alias("m"))
+    text = per.select(F.to_json(F.map_from_arrays(F.array("symbol", F.lit("_session")), F.array("m", F.create_map(F.lit("paused"), F.lit("false"))))).alias("value"))
+    return files.parse_checkpoints(text)
+
+
+@query(""", a AS (SELECT user_id, dt, count(*) FILTER (status = 200) AS n_ok, count(*) FILTER (status = 404) AS n_absent, count(*) FILTER (status NOT IN (200, 404)) AS n_error,
+    arg_min(bytes, (ms, event_id)) FILTER (status = 200) AS b FROM attempts GROUP BY ALL)
+  SELECT user_id, dt, CASE WHEN n_ok > 0 AND b > 0 THEN 'data' WHEN n_ok > 0 THEN 'empty' WHEN n_absent > 2 OR n_error = 0 THEN 'absent' ELSE 'failed' END AS outcome, n_absent, n_error FROM a""")
+def fetch_outcomes(spark, d):
+    return outcomes.resolve_outcomes(D.attempts(spark, d), ["user_id", "dt"], ["ms", "event_id"])
+
+
+@query("""SELECT dt, count(*) AS attempted, count(*) FILTER (status = 200 AND bytes > 0) AS n_data, count(*) FILTER (status = 404 OR status = 200 AND bytes = 0) AS n_none,
+  count(*) FILTER (status NOT IN (200, 404)) AS n_error, sum(bytes)::BIGINT AS bytes_total FROM attempts GROUP BY dt""")
+def fetch_tallies(spark, d):
+    return outcomes.tallies(D.attempts(spark, d), ["dt"])
+
+
+@query("SELECT user_id, count(*) FILTER (contains(message, 'retry')) AS retries, count(*) FILTER (contains(message, '404')) AS rechecks FROM attempts GROUP BY user_id")
+def retry_counts(spark, d):
+    return outcomes.log_counters(D.attempts(spark, d), ["user_id"])
+
+
+CHUNK = ["user_id", "dt"]
+
+
+@query("SELECT DISTINCT user_id, dt FROM runs WHERE had_data")
+def ground_truth(spark, d):
+    return score.ground_truth(D.runs(spark, d), CHUNK)
+
+
+@query("""SELECT t.user_id, t.dt, s.system FROM (SELECT DISTINCT user_id, dt FROM runs WHERE had_data) t, (SELECT DISTINCT system FROM runs) s
+  EXCEPT SELECT user_id, dt, system FROM runs WHERE had_data""")
+def silent_gaps(spark, d):
+    return score.silent_gaps(D.runs(spark, d), CHUNK)
+
+
+BOARD = """g AS (SELECT {keys}, count(*) AS attempted, count(*) FILTER (had_data) AS n_ok, count(*) FILTER (failed) AS n_error, sum(wall_ms)::BIGINT AS wall_ms,
+    count(DISTINCT (user_id, dt)) FILTER (had_data) AS hit FROM runs GROUP BY {keys}),
+  t AS (SELECT count(*) AS n_truth FROM (SELECT DISTINCT user_id, dt FROM runs WHERE had_data)),
+  b AS (SELECT {keys}, attempted, n_ok, n_error, wall_ms, hit / greatest(n_truth, 1) AS completeness, n_truth - hit AS gaps, n_error / attempted AS instability, attempted * 1000 / wall_ms AS throughput FROM g, t)"""
+
+
+@query(f", {BOARD.format(keys='system, workload')} SELECT * FROM b")
+def scoreboard(spark, d):
+    return score.scoreboard(D.runs(spark, d), CHUNK, ["system", "workload"])
+
+
+VERDICT = """v AS (SELECT system, sum(attempted)::BIGINT AS attempted, sum(n_ok)::BIGINT AS n_ok, sum(n_error)::BIGINT AS n_error, sum(wall_ms)::BIGINT AS wall_ms, sum(gaps)::BIGINT AS gaps,
+  avg(completeness) AS completeness, avg(instability) AS instability, avg(throughput) AS throughput FROM b GROUP BY system)"""
+
+
+@query(f", {BOARD.format(keys='system, workload')}, {VERDICT} SELECT * FROM v")
+def verdict(spark, d):
+    return score.verdict(scoreboard(spark, d))
+
+
+@query(f", {BOARD.format(keys='system, workload')}, {VERDICT} SELECT *, row_number() OVER (ORDER BY round(completeness, 6) DESC, gaps, round(instability, 6), throughput DESC, system)::INT AS rank FROM v")
+def ranking(spark, d):
+    return score.rank(verdict(spark, d))
+
+
+@query("SELECT system, user_id, dt FROM runs WHERE had_data INTERSECT SELECT 'sys0', user_id, dt FROM runs WHERE had_data AND system = 'sys0'")
+def hits_in_truth(spark, d):
+    r = D.runs(spark, d).where("had_data").select("system", "user_id", "dt")
+    return r.intersect(r.where("system = 'sys0'"))
+
+
+@query("SELECT symbol, count(*) AS n, count(*) FILTER (timestamp % 900000 <> 0) AS misaligned FROM (SELECT symbol, CASE WHEN seq % 10 = 0 THEN timestamp ELSE timestamp - timestamp % 900000 END AS timestamp FROM ticks) GROUP BY symbol")
+def quality_alignment(spark, d):
+    t = D.ticks(spark, d)
+    return quality.alignment(t.withColumn("timestamp", F.when(F.col("seq") % 10 == 0, F.col("timestamp")).otherwise(F.col("timestamp") - F.col("timestamp") % 900_000)), 900_000, ["symbol"])
+
+
+@query("""SELECT symbol, min(ask) AS min_ask, max(ask) AS max_ask, count(*) FILTER (ask <= 0) AS nonpositive_ask, count(*) FILTER (ask NOT BETWEEN 100 AND 40000) AS outside_ask,
+  min(bid) AS min_bid, max(bid) AS max_bid, count(*) FILTER (bid <= 0) AS nonpositive_bid, count(*) FILTER (bid NOT BETWEEN 100 AND 40000) AS outside_bid, count(*) FILTER (bid_vol < 0) AS negative_bid_vol FROM ticks GROUP BY symbol""")
+def quality_ranges(spark, d):
+    return quality.ranges(D.ticks(spark, d), ["ask", "bid"], ["bid_vol"], ["symbol"], 100, 40_000)
+
+
+@query("SELECT symbol, count(*) AS n, count(*) FILTER (ask < bid) AS crossed, min(ask - bid) AS min_spread, max(ask - bid) AS max_spread FROM (SELECT symbol, bid, CASE WHEN seq % 11 = 0 THEN bid - 1 ELSE ask END AS ask FROM ticks) GROUP BY symbol")
+def quality_spread(spark, d):
+    t = D.ticks(spark, d).withColumn("ask", F.when(F.col("seq") % 11 == 0, F.col("bid") - 1).otherwise(F.col("ask")))
+    return quality.spread(t, ["symbol"])
+
+
+@query("""SELECT symbol, count(*) FILTER (timestamp < prev) AS inversions, min(place) FILTER (timestamp < prev) AS first_at FROM (
+  SELECT symbol, timestamp, place, lag(timestamp) OVER (PARTITION BY symbol ORDER BY place) AS prev FROM (SELECT symbol, timestamp, seq // 10 * 10 + (7 * seq) % 10 AS place FROM ticks)) GROUP BY symbol""")
+def quality_order(spark, d):
+    t = D.ticks(spark, d).withColumn("place", F.expr("seq div 10 * 10 + (7 * seq) % 10"))
+    return quality.order(t, ["symbol"], "place")
+
+
+@query(f""", f AS ({D.bars_sql('ticks', 900_000)}), c AS ({D.bars_sql('ticks', 14_400_000)}),
+  x AS (SELECT symbol, count(*) AS n_fine, min(timestamp) AS from_fine, max(timestamp) AS to_fine FROM f GROUP BY symbol), y AS (SELECT symbol, count(*) AS n_coarse, min(timestamp) AS from_coarse, max(timestamp) AS to_coarse FROM c GROUP BY symbol)
+  SELECT *, n_fine >= n_coarse AND from_coarse <= from_fine AND to_coarse <= to_fine AS ok FROM x FULL JOIN y USING (symbol)""")
+def quality_cross_tf(spark, d):
+    return quality.cross_timeframe(D.tick_bars(spark, d, 900_000), D.tick_bars(spark, d, 14_400_000), ["symbol"])
+
+
+@query("""SELECT symbol, 'ask out of range' AS rule, count(*) AS n, min(timestamp) AS example FROM ticks WHERE ask NOT BETWEEN 100 AND 40000 GROUP BY symbol UNION ALL
+  SELECT symbol, 'bid out of range', count(*), min(timestamp) FROM ticks WHERE bid NOT BETWEEN 100 AND 40000 GROUP BY symbol UNION ALL
+  SELECT symbol, 'misaligned', count(*), min(timestamp) FROM ticks WHERE timestamp % 1000 <> 0 GROUP BY symbol""")
+def quality_violations(spark, d):
+    return quality.validate(D.ticks(spark, d), "tick", 1000, (100, 40_000), 2024)
+
+
+DAYS = "SELECT symbol, make_timestamp(timestamp * 1000)::DATE AS dt, count(*) AS n, sum(bid)::BIGINT AS cost FROM ticks GROUP BY ALL"
+
+
+def _days(spark, d):
+    return D.ticks(spark, d).groupBy("symbol", F.to_date(F.timestamp_millis("timestamp")).alias("dt")).agg(F.count("*").alias("n"), F.sum("bid").alias("cost"))
+
+
+@query(f"SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY dt)::BIGINT AS total FROM ({DAYS})")
+def running_rows(spark, d):
+    return score.running_rows(_days(spark, d), ["symbol"])
+
+
+@query(f"SELECT symbol, arg_min(cost, dt) AS first_cost, arg_max(cost, dt) AS last_cost, count(*) AS n_days, arg_max(cost, dt) / arg_min(cost, dt) AS ratio, arg_max(cost, dt) / arg_min(cost, dt) >= 0.6 * count(*) AS grows FROM ({DAYS}) GROUP BY symbol")
+def growth_ratio(spark, d):
+    return score.growth_ratio(_days(spark, d), ["symbol"])
+
+
+@query(f"SELECT symbol, dt, n * 1000 / nullif(cost % 5, 0) AS per_second FROM ({DAYS})")
+def throughput(spark, d):
+    return _days(spark, d).select("symbol", "dt", S.ratio(F.col("n") * 1000, F.col("cost") % 5).alias("per_second"))
+
+
+@query("SELECT symbol, name, description, decimal_factor FROM instruments WHERE contains(lower(symbol || '|' || name || '|' || description), 'ion 1') ORDER BY symbol LIMIT 50")
+def search_instruments(spark, d):
+    return scope.search(D.instruments(spark, d).drop("start_dates"), "ION 1").select("symbol", "name", "description", "decimal_factor")
+
+
+def _tickers(spark, d):
+    names = D.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("x"), "n_name")).alias("s"))
+    return files.parse_ticker_list(names.agg(F.to_json(F.struct(F.collect_list("s").alias("tickers"))).alias("value")))
+
+
+@query("SELECT t.seq, t.symbol FROM (SELECT seq, (SELECT n_name FROM nation n WHERE n.n_nationkey = ticks.seq % 25) AS symbol FROM ticks) t WHERE t.symbol IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)")
+def scope_custom(spark, d):
+    n = D.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))
+    rows = D.ticks(spark, d).select("seq").join(F.broadcast(n), F.col("seq") % 25 == F.col("n_nationkey")).select("seq", "symbol")
+    return scope.in_scope(rows, "custom", _tickers(spark, d))
+
+
+@query("SELECT upper('x' || n_name) AS symbol FROM nation WHERE n_nationkey % 2 = 1")
+def unknown_tickers(spark, d):
+    return scope.unknown(_tickers(spark, d), D.instruments(spark, d))
+
+
+@query("SELECT o_orderkey, regexp_full_match(upper(o_orderpriority[3:]), '[A-Z0-9/]{2,12}') AS ok, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
+def symbol_and_date_checks(spark, d):
+    o = D.table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("x"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", S.valid_symbol(F.upper(F.substring("o_orderpriority", 3, 99))).alias("ok"), S.valid_date(text).alias("day"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ([ 'tick', 'm1', 'm15', 'h1', 'h4'])[l_linenumber % 5 + 1] AS timeframe, (['tick', 'm1', 'm1', 'h1', 'h1'])[l_linenumber % 5 + 1] AS prim,
+  (['tick', '1min', '15min', '1h', '4h'])[l_linenumber % 5 + 1] AS folder, strftime(l_shipdate, '%Y_%m') AS month FROM lineitem""")
+def timeframe_names(spark, d):
+    x = D.table(spark, d, "lineitem")
+    name = S.timeframe(F.element_at(F.array(*map(F.lit, ("TICK", "1m", "15M", "1h", "4H"))), F.col("l_linenumber") % 5 + 1))
+    file = F.concat(F.lit("S_tick_"), F.date_format("l_shipdate", "yyyy_MM"), F.lit(".parquet"))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", name.alias("timeframe"), S.primitive(name).alias("prim"), S.folder(name).alias("folder"), S.month_key(file).alias("month"))
+
+
+@query("SELECT symbol, decimal_factor, start_tick, start_m1, start_h1, name, description FROM instruments WHERE start_tick IS NOT NULL")
+def instrument_json(spark, d):
+    i = D.instruments(spark, d)
+    meta = F.struct(F.col("decimal_factor").alias("decimalFactor"), F.concat(F.col("start_dates")["tick"].cast("string"), F.lit("T05:00:00Z")).alias("startHourForTicks"), F.col("start_dates")["m1"].cast("string").alias("startDayForMinuteCandles"), F.col("start_dates")["h1"].cast("string").alias("startMonthForHourlyCandles"), "name", "description")
+    text = i.groupBy("decimal_factor").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.lower("symbol"), meta)))).alias("value"))
+    good, _ = files.parse_instruments(text)
+    return good.select("symbol", "decimal_factor", *(F.col("start_dates")[k].alias(f"start_{k}") for k in ("tick", "m1", "h1")), "name", "description")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'U' || user_id AS symbol, 'tick' AS timeframe, strftime(ts, '%Y-%m-%d') AS dt, 'failed | ' || event_type || chr(10) || 'line two of ' || event_id AS message FROM events WHERE event_type = 'error'")
+def failure_log(spark, d):
+    """Errors written as log lines, a file per user, and read back."""
+    e = D.events(spark, d).where("event_type = 'error'")
+    rec = e.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.concat(F.lit("U"), "user_id").alias("symbol"), F.lit("tick").alias("timeframe"), F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.concat(F.lit("failed | "), "event_type", F.lit("\nline two of "), "event_id").alias("message"))
+    lines = rec.select("user_id", "event_id", F.posexplode(F.split(F.concat_ws(" | ", "ts", "symbol", "timeframe", "dt", "message"), "\n")).alias("p", "value"))
+    return files.parse_failures(lines.select(F.col("user_id").alias("file"), (F.col("event_id") * 10 + F.col("p")).alias("line_no"), "value"))
+
+
+@query("SELECT symbol, timestamp, ask, bid, ask_vol, bid_vol FROM ticks")
+def migrate_csv(spark, d):
+    """Ticks written as a CSV tree, migrated with reconciliation, and read back."""
+    base, out = scratch(spark, "csv"), scratch(spark, "parquet")
+    t = D.ticks(spark, d)
+    rows = t.select(S.iso_ms(F.col("timestamp")).alias("timestamp"), (F.col("ask") / 100).alias("ask"), (F.col("bid") / 100).alias("bid"), F.col("ask_vol").cast("double").alias("ask_vol"), F.col("bid_vol").cast("double").alias("bid_vol"), "symbol")
+    symbols = [r[0] for r in t.select("symbol").distinct().collect()]  # ten by construction
+    for s in sorted(symbols):
+        rows.where(F.col("symbol") == s).drop("symbol").write.option("header", True).csv(f"{base}/{s}/tick")
+    factors = t.select("symbol").distinct().withColumn("decimal_factor", F.lit(100))
+    bad = migrate.migrate(spark, base, out, "tick", factors).where("status = 'error'")
+    if bad.limit(1).count():
+        raise RuntimeError("row counts differ")
+    return spark.read.schema("timestamp bigint, ask int, bid int, ask_vol float, bid_vol float, symbol string").parquet(out).select("symbol", *schemas.TICK.fieldNames())
+
+
+@query("SELECT symbol, timestamp, ask, bid, ask_vol, bid_vol FROM ticks")
+def decode_chunks(spark, d):
+    """Ticks encoded as compressed hourly chunks and decoded."""
+    t = D.ticks(spark, d).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 3_600_000)
+    blobs = chunks.encode_chunks(t, "tick", ["symbol"])
+    good, _ = chunks.decode_chunks(blobs.withColumn("path", F.concat_ws("/", "symbol", "base_ms")), "tick")
+    return good
+
+
+@query(f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({D.bars_sql('ticks', 60_000)})")
+def decode_bar_chunks(spark, d):
+    """Minute bars encoded as compressed daily chunks and decoded."""
+    b = D.tick_bars(spark, d, 60_000).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 86_400_000)
+    good, _ = chunks.decode_chunks(chunks.encode_chunks(b, "m1", ["symbol"]).withColumn("path", F.concat_ws("/", "symbol", "base_ms")), "m1")
+    return good
+
+
+LATEST = "SELECT ticker, price, ts, CASE WHEN previous_close > 0 THEN (price - previous_close) / previous_close * 100 END AS change_pct, n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS rn FROM quotes WHERE price IS NOT NULL) WHERE rn = 1"
+
+
+@query(LATEST)
+def latest_quotes(spark, d):
+    """Quotes as a file stream, run to its end."""
+    q, path = D.quotes(spark, d), scratch(spark, "quote-files")
+    q.repartition(8, "ticker").write.parquet(path)
+    return jobs.run_quotes(spark, path, q.schema)
+
+
+@query("""SELECT seq, upper(replace(replace(ticker, '=X', ''), '-', '')) AS ticker, CASE WHEN price IS NULL THEN '--' WHEN price * 10 >= 1000 THEN format('{:,.2f}', price * 10) WHEN price * 10 >= 100 THEN printf('%.2f', price * 10)
+  WHEN price * 10 >= 1 THEN rtrim(rtrim(printf('%.4f', price * 10), '0'), '.') ELSE printf('%.5f', price * 10) END AS text FROM quotes""")
+def quote_format(spark, d):
+    return D.quotes(spark, d).select("seq", S.ticker_name(F.col("ticker")).alias("ticker"), S.price_text(F.col("price") * 10).alias("text"))
+
+
+@query(LAST)
+def incremental_compact(spark, d):
+    """Duplicated ticks arrive in three files and are compacted batch by batch."""
+    rows, path, lake = compact.with_month(D.dup_ticks(spark, d)), scratch(spark, "arriving"), scratch(spark, "lake")
+    for k in range(3):
+        rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    return jobs.run_compaction(spark, path, lake, rows.schema, ("symbol", "timestamp"), "seq", ("symbol", "month")).drop("month")
+
+
+@query("SELECT 'S' || (user_id % 10) AS symbol, count(*) AS n FROM events GROUP BY ALL")
+def csv_compact(spark, d):
+    """Minute rows appended to a CSV table twice, then deduplicated and counted per symbol."""
+    path = scratch(spark, "bars-csv")
+    rows = D.ticks(spark, d).select("symbol", "timestamp", "bid", "seq", F.lit("2024_01").alias("month"))
+    files.append_csv(rows, path)
+    files.append_csv(rows, path)
+    back = spark.read.schema("timestamp bigint, bid int, seq bigint, symbol string, month string").option("header", True).csv(path)
+    return compact.dedup_last(back, ("symbol", "timestamp", "seq"), "bid").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query()
+def lake_size(spark, d):
+    """Files and bytes of a lake written from the ticks."""
+    path = scratch(spark, "sized")
+    files.append_parquet(compact.with_month(D.ticks(spark, d)), path)
+    return files.lake_size(spark, path)
