@@ -255,4 +255,5 @@ def assign(rows: DataFrame, capacity: int = 4096, length: str = "length") -> Dat
 
 def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Documents cut into token pieces and packed; see `pieces` and `assign`."""
-    return assign(pieces(docs, tokenizer_path, text, capacity, end_id), capacity)
+    length = fresh(docs.drop(text), "piece", "start", "length")[2]
+    return assign(pieces(docs, tokenizer_path, text, capacity, end_id), capacity, length)
