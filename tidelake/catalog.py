@@ -106,11 +106,14 @@ STARTS = """s AS (
   FROM instruments i, (VALUES ('tick'), ('m15'), ('h1'), ('h4')) t(timeframe),
     LATERAL (SELECT CASE t.timeframe WHEN 'tick' THEN i.start_tick WHEN 'm15' THEN i.start_m1 ELSE i.start_h1 END AS history) h
   LEFT JOIN checkpoints c ON c.symbol = i.symbol AND c.timeframe = t.timeframe WHERE h.history IS NOT NULL)"""
-AS_OF = F.lit(D.AS_OF).cast("date")
+
+
+def _date(text: str):
+    return F.lit(text).cast("date")
 
 
 def _plan(spark, d, frames, **options):
-    return ingest.build_plan(D.instruments(spark, d), frames, D.checkpoints(spark, d), AS_OF, F.lit("2023-12-25").cast("date"), **options)
+    return ingest.build_plan(D.instruments(spark, d), frames, D.checkpoints(spark, d), _date(D.AS_OF), _date("2023-12-25"), **options)
 
 
 DAILY = "SELECT symbol, timeframe, unnest(generate_series(start, date '2024-01-31', INTERVAL 1 DAY))::DATE AS dt, decimal_factor FROM s WHERE timeframe IN ('tick', 'm15') AND start <= date '2024-01-31'"
