@@ -93,6 +93,8 @@ def test_language_of_odd_rows(spark, odd):
     assert all(by[i]["lang_pred_"] == "und" and not by[i]["accepted"] and by[i]["score_"] == 0 for i in (1, 2, 3))
     none = language.classify(odd, language.fit(odd.withColumn("lang", F.lit(None).cast("string"))))
     assert {r[0] for r in none.select("lang_pred_").collect()} == {"und"}
+    marks = language.classify(spark.createDataFrame([("\u0301\u0302 12",)], "text string"), dicts).first()
+    assert marks["lang_pred"] == "und" and marks["score"] == 0
 
 
 # Sharding
