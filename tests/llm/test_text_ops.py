@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, queries, secrets, sharding, url_filter
-from tidelake.llm.components import components
+from tidelake.llm.components import components, link
 
 DIR = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -319,3 +319,51 @@ def test_query_digests(spark, documents):
     for r in queries.op5_secrets(spark, DIR).collect():
         base = ",".join(s for s in r["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex"))
         assert hashlib.sha256(base.encode()).hexdigest() == r["base_sha256"]
+
+
+# Large buckets
+
+
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_large_buckets_join_every_family(spark, monkeypatch, block):
+    """Families of over SMALL_BUCKET members, and chains, in shared buckets of one and of two bands; numbers within 2 are alike."""
+    monkeypatch.setattr("tidelake.llm.components.BLOCK", block)
+    values = [v for start in range(0, 400, 40) for v in range(start, start + 16, 2)]
+    rows = [(v, [1, 2, 1_000 + v]) for v in values] + [(5_000, [1]), (5_001, [3]), *((6_000 + 10 * k, [3]) for k in range(9)), (6_081, [3])]
+    links = link(spark.createDataFrame(rows, "id long, bands array<long>"), lambda pairs: pairs.where("b - a <= 2"))
+    got = {r["id"]: r["root"] for r in components(links).collect()}
+    want = {v: v // 40 * 40 for v in values} | {5_000: 5_000, 5_001: 5_000, 6_080: 6_080, 6_081: 6_080}
+    assert got == {k: v for k, v in want.items() if k not in (5_000, 5_001)}
+
+
+def brute_lines(rows):
+    """Roots of distinct lines by plain comparison of all pairs."""
+    sets = {t: {t[i : i + 5] for i in range(len(t) - 4)} for t in rows}
+    root = {t: t for t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if a < b:
+                m = len(sets[a] & sets[b])
+                if m >= 0.8 * (len(sets[a]) + len(sets[b]) - m):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return len({find(t) for t in rows})
+
+
+def test_families_of_lines_in_shared_buckets(spark):
+    """Lines that share a long phrase, in families of over SMALL_BUCKET near copies, against brute force."""
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(500)]
+    phrase = "published quarterly reports concerning international agricultural commodities"
+    rows = []
+    for f in range(12):
+        own = list(rng.choice(names, 14))
+        rows += [" ".join([phrase, *own[:k], f"x{f}", *own[k:]]) for k in range(0, 14)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
+    assert len(rows) == len(set(rows)) == 168 and got == brute_lines(rows) == 12

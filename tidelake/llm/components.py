@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import durable
 
 SMALL_BUCKET = 6
+#: Members of a block in the comparison of large buckets; bounds a task, leaves out nothing.
+BLOCK = 1_000
 #: Edges are few rows: so many make a task, whatever the number of shuffle partitions.
 EDGES_PER_TASK = 100_000
 
@@ -66,18 +68,43 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return ends.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def link(classes: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) between classes (id, bands) that share a band.
+def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs (a < b) of different `root` in one bucket, of members (key, id, root, hint) of buckets.
 
-    `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all pairs, large ones a star. A large
-    bucket whose star leaves some member unlinked goes on, whole, in the narrower buckets of two shared bands.
+    Buckets are cut into blocks of about BLOCK members, a component of more into its own, and every two blocks of a
+    bucket are compared in one place, so a hot bucket is many tasks; blocks of one component are never compared with
+    each other. `possible` tells from the hints of two members whether they can be alike at all.
+    """
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("m"))
+    mixed = groups.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = groups.join(mixed, "key").select("key", "root", "m", "n")
+    own = F.col("m") > BLOCK
+    part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
+    dealt = durable(members.join(sizes, ["key", "root"]).select("key", "id", "root", "hint", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "part")))
+    blocks = dealt.select("key", "block", "own").distinct()
+    other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"))
+    both = blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true)").select("key", "block", "block_b")
+    left = dealt.join(both, ["key", "block"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("x"))
+    right = dealt.withColumnRenamed("block", "block_b").join(both, ["key", "block_b"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("y"))
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("block") != F.col("block_b")) | (F.col("x.id") < F.col("y.id")))
+    if possible is not None:
+        apart &= possible(F.col("x.hint"), F.col("y.hint"))
+    met = left.join(right, ["key", "block", "block_b"]).where(apart)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def link(classes: DataFrame, verify: Callable[[DataFrame], DataFrame], hints: DataFrame | None = None, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Verified links (a, b) between classes (id, bands) that share a band; their components are those of all such links.
+
+    `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all pairs, large ones a star first.
+    Then, of large buckets, every two members are compared that the links found so far do not join, so that a
+    large family costs a star and no pair that could join two components is left out. `hints` (id, hint) and
+    `possible`, where given, spare pairs that cannot be alike.
     """
     pairs, large = bucket_pairs(classes.select(F.explode("bands").alias("key"), "id").distinct())
     first = durable(pairs)
     found = durable(verify(first))
-    unlike = large.where(F.col("id") != F.col("lead")).join(found, (F.col("lead") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti")
-    wider = large.join(unlike.select("key").distinct(), "key", "left_semi").select("key", "id").join(classes.select("id", "bands"), "id")
-    other = wider.select(F.col("key"), "id", F.explode(F.filter("bands", lambda x: x != F.col("key"))).alias("other"))
-    second, _ = bucket_pairs(other.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct())
-    rest = durable(second.join(first, ["a", "b"], "left_anti"))
+    members = large.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    hinted = members.withColumn("hint", F.lit(None)) if hints is None else members.join(hints, "id")
+    rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
     return found.union(verify(rest)) if rest.count() else found

@@ -9,6 +9,8 @@ from tidelake.llm.common import durable, fresh, stored
 from tidelake.llm.components import components, link
 
 SKETCH = 5
+#: Words of 64 parities in the hint of a line, a power of two.
+PARITIES = 8
 #: Longer shingles for banding: 16 characters from the start of a word of 6 or more, or of any word and from every
 #: place 20 or more into one, so that text without spaces has its own.
 ANCHORED = r"(?s)(?:^| )(?=([^ ]{6}.{0,10}))"
@@ -39,6 +41,14 @@ def char_shingles(line: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def parities(texts: DataFrame, n: int) -> DataFrame:
+    """(id, hint) of lines (id, line): the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
+    each = texts.select("id", F.explode_outer(char_shingles(F.col("line"), n)).alias("s")).withColumn("h", F.xxhash64("s"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    odd = (F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES))
+    return each.groupBy("id").agg(F.count("s").cast("int").alias("n"), *odd).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
 
@@ -47,8 +57,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     the first by (key, text hash, place). Lines of under `min_chars` characters are structure: they always stay.
 
     Equal lines become one class first. Classes are banded by the hashes of a MinHash sketch; small buckets compare
-    all pairs, large ones a star and then, for what the star leaves, buckets of two bands. Every pair is verified
-    on its whole lines. Links are joined by distributed union-find. A document that loses every line has an empty
+    all pairs, large ones a star and then all pairs that are not yet joined and whose sizes and shingle parities allow
+    the similarity. Every link is verified on its whole lines. Links are joined by distributed union-find. A document that loses every line has an empty
     text; null stays null. Rows of one key and text are one document, answered alike. Columns are kept; the new ones
     get a trailing `_` where their names are taken.
     """
@@ -60,12 +70,23 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     place = F.struct("k", "h", "i")
     classes = stored(lines.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands")))
 
+    keys = classes.select("id", F.explode("bands").alias("key"))
+    common = keys.join(keys.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id").distinct()
+    first = durable(common.join(classes.select("id", "first"), "id").select("id", "first.k", "first.h", "first.i"))
+    where = F.broadcast(first) if first.count() <= broadcast_rows else first
+    texts = stored(coded.withColumnRenamed("k", "ck").join(where, ["id", "h", "i"]).where(F.col("ck").eqNullSafe(F.col("k"))).groupBy("id").agg(F.first("line").alias("line")))
+    hints = stored(parities(texts, shingle_chars))
+
+    def possible(x: Column, y: Column) -> Column:
+        """Whether sizes and parities allow the similarity: sets that differ in d shingles differ in at most d parities."""
+        na, nb = x["n"], y["n"]
+        differ = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITIES)), F.lit(0))
+        return (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
+
     def alike(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        first = durable(named.join(classes.select("id", "first"), "id").select("id", "first.k", "first.h", "first.i"))
-        where = F.broadcast(first) if first.count() <= broadcast_rows else first
-        texts = stored(coded.withColumnRenamed("k", "ck").join(where, ["id", "h", "i"]).where(F.col("ck").eqNullSafe(F.col("k"))).select("id", "line"))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+        hinted = pairs.join(hints.select(F.col("id").alias("a"), F.col("hint").alias("ha")), "a").join(hints.select(F.col("id").alias("b"), F.col("hint").alias("hb")), "b")
+        near = hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b")
+        both = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
 
         # in lambdas, so that each set is made once; sets of too unequal sizes need no intersection
         sets = F.array(F.struct(char_shingles(F.col("la"), shingle_chars).alias("a"), char_shingles(F.col("lb"), shingle_chars).alias("b")))
@@ -76,7 +97,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
         return both.where(F.exists(sets, agree)).select("a", "b")
 
-    links = durable(link(classes.select("id", "bands"), alike))
+    links = durable(link(classes.select("id", "bands"), alike, hints, possible))
     roots = components(links)
     grouped = classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     many = durable(grouped.where("n > 1 OR linked"))
