@@ -367,3 +367,19 @@ def test_families_of_lines_in_shared_buckets(spark):
         rows += [" ".join([phrase, *own[:k], f"x{f}", *own[k:]]) for k in range(0, 14)]
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
     assert len(rows) == len(set(rows)) == 168 and got == brute_lines(rows) == 12
+
+
+def test_edits_of_lines_equal_brute_force(spark):
+    """Edits at long words, at the first and last character and in inner spaces, on lines about and below the five-shingle sketch."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for n in range(60):
+        w = ["".join(rng.choice(letters, k)) for k in rng.permutation([9, 8, 7, 10, 8, *[3] * 14])]
+        long = next(i for i, x in enumerate(w) if len(x) > 6)
+        rows += [" ".join(w), " ".join(w[:long] + w[long + 1 :]), "Q" + " ".join(w)[1:], " ".join(w)[:-1] + "q", "  ".join(w[:5]) + "\t" + " ".join(w[5:])]
+        short = "".join(rng.choice(letters, 13 + n % 9))
+        rows += [short, "q" + short[1:], short[:-1] + "q"]
+    plain_rows = sorted({re.sub(r"\s+", " ", r.lower()).strip() for r in rows})
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
+    assert got == brute_lines(plain_rows)

@@ -69,21 +69,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Pairs (a < b) of different `root` in one bucket, of members (key, id, root, hint) of buckets.
+    """Pairs (a < b) of different `root` in one bucket, of members (key, id, root, hint, grade) of buckets.
 
     Buckets are cut into blocks of about BLOCK members, a component of more into its own, and every two blocks of a
     bucket are compared in one place, so a hot bucket is many tasks; blocks of one component are never compared with
-    each other. `possible` tells from the hints of two members whether they can be alike at all.
+    each other, nor are members whose grades differ by over 1. `possible` tells from the hints of two members whether they can be alike at all.
     """
-    groups = members.groupBy("key", "root").agg(F.count("*").alias("m"))
-    mixed = groups.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    sizes = groups.join(mixed, "key").select("key", "root", "m", "n")
+    groups = members.groupBy("key", "root", "grade").agg(F.count("*").alias("m"))
+    mixed = groups.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    graded = groups.groupBy("key", "grade").agg(F.sum("m").alias("n"))
+    sizes = groups.join(mixed, "key").join(graded, ["key", "grade"])
     own = F.col("m") > BLOCK
     part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
-    dealt = durable(members.join(sizes, ["key", "root"]).select("key", "id", "root", "hint", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "part")))
-    blocks = dealt.select("key", "block", "own").distinct()
-    other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"))
-    both = blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true)").select("key", "block", "block_b")
+    dealt = durable(members.join(sizes, ["key", "root", "grade"]).select("key", "id", "root", "hint", "grade", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "grade", "part")))
+    blocks = dealt.select("key", "block", "own", "grade").distinct()
+    other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"), F.col("grade").alias("grade_b"))
+    both = blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true) AND abs(grade - grade_b) <= 1").select("key", "block", "block_b")
     left = dealt.join(both, ["key", "block"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("x"))
     right = dealt.withColumnRenamed("block", "block_b").join(both, ["key", "block_b"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("y"))
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("block") != F.col("block_b")) | (F.col("x.id") < F.col("y.id")))
@@ -98,13 +99,13 @@ def link(classes: DataFrame, verify: Callable[[DataFrame], DataFrame], hints: Da
 
     `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all pairs, large ones a star first.
     Then, of large buckets, every two members are compared that the links found so far do not join, so that a
-    large family costs a star and no pair that could join two components is left out. `hints` (id, hint) and
-    `possible`, where given, spare pairs that cannot be alike.
+    large family costs a star and no pair that could join two components is left out. `hints` (id, hint, grade)
+    and `possible`, where given, spare pairs that cannot be alike.
     """
     pairs, large = bucket_pairs(classes.select(F.explode("bands").alias("key"), "id").distinct())
     first = durable(pairs)
     found = durable(verify(first))
     members = large.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    hinted = members.withColumn("hint", F.lit(None)) if hints is None else members.join(hints, "id")
+    hinted = members.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else members.join(hints, "id")
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
     return found.union(verify(rest)) if rest.count() else found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +13,24 @@ from tidelake.llm.components import components, link
 SKETCH = 5
 #: Words of 64 parities in the hint of a line, a power of two.
 PARITIES = 8
-#: Longer shingles for banding: 16 characters from the start of a word of 6 or more, or of any word and from every
-#: place 20 or more into one, so that text without spaces has its own.
-ANCHORED = r"(?s)(?:^| )(?=([^ ]{6}.{0,10}))"
-ANY_PLACE = r"(?s)(?:^| |(?<=[^ ]{20}))(?=([^ ].{0,15}))"
+#: Longer shingles for banding, of every line alike: 12 characters from the start of any word, from every place 8 or more
+#: into one, so that text without spaces has its own, and at the end of the line.
+PLACES = r"(?s)(?:(?:^| )(?=[^ ])|(?<=[^ ]{8})(?=[^ ].{11})|(?=.{12}$))(?=(.{1,12}))"
 
 
 def normal(line: Column) -> Column:
-    """Lower case, trimmed."""
-    return F.trim(F.lower(line))
+    """Lower case, white space as single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
 def sketch(line: Column) -> Column:
-    """The SKETCH smallest hashes of a line's anchored character shingles: its MinHash signature for banding.
+    """The SKETCH smallest hashes of a line's longer character shingles: its MinHash signature for banding.
 
-    Lines with few words of 6 characters take every place of a shingle. Each hash is a band: lines of whose longer shingles
-    four fifths agree share one of five with a chance of 1 - 0.2^5.
+    Each hash is a band: lines of whose longer shingles four fifths agree share one of five with a chance of
+    1 - 0.2^5. Lines of up to five longer shingles share a band whenever they share a shingle.
     """
-
-    def least(found: Column) -> Column:
-        return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, SKETCH)
-
-    found = F.array(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)))
-    return F.transform(found, lambda x: F.when(F.size(x) >= SKETCH, least(x)).otherwise(least(F.regexp_extract_all(line, F.lit(ANY_PLACE), F.lit(1)))))[0]
+    found = F.regexp_extract_all(line, F.lit(PLACES), F.lit(1))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, SKETCH)
 
 
 def char_shingles(line: Column, n: int) -> Column:
@@ -42,17 +39,18 @@ def char_shingles(line: Column, n: int) -> Column:
 
 
 def parities(texts: DataFrame, n: int) -> DataFrame:
-    """(id, hint) of lines (id, line): the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
-    each = texts.select("id", F.explode_outer(char_shingles(F.col("line"), n)).alias("s")).withColumn("h", F.xxhash64("s"))
+    """(id, hint) of lines (id, line, copy), one for all copies: the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
+    each = texts.select("id", "copy", F.explode_outer(char_shingles(F.col("line"), n)).alias("s")).withColumn("h", F.xxhash64("s"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
     odd = (F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES))
-    return each.groupBy("id").agg(F.count("s").cast("int").alias("n"), *odd).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
+    counted = each.groupBy("id", "copy").agg(F.count("s").cast("int").alias("n"), *odd)
+    return counted.groupBy("id").agg(F.first(F.struct("n", *(f"p{i}" for i in range(PARITIES)))).alias("hint"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
 
-    Lines that are equal once lower-cased and trimmed, or whose sets of `shingle_chars`-character shingles have a
+    Lines that are equal once lower-cased, with white space as single spaces, and trimmed, or whose sets of `shingle_chars`-character shingles have a
     Jaccard similarity of `similarity` or more, are linked; of each connected component one line stays in the corpus,
     the first by (key, text hash, place). Lines of under `min_chars` characters are structure: they always stay.
 
@@ -74,8 +72,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     common = keys.join(keys.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id").distinct()
     first = durable(common.join(classes.select("id", "first"), "id").select("id", "first.k", "first.h", "first.i"))
     where = F.broadcast(first) if first.count() <= broadcast_rows else first
-    texts = stored(coded.withColumnRenamed("k", "ck").join(where, ["id", "h", "i"]).where(F.col("ck").eqNullSafe(F.col("k"))).groupBy("id").agg(F.first("line").alias("line")))
-    hints = stored(parities(texts, shingle_chars))
+    texts = stored(coded.withColumnRenamed("k", "ck").join(where, ["id", "h", "i"]).where(F.col("ck").eqNullSafe(F.col("k"))).select("id", "line", F.monotonically_increasing_id().alias("copy")))
+    step = 1.0001 * max(math.log(1 / similarity), 0.01)  # sizes of alike lines are at most one grade apart
+    hints = stored(parities(texts, shingle_chars).withColumn("grade", F.floor(F.log(F.greatest("hint.n", F.lit(1))) / step).cast("int")))
 
     def possible(x: Column, y: Column) -> Column:
         """Whether sizes and parities allow the similarity: sets that differ in d shingles differ in at most d parities."""
