@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, queries, secrets, sharding, url_filter
-from tidelake.llm.components import components, link
+from tidelake.llm.components import components, joined, shared
 
 DIR = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -277,8 +277,10 @@ def test_lines(spark):
     docs = [(1, f"{long}\nshort\nonly here, and nowhere else in this corpus"), (2, f"{long.upper()}  \nshort\nshort"), (3, f"{long.replace('harbour', 'harbor')}\nanother line that stands alone in this corpus"), (4, None), (5, long), (5, long)]
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     by = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got}
-    assert by[1] == (docs[0][1], 3, 0) and by[2] == ("short\nshort", 3, 1) and by[3] == ("another line that stands alone in this corpus", 2, 1)
+    assert by[1] == (docs[0][1], 3, 0) and by[2] == ("", 3, 3) and by[3] == ("another line that stands alone in this corpus", 2, 1)
     assert by[4] == (None, 0, 0) and by[5] == ("", 1, 1) and len(got) == len(docs)
+    kept = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=10).where("doc_id = 2").first()
+    assert (kept["text"], kept["n_dropped"]) == ("short\nshort", 1)
 
 
 def test_lines_of_odd_rows(spark, odd):
@@ -324,36 +326,82 @@ def test_query_digests(spark, documents):
 # Large buckets
 
 
-@pytest.mark.parametrize("block", [1_000, 3])
-def test_large_buckets_join_every_family(spark, monkeypatch, block):
-    """Families of over SMALL_BUCKET members, and chains, in shared buckets of one and of two bands; numbers within 2 are alike."""
-    monkeypatch.setattr("tidelake.llm.components.BLOCK", block)
+@pytest.mark.parametrize("sizes", [(1_000, 1_000, 6), (3, 1_000, 6), (3, 8, 2)])
+def test_large_buckets_join_every_family(spark, monkeypatch, sizes):
+    """Families, and chains, in shared buckets of one and of two bands; numbers within 2 are alike."""
+    for name, size in zip(("BLOCK", "VAST_BUCKET", "SMALL_BUCKET"), sizes, strict=True):
+        monkeypatch.setattr(f"tidelake.llm.components.{name}", size)
     values = [v for start in range(0, 400, 40) for v in range(start, start + 16, 2)]
     rows = [(v, [1, 2, 1_000 + v]) for v in values] + [(5_000, [1]), (5_001, [3]), *((6_000 + 10 * k, [3]) for k in range(9)), (6_081, [3])]
-    links = link(spark.createDataFrame(rows, "id long, bands array<long>"), lambda pairs: pairs.where("b - a <= 2"))
-    got = {r["id"]: r["root"] for r in components(links).collect()}
-    want = {v: v // 40 * 40 for v in values} | {5_000: 5_000, 5_001: 5_000, 6_080: 6_080, 6_081: 6_080}
-    assert got == {k: v for k, v in want.items() if k not in (5_000, 5_001)}
+    members = shared(spark.createDataFrame(rows, "id long, bands array<long>").select(F.explode("bands").alias("key"), "id"))
 
+    def finer(ids):  # two alike numbers share a neighbour
+        return ids.select(F.explode(F.array(*(F.col("id") + k for k in (-1, 0, 1)))).alias("key"), "id")
 
-def brute_lines(rows):
-    """Roots of distinct lines by plain comparison of all pairs."""
-    sets = {t: {t[i : i + 5] for i in range(len(t) - 4)} for t in rows}
-    root = {t: t for t in rows}
+    want = {v: v // 40 * 40 for v in values} | {6_080: 6_080, 6_081: 6_080}
+    for refine in (None, finer):
+        got = {r["id"]: r["root"] for r in joined(members, lambda pairs: pairs.where("b - a <= 2"), refine=refine).collect()}
+        assert {k: v for k, v in got.items() if k < 5_000 or k > 5_001} == want  # these two are alike, but share no band
+
+
+def brute_lines(rows, similarity=0.8, n=5):
+    """Number of groups of distinct normal lines. The prefixes of the shingles in one order find every alike pair."""
+    rows = sorted(set(rows))
+    sets = [{t[i : i + n] for i in range(len(t) - n + 1)} for t in rows]
+    df, places, root = Counter(x for s in sets for x in s), {}, list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for a in rows:
-        for b in rows:
-            if a < b:
-                m = len(sets[a] & sets[b])
-                if m >= 0.8 * (len(sets[a]) + len(sets[b]) - m):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-    return len({find(t) for t in rows})
+    for i, s in enumerate(sets):
+        met = set()
+        for x in sorted(s, key=lambda x: (df[x], x))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]:
+            met.update(places.setdefault(x, []))
+            places[x].append(i)
+        for j in met:
+            m = len(s & sets[j])
+            if m >= similarity * (len(s) + len(sets[j]) - m) - 1e-9:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return len({find(i) for i in range(len(rows))})
+
+
+def plain_line(line):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
+
+
+def left_lines(spark, texts, **options):
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options)
+    return got.agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
+
+
+def test_lines_of_the_table_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [x for r in docs.select("text").where("text IS NOT NULL").distinct().collect() for x in r["text"].split("\n")]
+    named = [plain_line(x) for x in rows]
+    groups, blank = brute_lines([x for x in named if x]), sum(not x for x in named)
+    got = left_lines(spark, {r["text"] for r in docs.select("text").where("text IS NOT NULL").collect()}) - blank
+    exact = len({x for x in named if x})
+    assert exact - got >= 0.98 * (exact - groups) and got >= groups
+
+
+def test_alike_lines_under_a_shared_heading(spark):
+    """Forty lines that share a long heading, two and two alike, and the same by the thousand with the finer keys."""
+    rng = np.random.default_rng(11)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    heading = "announcement of the international quarterly committee concerning agricultural commodities and their prices"
+
+    def pairs(n):
+        own = [" ".join(word(k) for k in rng.integers(3, 9, 22)) for _ in range(n)]
+        return [x for o in own for x in (f"{heading} {o}", f"{heading} {o[:40]}{word(5)}{o[45:]}")]
+
+    rows = pairs(20)
+    assert left_lines(spark, rows) == brute_lines(rows) == 20
+    rows = pairs(700)
+    assert left_lines(spark, rows) == brute_lines(rows) == 700
 
 
 def test_families_of_lines_in_shared_buckets(spark):
@@ -365,8 +413,7 @@ def test_families_of_lines_in_shared_buckets(spark):
     for f in range(12):
         own = list(rng.choice(names, 14))
         rows += [" ".join([phrase, *own[:k], f"x{f}", *own[k:]]) for k in range(0, 14)]
-    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
-    assert len(rows) == len(set(rows)) == 168 and got == brute_lines(rows) == 12
+    assert len(rows) == len(set(rows)) == 168 and left_lines(spark, rows) == brute_lines(rows) == 12
 
 
 def test_edits_of_lines_equal_brute_force(spark):
@@ -380,6 +427,4 @@ def test_edits_of_lines_equal_brute_force(spark):
         rows += [" ".join(w), " ".join(w[:long] + w[long + 1 :]), "Q" + " ".join(w)[1:], " ".join(w)[:-1] + "q", "  ".join(w[:5]) + "\t" + " ".join(w[5:])]
         short = "".join(rng.choice(letters, 13 + n % 9))
         rows += [short, "q" + short[1:], short[:-1] + "q"]
-    plain_rows = sorted({re.sub(r"\s+", " ", r.lower()).strip() for r in rows})
-    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_lines") - F.sum("n_dropped")).first()[0]
-    assert got == brute_lines(plain_rows)
+    assert left_lines(spark, rows) == brute_lines(map(plain_line, rows))

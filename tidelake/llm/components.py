@@ -10,27 +10,23 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import durable
 
-SMALL_BUCKET = 6
+#: Buckets up to this size give all their pairs at once.
+SMALL_BUCKET = 32
+#: Buckets over this size get finer keys first, where the caller has any.
+VAST_BUCKET = 1_000
 #: Members of a block in the comparison of large buckets; bounds a task, leaves out nothing.
 BLOCK = 1_000
 #: Edges are few rows: so many make a task, whatever the number of shuffle partitions.
 EDGES_PER_TASK = 100_000
 
 
-def bucket_pairs(keys: DataFrame, small: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of ids to compare, and the members (key, id) of large buckets.
+def shared(keys: DataFrame) -> DataFrame:
+    """Members (key, id, n) of the buckets of two ids or more, of distinct rows (key, id).
 
-    `keys` has distinct rows (key, id). Buckets of up to `small` ids give all their pairs; larger ones give a star
-    from their least id, and are returned for another round, as members may be alike without being like that id.
-    Counts and least ids are combined before they move, so a hot bucket is never one task.
+    Counts are combined before they move, and the members of a hot bucket are rows that the adaptive skew join divides.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = durable(keys.join(sizes, "key").select("key", "id", "lead", "n"))
-    few = members.where(F.col("n") <= small)
-    left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
-    every = left.join(right, "key").where("a < b").select("a", "b")
-    star = members.where((F.col("n") > small) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    return every.union(star).distinct(), members.where(F.col("n") > small).select("key", "id", "lead")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return durable(keys.join(sizes.hint("shuffle_hash"), "key").select("key", "id", "n"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -94,18 +90,44 @@ def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column]
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def link(classes: DataFrame, verify: Callable[[DataFrame], DataFrame], hints: DataFrame | None = None, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Verified links (a, b) between classes (id, bands) that share a band; their components are those of all such links.
-
-    `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all pairs, large ones a star first.
-    Then, of large buckets, every two members are compared that the links found so far do not join, so that a
-    large family costs a star and no pair that could join two components is left out. `hints` (id, hint, grade)
-    and `possible`, where given, spare pairs that cannot be alike.
+def joined(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    hints: DataFrame | None = None,
+    possible: Callable[[Column, Column], Column] | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """One row (id, root) for every id that a verified link joins: the components of all links between ids that share a bucket.
+
+    `members` comes from `shared`; `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all
+    pairs. The ids of vast buckets get the finer keys (key, id) of `refine`, which must be such that any two alike ids
+    share one; so nothing is lost. Large buckets, of either kind, compare a star first, then every two members that
+    the links found so far do not join: a large family costs a star, and no pair that could join two components is
+    left out. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
     """
-    pairs, large = bucket_pairs(classes.select(F.explode("bands").alias("key"), "id").distinct())
-    first = durable(pairs)
+    few, many = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
+    if refine is not None:
+        vast = durable(members.where(F.col("n") > VAST_BUCKET).select("id").distinct())
+        if not vast.isEmpty():
+            finer = shared(refine(vast))
+            few = few.union(finer.where(F.col("n") <= SMALL_BUCKET))
+            many = many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))
+    left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
+    every = left.join(right, "key").where("a < b").select("a", "b")
+    leads = many.groupBy("key").agg(F.min("id").alias("lead"))
+    star = many.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    first = durable(every.union(star).distinct())
     found = durable(verify(first))
-    members = large.select("key", "id").join(components(found), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    hinted = members.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else members.join(hints, "id")
+    roots = components(found)
+    if many.isEmpty():
+        return roots
+    roots = durable(roots)
+    placed = many.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    hinted = placed.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else placed.join(hints, "id")
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
-    return found.union(verify(rest)) if rest.count() else found
+    if rest.isEmpty():
+        return roots
+    more = durable(verify(rest))
+    if more.isEmpty():
+        return roots
+    return components(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))

@@ -7,72 +7,119 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import durable, fresh, stored
-from tidelake.llm.components import components, link
-
-SKETCH = 5
+from tidelake.llm.common import broadcast_if_small, durable, fresh, stored
+from tidelake.llm.components import joined, shared
+
+#: Characters of a sketch shingle, and how many of the smallest hashes make a sketch.
+LONG, SKETCH = 10, 8
+#: Places of sketch shingles inside words: 8 or more characters into one, so that text without spaces has its own.
+INSIDE = rf"(?s)(?<=[^ ]{{8}})(?=([^ ].{{{LONG - 1}}}))"
+#: Lines of up to so many sketch shingles have each hash as a band, lines of at least so many each two neighbours.
+SINGLES, PAIRS = 12, 6
+#: Lines of up to so many characters also have the first verified shingles as bands, which misses nothing.
+TINY = 13
 #: Words of 64 parities in the hint of a line, a power of two.
 PARITIES = 8
-#: Longer shingles for banding, of every line alike: 12 characters from the start of any word, from every place 8 or more
-#: into one, so that text without spaces has its own, and at the end of the line.
-PLACES = r"(?s)(?:(?:^| )(?=[^ ])|(?<=[^ ]{8})(?=[^ ].{11})|(?=.{12}$))(?=(.{1,12}))"
 
 
 def normal(line: Column) -> Column:
     """Lower case, white space as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
 
 
 def sketch(line: Column) -> Column:
-    """The SKETCH smallest hashes of a line's longer character shingles: its MinHash signature for banding.
+    """All hashes, ascending, of a normal line's sketch shingles: the first LONG characters from the start of any word
+    (of four words at most), from every place 8 or more into a word, and at the end of the line."""
+
+    def of(w: Column) -> Column:
+        starts = F.transform(w, lambda _, i: F.hash(F.substring(F.concat_ws(" ", *(F.get(w, i + j) for j in range(4))), 1, LONG)))
+        inside = F.when(F.exists(w, lambda x: F.length(x) >= LONG + 8), F.transform(F.regexp_extract_all(line, F.lit(INSIDE), F.lit(1)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
+        return F.sort_array(F.array_distinct(F.concat(starts, inside, F.array(F.hash(F.substring(line, -LONG, LONG))))))
+
+    return F.transform(F.array(F.split(line, " ")), of)[0]  # in a lambda, so that the words are split once
+
+
+def shingle_hashes(line: Column, n: int) -> Column:
+    """Hashes of 64 bits of the distinct runs of n characters."""
+
+    def of(code: Column) -> Column:  # four bytes a character
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), (F.length(code) / 4).cast("int") - (n - 1)), lambda i: F.xxhash64(F.substring(code, i * 4 - 3, F.lit(4 * n)))))
+
+    return F.when(F.length(line) >= n, F.transform(F.array(F.encode(line, "UTF-32")), of)[0]).otherwise(F.array().cast("array<bigint>"))
 
-    Each hash is a band: lines of whose longer shingles four fifths agree share one of five with a chance of
-    1 - 0.2^5. Lines of up to five longer shingles share a band whenever they share a shingle.
-    """
-    found = F.regexp_extract_all(line, F.lit(PLACES), F.lit(1))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, SKETCH)
 
+def prefix(size: Column, similarity: float) -> Column:
+    """How many first shingles, in any one order, two sets must share one of to reach the similarity."""
+    return size - F.ceil(size * F.lit(similarity) - 1e-9).cast("int") + 1
 
-def char_shingles(line: Column, n: int) -> Column:
-    """The distinct runs of n characters."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+def bands(classes: DataFrame) -> DataFrame:
+    """Rows (key, id) of classes (id, a0..a3, tiny, m): two neighbouring hashes of the sketch are a band, so that a
+    common phrase alone makes none; of lines with few sketch shingles each hash is one, too."""
+    low = F.lit((1 << 32) - 1)
+    s = [x for c in ("a0", "a1", "a2", "a3") for x in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(low))]
+    m = F.col("m")
+    keys = [F.when((m <= SINGLES) & (m > i), F.xxhash64(F.lit(1), s[i])) for i in range(SKETCH)]
+    keys += [F.when((m >= PAIRS) & (m > i + 1), F.xxhash64(F.lit(2), s[i], s[i + 1])) for i in range(SKETCH - 1)]
+    t = F.shiftrightunsigned("tiny", 32), F.col("tiny").bitwiseAND(low)
+    keys += [F.when(x != 0, F.xxhash64(F.lit(3), x)) for x in t]
+    return classes.select("id", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL").distinct()
 
 
 def parities(texts: DataFrame, n: int) -> DataFrame:
-    """(id, hint) of lines (id, line, copy), one for all copies: the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
-    each = texts.select("id", "copy", F.explode_outer(char_shingles(F.col("line"), n)).alias("s")).withColumn("h", F.xxhash64("s"))
+    """(id, hint) of lines (id, line): the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
+    each = texts.select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
     odd = (F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES))
-    counted = each.groupBy("id", "copy").agg(F.count("s").cast("int").alias("n"), *odd)
-    return counted.groupBy("id").agg(F.first(F.struct("n", *(f"p{i}" for i in range(PARITIES)))).alias("hint"))
+    return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
+def rarest(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Rows (key, id) by which no two alike lines miss each other: the prefix of each line's shingles, the rarest first."""
+    each = durable(texts.select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h")))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))  # a line's own shingles
+    return ordered.select("id", F.explode(F.slice("s", F.lit(1), prefix(F.size("s"), similarity))).alias("x")).select(F.xxhash64(F.lit(4), "x.h").alias("key"), "id")
 
-    Lines that are equal once lower-cased, with white space as single spaces, and trimmed, or whose sets of `shingle_chars`-character shingles have a
-    Jaccard similarity of `similarity` or more, are linked; of each connected component one line stays in the corpus,
-    the first by (key, text hash, place). Lines of under `min_chars` characters are structure: they always stay.
 
-    Equal lines become one class first. Classes are banded by the hashes of a MinHash sketch; small buckets compare
-    all pairs, large ones a star and then all pairs that are not yet joined and whose sizes and shingle parities allow
-    the similarity. Every link is verified on its whole lines. Links are joined by distributed union-find. A document that loses every line has an empty
-    text; null stays null. Rows of one key and text are one document, answered alike. Columns are kept; the new ones
-    get a trailing `_` where their names are taken.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 1) -> DataFrame:
+    """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
+
+    Lines that are equal once lower-cased, with white space as single spaces, and trimmed, or whose sets of
+    `shingle_chars`-character shingles have a Jaccard similarity of `similarity` or more, are linked; of each
+    connected component one line stays in the corpus, the first by (key, text hash, place). Lines of under `min_chars`
+    characters are structure: they always stay; by default only blank ones are.
+
+    Equal lines become one class first, with a number. A class's signature is the SKETCH smallest hashes of its longer
+    character shingles; bands are neighbours in it (see `bands`, `components.joined`): two lines of whose sketch
+    shingles three fifths agree share one with a chance of 0.97. The members of vast buckets are looked up by the
+    rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
+    spared, every other is verified on the shingles of its whole lines (by hashes of 64 bits). Links are joined by
+    distributed union-find. A document that loses every line has an empty text; null stays null. Rows of one key and
+    text are one document, answered alike. Columns are kept; the new ones get a trailing `_` where their names are taken.
     """
     new = fresh(docs, "n_lines", "n_dropped", "_h", "_k2", "_h2", "_drop")
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= min_chars)
     split = base.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("line", normal(F.col("line"))).where(F.length("line") >= min_chars)
-    coded = split.withColumn("id", F.unhex(F.md5("line")))
-    lines = stored(coded.select("k", "h", "i", "id", sketch(F.col("line")).alias("bands")))
-    place = F.struct("k", "h", "i")
-    classes = stored(lines.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands")))
-
-    keys = classes.select("id", F.explode("bands").alias("key"))
-    common = keys.join(keys.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id").distinct()
-    first = durable(common.join(classes.select("id", "first"), "id").select("id", "first.k", "first.h", "first.i"))
-    where = F.broadcast(first) if first.count() <= broadcast_rows else first
-    texts = stored(coded.withColumnRenamed("k", "ck").join(where, ["id", "h", "i"]).where(F.col("ck").eqNullSafe(F.col("k"))).select("id", "line", F.monotonically_increasing_id().alias("copy")))
+    coded = split.withColumn("digest", F.unhex(F.md5("line")))
+    short = F.sort_array(F.transform(shingle_hashes(F.col("line"), shingle_chars), lambda x: F.hash(x)))
+    tiny = F.when(F.length("line") <= TINY, F.slice(short, F.lit(1), prefix(F.size(short), similarity)))
+    signed = coded.select("k", "h", "i", "digest", F.when(F.length("line") >= shingle_chars, sketch(F.col("line"))).alias("s"), tiny.alias("t"))
+    lines = stored(signed.select("k", "h", "i", "digest", F.coalesce(F.size("s"), F.lit(0)).alias("m"), F.slice("s", 1, SKETCH).alias("s"), "t"))
+
+    def two(column: str, at: int) -> Column:
+        """Two hashes of 32 bits as one number, 0 for none."""
+        x, y = (F.coalesce(F.get(column, F.lit(at + j)), F.lit(0)).cast("long").bitwiseAND((1 << 32) - 1) for j in range(2))
+        return F.shiftleft(x, 32).bitwiseOR(y)
+
+    packed = lines.select("digest", "m", *(two("s", 2 * i).alias(f"a{i}") for i in range(SKETCH // 2)), two("t", 0).alias("tiny"))
+    grouped = packed.groupBy("digest").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in packed.columns[1:]))
+    classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
+
+    members = shared(bands(classes))
+    wanted = durable(members.select("id").distinct().join(classes.select("id", "digest"), "id"))
+    met = coded.select("digest", "line").join(broadcast_if_small(wanted), "digest").select("id", "line")
+    texts = stored(met.groupBy("id").agg(F.first("line").alias("line")))
     step = 1.0001 * max(math.log(1 / similarity), 0.01)  # sizes of alike lines are at most one grade apart
     hints = stored(parities(texts, shingle_chars).withColumn("grade", F.floor(F.log(F.greatest("hint.n", F.lit(1))) / step).cast("int")))
 
@@ -87,28 +134,27 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
         near = hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b")
         both = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
 
-        # in lambdas, so that each set is made once; sets of too unequal sizes need no intersection
-        sets = F.array(F.struct(char_shingles(F.col("la"), shingle_chars).alias("a"), char_shingles(F.col("lb"), shingle_chars).alias("b")))
+        # in lambdas, so that each set is made once
+        sets = F.array(F.struct(shingle_hashes(F.col("la"), shingle_chars).alias("a"), shingle_hashes(F.col("lb"), shingle_chars).alias("b")))
 
         def agree(s: Column) -> Column:
-            na, nb, shared = F.size(s["a"]), F.size(s["b"]), F.size(F.array_intersect(s["a"], s["b"]))
-            return F.when(F.least(na, nb) >= similarity * F.greatest(na, nb), F.exists(F.array(shared), lambda m: m >= similarity * (na + nb - m))).otherwise(False)
+            na, nb = F.size(s["a"]), F.size(s["b"])
+            return F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda m: m >= similarity * (na + nb - m) - 1e-9)
 
         return both.where(F.exists(sets, agree)).select("a", "b")
 
-    links = durable(link(classes.select("id", "bands"), alike, hints, possible))
-    roots = components(links)
-    grouped = classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
-    many = durable(grouped.where("n > 1 OR linked"))
-    stays = many.groupBy("root").agg(F.min("first").alias("keep"))
-    chosen = durable(many.join(stays, "root").select("id", "keep"))
-    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-    drops = lines.join(side, "id").where(place != F.col("keep")).groupBy(F.col("k").alias(new[3]), F.col("h").alias(new[4])).agg(F.collect_set("i").alias(new[5]))
+    roots = joined(members, alike, hints, possible, lambda ids: rarest(texts.join(ids, "id", "left_semi"), shingle_chars, similarity))
+    many = classes.select("id", "digest", "copies").join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL")
+    groups = durable(many.select("digest", F.coalesce("root", "id").alias("root")))
+    place = F.struct("k", "h", "i")
+    held = durable(lines.select("digest", "k", "h", "i").join(broadcast_if_small(groups), "digest").select("root", "k", "h", "i"))
+    stays = held.groupBy("root").agg(F.min(place).alias("keep"))
+    drops = held.join(stays, "root").where(place != F.col("keep")).groupBy(F.col("k").alias(new[3]), F.col("h").alias(new[4])).agg(F.collect_set("i").alias(new[5]))
 
     keyed = docs.withColumn(new[2], F.xxhash64(text))
     out = keyed.join(drops, keyed[key].eqNullSafe(drops[new[3]]) & (keyed[new[2]] == drops[new[4]]), "left")
     cut = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(new[5]))
-    shorter = F.array_join(F.transform(left, lambda i: F.get(cut, i)), "\n")
+    shorter = F.array_join(F.transform(F.array(cut), lambda c: F.transform(left, lambda i: F.get(c, i)))[0], "\n")
     out = out.withColumn(new[0], F.when(F.col(text).isNotNull(), F.size(cut)).otherwise(0)).withColumn(new[1], F.coalesce(F.size(new[5]), F.lit(0)))
     return out.withColumn(text, F.when(F.col(new[5]).isNull(), F.col(text)).otherwise(shorter)).drop(*new[2:])

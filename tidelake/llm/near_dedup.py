@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import durable, fresh, stored
-from tidelake.llm.components import components, link
+from tidelake.llm.components import joined, shared
 
 WORDS = 5
 BANDS, ROWS = 10, 3
@@ -192,7 +192,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     Equal texts are one class. Classes whose weighted Jaccard similarity over TF-IDF five-word shingles is
     `similarity` or more are linked, and groups are the connected components. Candidates share one of BANDS keys;
     every link is verified on the whole texts. Copies are never expanded into pairs and large buckets are compared
-    by stars (see `components.link`). A text without five words equals only its copies. A null text is a group of
+    by stars first (see `components.joined`). A text without five words equals only its copies. A null text is a group of
     its own and is kept. Rows of one key and text are one document, answered alike; ties go to the least key.
     """
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -218,7 +218,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity).select("a", "b")
 
-    roots = components(durable(link(classes.select("id", "bands"), verify)))
+    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
