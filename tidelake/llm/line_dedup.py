@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import broadcast_if_small, durable, fresh, stored
 from tidelake.llm.components import joined, shared
 
-#: Characters of a sketch shingle, and how many of the smallest hashes make a sketch.
-LONG, SKETCH = 10, 8
+#: Characters of a sketch shingle, and how many of them make a sketch.
+LONG, SKETCH = 12, 10
+#: Words of so many letters come first in the order in which sketch shingles are taken.
+ANCHOR = 6
 #: Places of sketch shingles inside words: 8 or more characters into one, so that text without spaces has its own.
 INSIDE = rf"(?s)(?<=[^ ]{{8}})(?=([^ ].{{{LONG - 1}}}))"
-#: Lines of up to so many sketch shingles have each hash as a band, lines of at least so many each two neighbours.
+#: Lines of up to so many sketch shingles have each as a band, lines of at least so many each two neighbours.
 SINGLES, PAIRS = 12, 6
 #: Lines of up to so many characters also have the first verified shingles as bands, which misses nothing.
 TINY = 13
@@ -24,17 +28,38 @@ PARITIES = 8
 
 def normal(line: Column) -> Column:
     """Lower case, white space as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    odd = [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\r", "\v", "\f")]  # a search costs less than a pattern
+    low = F.lower(line)
+    return F.trim(F.when(reduce(or_, odd), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def sketch(line: Column) -> Column:
-    """All hashes, ascending, of a normal line's sketch shingles: the first LONG characters from the start of any word
-    (of four words at most), from every place 8 or more into a word, and at the end of the line."""
+    """The signature of a normal line: of its sketch shingles the first SKETCH in an order set by hashes, as hashes of 32 bits.
+
+    A sketch shingle is LONG characters, from the start of a word (of four words at most), from any place 8 or more into
+    a word, or at the end of the line. Those at words are ordered by a hash of the word, long words first, so only the
+    few that are taken are ever made; the others by their own hash.
+    """
+    low = (1 << 32) - 1
+    part = (1 << 30) - 1
+
+    def packed(rank: Column, shingle: Column) -> Column:
+        return F.shiftleft(rank, 32).bitwiseOR(F.hash(shingle).cast("long").bitwiseAND(low))
+
+    def own(x: Column) -> Column:
+        return packed(F.xxhash64(x).bitwiseAND(part), x)
 
     def of(w: Column) -> Column:
-        starts = F.transform(w, lambda _, i: F.hash(F.substring(F.concat_ws(" ", *(F.get(w, i + j) for j in range(4))), 1, LONG)))
-        inside = F.when(F.exists(w, lambda x: F.length(x) >= LONG + 8), F.transform(F.regexp_extract_all(line, F.lit(INSIDE), F.lit(1)), lambda x: F.hash(x))).otherwise(F.array().cast("array<int>"))
-        return F.sort_array(F.array_distinct(F.concat(starts, inside, F.array(F.hash(F.substring(line, -LONG, LONG))))))
+        ranked = F.transform(w, lambda x, i: F.shiftleft(F.hash(x).cast("long").bitwiseAND(part) + F.when(F.length(x) >= ANCHOR, 0).otherwise(1 << 30), 30).bitwiseOR(i.cast("long")))
+        at = F.slice(F.sort_array(ranked), 1, SKETCH)
+
+        def start(x: Column) -> Column:
+            i = x.bitwiseAND(part).cast("int")
+            return packed(F.shiftright(x, 30), F.substring(F.concat_ws(" ", *(F.get(w, i + j) for j in range(4))), 1, LONG))
+
+        inside = F.when(F.exists(w, lambda x: F.length(x) >= LONG + 8), F.transform(F.regexp_extract_all(line, F.lit(INSIDE), F.lit(1)), own)).otherwise(F.array().cast("array<bigint>"))
+        taken = F.slice(F.array_distinct(F.sort_array(F.concat(F.transform(at, start), inside, F.array(own(F.substring(line, -LONG, LONG)))))), 1, SKETCH)
+        return F.array_distinct(F.transform(taken, lambda x: x.bitwiseAND(low)))
 
     return F.transform(F.array(F.split(line, " ")), of)[0]  # in a lambda, so that the words are split once
 
@@ -54,29 +79,29 @@ def prefix(size: Column, similarity: float) -> Column:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """Rows (key, id) of classes (id, a0..a3, tiny, m): two neighbouring hashes of the sketch are a band, so that a
-    common phrase alone makes none; of lines with few sketch shingles each hash is one, too."""
+    """Rows (key, id) of classes (id, a0.., tiny, m): two neighbouring shingles of the sketch are a band, so that a
+    common phrase alone makes none; of lines with few sketch shingles each is one, too."""
     low = F.lit((1 << 32) - 1)
-    s = [x for c in ("a0", "a1", "a2", "a3") for x in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(low))]
+    s = [x for c in (f"a{i}" for i in range(SKETCH // 2)) for x in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(low))]
     m = F.col("m")
-    keys = [F.when((m <= SINGLES) & (m > i), F.xxhash64(F.lit(1), s[i])) for i in range(SKETCH)]
-    keys += [F.when((m >= PAIRS) & (m > i + 1), F.xxhash64(F.lit(2), s[i], s[i + 1])) for i in range(SKETCH - 1)]
+    keys = [F.when((m <= SINGLES) & (s[i] != 0), F.xxhash64(F.lit(1), s[i])) for i in range(SKETCH)]
+    keys += [F.when((m >= PAIRS) & (s[i + 1] != 0), F.xxhash64(F.lit(2), s[i], s[i + 1])) for i in range(SKETCH - 1)]
     t = F.shiftrightunsigned("tiny", 32), F.col("tiny").bitwiseAND(low)
     keys += [F.when(x != 0, F.xxhash64(F.lit(3), x)) for x in t]
-    return classes.select("id", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL").distinct()
+    return classes.select("id", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
 
 
 def parities(texts: DataFrame, n: int) -> DataFrame:
-    """(id, hint) of lines (id, line): the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
-    each = texts.select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h"))
+    """(id, hint) of lines (id, line, copy), one for all copies: the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
+    each = texts.select("id", "copy", F.explode(shingle_hashes(F.col("line"), n)).alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
     odd = (F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES))
-    return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
+    return each.groupBy("id", "copy").agg(F.count("*").cast("int").alias("n"), *odd).dropDuplicates(["id"]).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
 
 
 def rarest(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """Rows (key, id) by which no two alike lines miss each other: the prefix of each line's shingles, the rarest first."""
-    each = durable(texts.select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h")))
+    each = durable(texts.dropDuplicates(["id"]).select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h")))
     counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
     ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))  # a line's own shingles
     return ordered.select("id", F.explode(F.slice("s", F.lit(1), prefix(F.size("s"), similarity))).alias("x")).select(F.xxhash64(F.lit(4), "x.h").alias("key"), "id")
@@ -90,9 +115,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     connected component one line stays in the corpus, the first by (key, text hash, place). Lines of under `min_chars`
     characters are structure: they always stay; by default only blank ones are.
 
-    Equal lines become one class first, with a number. A class's signature is the SKETCH smallest hashes of its longer
-    character shingles; bands are neighbours in it (see `bands`, `components.joined`): two lines of whose sketch
-    shingles three fifths agree share one with a chance of 0.97. The members of vast buckets are looked up by the
+    Equal lines become one class first, with a number. A class's signature are the first
+    SKETCH of its longer character shingles in the order of hashes; bands are neighbours in it (see `bands`,
+    `components.joined`): two lines of whose sketch shingles three fifths agree share one with a chance of 0.97. The members of vast buckets are looked up by the
     rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
     spared, every other is verified on the shingles of its whole lines (by hashes of 64 bits). Links are joined by
     distributed union-find. A document that loses every line has an empty text; null stays null. Rows of one key and
@@ -101,25 +126,25 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     new = fresh(docs, "n_lines", "n_dropped", "_h", "_k2", "_h2", "_drop")
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= min_chars)
     split = base.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("line", normal(F.col("line"))).where(F.length("line") >= min_chars)
-    coded = split.withColumn("digest", F.unhex(F.md5("line")))
+    coded = split.withColumns({"digest": F.unhex(F.md5("line")), "pick": F.xxhash64("k", "h", "i")})
     short = F.sort_array(F.transform(shingle_hashes(F.col("line"), shingle_chars), lambda x: F.hash(x)))
     tiny = F.when(F.length("line") <= TINY, F.slice(short, F.lit(1), prefix(F.size(short), similarity)))
-    signed = coded.select("k", "h", "i", "digest", F.when(F.length("line") >= shingle_chars, sketch(F.col("line"))).alias("s"), tiny.alias("t"))
-    lines = stored(signed.select("k", "h", "i", "digest", F.coalesce(F.size("s"), F.lit(0)).alias("m"), F.slice("s", 1, SKETCH).alias("s"), "t"))
+    signed = coded.select("k", "h", "i", "digest", F.size(F.split("line", " ")).alias("m"), F.when(F.length("line") >= shingle_chars, sketch(F.col("line"))).alias("s"), tiny.alias("t"))
+    lines = stored(signed)
 
     def two(column: str, at: int) -> Column:
         """Two hashes of 32 bits as one number, 0 for none."""
         x, y = (F.coalesce(F.get(column, F.lit(at + j)), F.lit(0)).cast("long").bitwiseAND((1 << 32) - 1) for j in range(2))
         return F.shiftleft(x, 32).bitwiseOR(y)
 
-    packed = lines.select("digest", "m", *(two("s", 2 * i).alias(f"a{i}") for i in range(SKETCH // 2)), two("t", 0).alias("tiny"))
-    grouped = packed.groupBy("digest").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in packed.columns[1:]))
+    packed = lines.select("digest", F.xxhash64("k", "h", "i").alias("pick"), "m", *(two("s", 2 * i).alias(f"a{i}") for i in range(SKETCH // 2)), two("t", 0).alias("tiny"))
+    grouped = packed.groupBy("digest").agg(F.count("*").alias("copies"), F.min("pick").alias("pick"), *(F.first(c).alias(c) for c in packed.columns[2:]))
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
 
     members = shared(bands(classes))
-    wanted = durable(members.select("id").distinct().join(classes.select("id", "digest"), "id"))
-    met = coded.select("digest", "line").join(broadcast_if_small(wanted), "digest").select("id", "line")
-    texts = stored(met.groupBy("id").agg(F.first("line").alias("line")))
+    wanted = durable(members.select("id").distinct().join(classes.select("id", "digest", "pick"), "id"))
+    met = coded.select("digest", "pick", "line").join(broadcast_if_small(wanted), ["digest", "pick"])
+    texts = stored(met.select("id", "line", F.monotonically_increasing_id().alias("copy")))  # repeated rows give copies
     step = 1.0001 * max(math.log(1 / similarity), 0.01)  # sizes of alike lines are at most one grade apart
     hints = stored(parities(texts, shingle_chars).withColumn("grade", F.floor(F.log(F.greatest("hint.n", F.lit(1))) / step).cast("int")))
 
@@ -141,7 +166,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
             na, nb = F.size(s["a"]), F.size(s["b"])
             return F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda m: m >= similarity * (na + nb - m) - 1e-9)
 
-        return both.where(F.exists(sets, agree)).select("a", "b")
+        return both.where(F.exists(sets, agree)).select("a", "b").distinct()
 
     roots = joined(members, alike, hints, possible, lambda ids: rarest(texts.join(ids, "id", "left_semi"), shingle_chars, similarity))
     many = classes.select("id", "digest", "copies").join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL")
