@@ -303,7 +303,31 @@ def test_entries_hold_as_of_the_fetch(spark):
     caps = spark.createDataFrame([(1, "http://b.x.org/", "2024-01-09"), (2, "http://b.x.org/", "2024-01-10"), (3, "http://b.x.org/", "2024-02-01"), (4, "http://a.x.org/", "2024-03-01"), (4, "http://a.x.org/", "2024-03-01"), (5, None, "2024-03-01"), (6, "http://y.org", None)], "page_id int, url string, fetched_on string").withColumn("fetched_on", F.col("fetched_on").cast("date")).withColumn("host", F.lit("mine"))
     got = url_filter.judge(caps, url_filter.validity(changes)).collect()
     assert sorted((r["page_id"], r["entry"] or "", r["blocked"]) for r in got) == [(1, "", False), (2, "x.org", True), (3, "", False), (4, "a.x.org", True), (4, "a.x.org", True), (5, "", False), (6, "", False)]
-    assert url_filter.judge(caps, url_filter.validity(changes.limit(0)), levels=1).where("blocked").count() == 0
+    assert url_filter.judge(caps, url_filter.validity(changes.limit(0))).where("blocked").count() == 0
+
+
+def test_deep_hosts_and_lists_apart(spark):
+    changes = spark.createDataFrame([("example.com", "2024-01-01", "add", "spam"), ("example.com", "2024-02-01", "add", "adult"), ("example.com", "2024-03-01", "remove", "adult"), ("example.com", "2024-05-01", "remove", None)], "entry string, d string, action string, category string").select("entry", F.to_date("d").alias("changed_on"), "action", "category")
+    rows = [(i, "http://d.b.c.a.x.example.com/p", d, "mine") for i, d in enumerate(("2023-12-31", "2024-01-05", "2024-02-05", "2024-04-01", "2024-05-01"))]
+    caps = spark.createDataFrame(rows, "page_id int, url string, d string, entry string").withColumn("fetched_on", F.to_date("d"))
+    got = url_filter.judge(caps, url_filter.validity(changes)).orderBy("page_id").collect()
+    assert [(r["entry_"], r["category"]) for r in got] == [(None, None), ("example.com", "spam"), ("example.com", "adult"), ("example.com", "spam"), (None, None)]
+    assert {r["entry"] for r in got} == {"mine"}
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand hex runs in one text: spans as Python finds them, in seconds."""
+    text = " ".join(f"é{i:024x}" for i in range(100_000))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), F.sha2(secrets.digest(F.col("base")).cast("binary"), 256).alias("h")).first()
+    want = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text))
+    assert (row["n"], row["h"]) == (100_000, hashlib.sha256(want.encode()).hexdigest())
+
+
+def test_only_the_leaking_text_of_a_key_goes(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, f"x {item} y"), (None, "a clean text of some words without a key"), (7, item), (7, "a clean text of key seven, of some words"), (7, None), (8, item), (8, item)], "doc_id long, text string")
+    left = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:7]) for r in left) == [("7", ""), ("7", "a clean"), ("None", "a clean")]
 
 
 # Digests of the thin queries

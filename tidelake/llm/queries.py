@@ -59,7 +59,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 OP6_SQL = r"""
@@ -102,7 +102,7 @@ def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_on", F.coalesce(day(digits(F.concat_ws("#", "url", "page_id"), 1) % 365), F.lit("2024-01-01").cast("date")))
     name = url_filter.host(F.col("url"))
-    names = pages.select(F.explode(F.array(name, url_filter.parent(name))).alias("entry")).where("entry IS NOT NULL").distinct()
+    names = pages.select(F.explode(url_filter.domains(name)).alias("entry")).where("entry IS NOT NULL").distinct()
     number = digits(F.col("entry"), 7)
     listed = names.select("entry", number.alias("n")).where("n % 3 = 0")
     stage = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
@@ -110,7 +110,7 @@ def captures_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
         "entry",
         day(F.col("n") % 90 + F.col("k") * (30 + F.col("n") % 60)).alias("changed_on"),
         F.when(F.col("k") % 2 == 0, "add").otherwise("remove").alias("action"),
-        F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (F.col("n") + F.col("k")) % 3 + 1).alias("category"),
+        F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), ((F.col("n") + F.col("k") / 2) % 3 + 1).cast("int")).alias("category"),
     )
     return captures, changes
 
@@ -128,24 +128,21 @@ WITH p AS (
       regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':\d*$', ''), '\.$', ''), '^www\.', ''), '') AS host
   FROM pages),
 c AS (
-  SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN regexp_replace(host, '^[^.]+\.', '') END AS up1 FROM p),
-c2 AS (SELECT *, CASE WHEN len(string_split(up1, '.')) > 2 THEN regexp_replace(up1, '^[^.]+\.', '') END AS up2 FROM c),
-c3 AS (SELECT *, CASE WHEN len(string_split(up2, '.')) > 2 THEN regexp_replace(up2, '^[^.]+\.', '') END AS up3 FROM c2),
-n AS (SELECT DISTINCT entry FROM (SELECT host AS entry FROM c UNION ALL SELECT up1 FROM c) WHERE entry IS NOT NULL),
+  SELECT *, list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) AS ups FROM p),
+n AS (SELECT DISTINCT unnest(ups) AS entry FROM c WHERE host IS NOT NULL),
 l AS (SELECT entry, ('0x' || substr(md5(entry), 7, 6))::INT AS n FROM n),
 ch AS (
   SELECT entry, date '2024-01-01' + (n % 90 + k * (30 + n % 60))::INT AS changed_on,
     CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
-    (['adult', 'malware', 'spam'])[(n + k) % 3 + 1] AS category
+    (['adult', 'malware', 'spam'])[(n + k // 2) % 3 + 1] AS category
   FROM l, range(4) r(k) WHERE n % 3 = 0),
 v AS (
   SELECT entry, action, category, changed_on AS valid_from,
-    coalesce(lead(changed_on) OVER (PARTITION BY entry ORDER BY changed_on), date '9999-12-31') AS valid_to FROM ch),
+    coalesce(lead(changed_on) OVER (PARTITION BY entry, category ORDER BY changed_on), date '9999-12-31') AS valid_to FROM ch),
 m AS (
-  SELECT c3.page_id, c3.url, c3.fetched_on, c3.host, v.entry, v.category, v.valid_from, v.valid_to,
-    row_number() OVER (PARTITION BY c3.page_id ORDER BY length(v.entry) DESC NULLS LAST) AS rn
-  FROM c3 LEFT JOIN v ON v.action = 'add' AND v.entry IN (c3.host, c3.up1, c3.up2, c3.up3)
-    AND c3.fetched_on >= v.valid_from AND c3.fetched_on < v.valid_to)
+  SELECT c.page_id, c.url, c.fetched_on, c.host, v.entry, v.category, v.valid_from, v.valid_to,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.entry) DESC NULLS LAST, v.category, v.valid_from) AS rn
+  FROM c LEFT JOIN v ON v.action = 'add' AND list_contains(c.ups, v.entry) AND c.fetched_on >= v.valid_from AND c.fetched_on < v.valid_to)
 SELECT page_id, url, fetched_on, host, entry IS NOT NULL AS blocked, entry, category, valid_from, valid_to FROM m WHERE rn = 1
 """
 

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidelake.llm.common import fresh
-
-INTERVAL = "array<struct<valid_from:date,valid_to:date,category:string>>"
-
+from tidelake.llm.common import broadcast_if_small, durable, fresh
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port, trailing dot and a leading `www.`; null where there is none."""
@@ -22,58 +20,55 @@ def parent(name: Column) -> Column:
     return F.when(F.size(F.split(name, r"\.")) > 2, F.regexp_replace(name, r"^[^.]+\.", ""))
 
 
+def domains(name: Column) -> Column:
+    """A host and all its parent domains of two labels or more, the most specific first; empty for null."""
+    labels = F.split(name, r"\.")
+    found = F.transform(F.array(labels), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))[0]
+    return F.when(name.isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
 def validity(changes: DataFrame) -> DataFrame:
-    """One row per entry with its disjoint, ordered validity intervals.
+    """Disjoint validity intervals: rows (entry, category, valid_from, valid_to), the end not included.
 
-    `changes` has entry, changed_on (date), action (`add` or `remove`) and category. Of several changes of an entry
-    on one day a `remove` counts first, then the greatest category: so a day is one change and an entry's history is
-    bounded by its days, not its rows. An `add` holds from its day to the day of the next change, open to 9999-12-31.
-    Changes with a null entry or date or an unknown action are left out.
+    `changes` has entry, changed_on (date), action (`add` or `remove`) and category. Each category is a list of its
+    own; a `remove` without a category counts for all lists that ever held the entry. Of several changes of an entry in
+    a list on one day a `remove` counts, so a day is one change and a history is bounded by its days, not its rows. An
+    `add` holds from its day to the day of the next change, open to 9999-12-31. Changes with a null entry or date or an
+    unknown action are left out.
     """
-    known = changes.where(F.col("entry").isNotNull() & F.col("changed_on").isNotNull() & F.col("action").isin("add", "remove"))
-    daily = known.groupBy("entry", "changed_on").agg(F.max("action").alias("action"), F.max("category").alias("category"))
-    history = daily.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("changed_on", "action", "category"))).alias("h"))
-    spans = F.transform(
-        F.col("h"),
-        lambda x, i: F.struct(
-            x["changed_on"].alias("valid_from"),
-            F.coalesce(F.get(F.col("h"), i + 1)["changed_on"], F.to_date(F.lit("9999-12-31"))).alias("valid_to"),
-            x["category"].alias("category"),
-            x["action"].alias("action"),
-        ),
-    )
-    adds = F.transform(F.filter(spans, lambda x: x["action"] == "add"), lambda x: F.struct(x["valid_from"], x["valid_to"], x["category"]))
-    return history.select("entry", adds.cast(INTERVAL).alias("intervals")).where(F.size("intervals") > 0)
+    known = changes.where(F.col("entry").isNotNull() & F.col("changed_on").isNotNull() & F.col("action").isin("add", "remove")).select("entry", "category", "changed_on", "action")
+    everywhere = F.col("category").isNull() & (F.col("action") == "remove")
+    lists = known.where("action = 'add'").select("entry", "category").distinct()
+    spread = known.where(everywhere).drop("category").distinct().join(lists, "entry").select("entry", "category", "changed_on", "action")
+    daily = known.where(~everywhere).union(spread).groupBy("entry", "category", "changed_on").agg(F.max("action").alias("action"))
+    following = F.lead("changed_on").over(Window.partitionBy("entry", "category").orderBy("changed_on"))
+    spans = daily.withColumn("valid_to", F.coalesce(following, F.to_date(F.lit("9999-12-31"))))
+    return spans.where("action = 'add'").select("entry", "category", F.col("changed_on").alias("valid_from"), "valid_to")
 
 
-def judge(captures: DataFrame, lists: DataFrame, url: str = "url", fetched_on: str = "fetched_on", levels: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
+def judge(captures: DataFrame, lists: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
     """Every capture with `host`, `blocked` and the list entry active when it was fetched.
 
-    `lists` comes from `validity`. A capture is held against its host and up to `levels - 1` parent domains, the
-    most specific active entry wins: entry, category, valid_from and valid_to are its, null if none is active.
-    Lists of at most `broadcast_rows` entries (counted first) are broadcast; others join by shuffle, where a hot
-    host is divided by the adaptive skew join, as the list has one row per entry. The capture side is never
-    multiplied, so repeated captures stay as they are; a null or relative URL, or a null time, is not blocked.
-    Columns of the captures are kept; a new one gets a trailing `_` where its name is taken.
+    `lists` comes from `validity`. A capture is held against its host and all parent domains of two labels or more; the
+    most specific active entry wins, of several lists the first category: entry, category, valid_from and valid_to are
+    its, null if none is active. Every (host, day) of the captures is judged once, by an as-of join with the intervals,
+    so a host that holds a third of all captures is few rows there; the verdicts then join the captures, broadcast if
+    they are small (counted first), else by a shuffle that the adaptive skew join divides. Repeated captures stay as
+    they are; a null or relative URL, or a null time, is not blocked. Columns of the captures are kept; a new one gets
+    a trailing `_` where its name is taken.
     """
-    names = fresh(captures, "host", "blocked", "entry", "category", "valid_from", "valid_to")
-    small = lists.limit(broadcast_rows + 1).count() <= broadcast_rows
+    names = fresh(captures, "host", "blocked", "entry", "category", "valid_from", "valid_to", "_day", "_found", "_h", "_d")
     out = captures.withColumn(names[0], host(F.col(url)))
-    found: list[Column] = []
-    level = F.col(names[0])
-    tmp = fresh(out, *(f"_level{k}" for k in range(levels)), *(f"_spans{k}" for k in range(levels)))
-    for k in range(levels):
-        out = out.withColumn(tmp[k], level)
-        level = parent(F.col(tmp[k]))
-        side = lists.select(F.col("entry").alias("_entry_side"), F.col("intervals").alias(tmp[levels + k]))
-        side = F.broadcast(side) if small else side
-        out = out.join(side, out[tmp[k]] == side["_entry_side"], "left").drop("_entry_side")
-        active = F.filter(F.col(tmp[levels + k]), lambda x: (x["valid_from"] <= F.col(fetched_on)) & (F.col(fetched_on) < x["valid_to"]))
-        hit = F.get(active, F.lit(0))
-        found.append(F.when(hit.isNotNull(), F.struct(F.col(tmp[k]).alias("entry"), hit["category"].alias("category"), hit["valid_from"].alias("valid_from"), hit["valid_to"].alias("valid_to"))))
-    (best,) = fresh(out, "_best")
-    out = out.withColumn(best, F.coalesce(*found))
-    out = out.withColumn(names[1], F.col(best).isNotNull())
-    for name, field in zip(names[2:], ("entry", "category", "valid_from", "valid_to"), strict=True):
-        out = out.withColumn(name, F.col(best)[field])
-    return out.drop(best, *tmp)
+    days = out.select(F.col(names[0]).alias("h"), F.col(fetched_on).cast("date").alias("d")).where("h IS NOT NULL AND d IS NOT NULL").distinct()
+    asked = days.select("h", "d", F.posexplode(domains(F.col("h"))).alias("up", "name"))
+    spans = durable(lists.select("entry", "category", "valid_from", "valid_to"))
+    met = asked.join(broadcast_if_small(spans), F.col("name") == F.col("entry")).where("d >= valid_from AND d < valid_to")
+    order = F.struct("up", F.coalesce("category", F.lit("")), "valid_from")
+    best = met.groupBy("h", "d").agg(F.min_by(F.struct("entry", "category", "valid_from", "valid_to"), order).alias(names[7]))
+    verdicts = durable(best.withColumnsRenamed({"h": names[8], "d": names[9]}))
+    out = out.withColumn(names[6], F.col(fetched_on).cast("date"))
+    out = out.join(broadcast_if_small(verdicts, 300), (out[names[0]] == verdicts[names[8]]) & (out[names[6]] == verdicts[names[9]]), "left")
+    out = out.withColumn(names[1], F.col(names[7]).isNotNull())
+    for name, field in zip(names[2:6], ("entry", "category", "valid_from", "valid_to"), strict=True):
+        out = out.withColumn(name, F.col(names[7])[field])
+    return out.drop(*names[6:])
