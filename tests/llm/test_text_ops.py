@@ -226,7 +226,7 @@ def test_decontamination_of_odd_rows(spark, odd):
 def brute_groups(docs):
     sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in docs for w in [re.findall(r"[^\W_]+", t.lower())]}
     df = Counter(g for s in sets.values() for g in s)
-    w = {i: {g: n * (1 + math.log(len(docs) / max(df[g], near_dedup.FLOOR * len(docs), 2 if df[g] < 2 else 0))) for g, n in s.items()} for i, s in sets.items()}
+    w = {i: {g: n * (1 + math.log(len(docs) / df[g])) for g, n in s.items()} for i, s in sets.items()}
     texts, root = dict(docs), {i: i for i, _ in docs}
 
     def find(x):
@@ -256,6 +256,20 @@ def test_groups_equal_brute_force(spark, documents):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_weights_are_plain_tf_idf_and_smoothed_beyond(spark, monkeypatch):
+    docs = [" ".join(f"w{(i * k) % 97}" for k in range(1, 30)) for i in range(300)] + ["a b c d e f"] * 50
+    df = Counter(g for t in docs for g in word_sets(t))
+    frame = spark.createDataFrame([(t,) for t in docs], "t string").repartition(3)
+    for floor in (1 / 500, 0.1):
+        monkeypatch.setattr(near_dedup, "FLOOR", floor)
+        weights = near_dedup.fit(frame, "t")
+        for t in docs[::7]:
+            _, h = near_dedup.shingles(pa.array([t]))
+            w = t.split()
+            want = [1 + math.log(350 / max(df[tuple(w[i : i + 5])], floor * 350, 1)) for i in range(len(w) - 4)]
+            assert np.allclose(weights.of(h, np.ones(len(h))), want)
+
+
 def test_near_dedup_of_odd_rows(spark, odd):
     kept = near_dedup.dedup(odd)
     assert kept.columns == odd.columns

@@ -72,12 +72,10 @@ def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column]
     each other, nor are members whose grades differ by over 1. `possible` tells from the hints of two members whether they can be alike at all.
     """
     groups = members.groupBy("key", "root", "grade").agg(F.count("*").alias("m"))
-    mixed = groups.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    graded = groups.groupBy("key", "grade").agg(F.sum("m").alias("n"))
-    sizes = groups.join(mixed, "key").join(graded, ["key", "grade"])
+    sizes = groups.join(groups.groupBy("key", "grade").agg(F.sum("m").alias("n")), ["key", "grade"])
     own = F.col("m") > BLOCK
     part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
-    dealt = durable(members.join(sizes, ["key", "root", "grade"]).select("key", "id", "root", "hint", "grade", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "grade", "part")))
+    dealt = durable(members.drop("n").join(sizes, ["key", "root", "grade"]).select("key", "id", "root", "hint", "grade", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "grade", "part")))
     blocks = dealt.select("key", "block", "own", "grade").distinct()
     other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"), F.col("grade").alias("grade_b"))
     both = blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true) AND abs(grade - grade_b) <= 1").select("key", "block", "block_b")
@@ -100,33 +98,33 @@ def joined(
     """One row (id, root) for every id that a verified link joins: the components of all links between ids that share a bucket.
 
     `members` comes from `shared`; `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all
-    pairs. The ids of vast buckets get the finer keys (key, id) of `refine`, which must be such that any two alike ids
-    share one; so nothing is lost. Large buckets, of either kind, compare a star first, then every two members that
-    the links found so far do not join: a large family costs a star, and no pair that could join two components is
-    left out. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
+    pairs, large ones a star first and then every two members that the links found so far do not join: a large family
+    costs a star, and no pair that could join two components is left out. The ids of vast buckets that a star does not
+    join get the finer keys (key, id) of `refine` instead, which must be such that any two alike ids share one. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
     """
     few, many = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    if refine is not None:
-        vast = durable(members.where(F.col("n") > VAST_BUCKET).select("id").distinct())
-        if not vast.isEmpty():
-            finer = shared(refine(vast))
-            few = few.union(finer.where(F.col("n") <= SMALL_BUCKET))
-            many = many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))
     left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
     every = left.join(right, "key").where("a < b").select("a", "b")
     leads = many.groupBy("key").agg(F.min("id").alias("lead"))
     star = many.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     first = durable(every.union(star).distinct())
-    found = durable(verify(first))
-    roots = components(found)
-    if many.isEmpty():
+    roots = durable(components(verify(first)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows (key, id, n) with the root of each id, of buckets that hold more than one."""
+        named = rows.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return named.join(mixed, "key", "left_semi")
+
+    apart = durable(placed(many))
+    if apart.isEmpty():
         return roots
-    roots = durable(roots)
-    placed = many.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    hinted = placed.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else placed.join(hints, "id")
+    if refine is not None:
+        vast = durable(apart.where(F.col("n") > VAST_BUCKET).select("id").distinct())
+        if not vast.isEmpty():
+            apart = durable(apart.where(F.col("n") <= VAST_BUCKET).union(placed(shared(refine(vast)))))
+    hinted = apart.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else apart.join(hints, "id")
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots
     more = durable(verify(rest))
     if more.isEmpty():
         return roots

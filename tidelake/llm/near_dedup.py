@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,10 @@ from tidelake.llm.components import joined, shared
 
 WORDS = 5
 BANDS, ROWS = 10, 3
-#: Document frequencies count from this share of all documents on; rarer shingles weigh as those just there.
-FLOOR = 0.05
-COUNTERS = 1 << 16
+#: The weight of a shingle stops growing at this share of all documents (smoothing; without effect up to 1 / FLOOR documents).
+FLOOR = 1 / 500
+#: Shared counters that find the shingles over the floor, in pieces; and parts in which tasks add theirs up.
+COUNTERS, PIECE, PARTS = 1 << 20, 1 << 12, 1_000
 SLICE_BYTES = 8_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
@@ -70,12 +72,13 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
 
 
 class Weights:
-    """TF-IDF weights: occurrences times 1 + ln(N / df), with df no less than FLOOR * N."""
+    """TF-IDF weights: occurrences times 1 + ln(N / df), with df no less than FLOOR * N (nor 1)."""
 
-    def __init__(self, documents: int, frequent: dict[int, int]) -> None:
-        self.rare = 1 - math.log(FLOOR)
-        self.hashes = np.array(sorted(frequent), np.uint64)
-        self.idf = np.array([1 + math.log(max(documents, 1) / frequent[int(x)]) for x in self.hashes])
+    def __init__(self, documents: int, hashes: np.ndarray, df: np.ndarray) -> None:
+        n = max(documents, 1)
+        self.rare = 1 + math.log(min(n, 1 / FLOOR))
+        order = np.argsort(hashes)
+        self.hashes, self.idf = hashes[order], 1 + np.log(n / df[order])
 
     def of(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
         out = np.full(len(h), self.rare)
@@ -85,50 +88,58 @@ class Weights:
         return out * times
 
 
+def _sum_pieces(t: pa.Table) -> pa.Table:
+    total = np.zeros(PIECE, np.int64)
+    for x in t["counts"].to_pylist():
+        total += np.frombuffer(x, np.int64)
+    return pa.table({"piece": t["piece"].slice(0, 1), "part": pa.array([0], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "rows": pa.array([sum(t["rows"].to_pylist())], pa.int64())})
+
+
 def fit(docs: DataFrame, text: str) -> Weights:
-    """Document frequencies over all documents, exact for every shingle in at least FLOOR of them.
+    """Document frequencies over all documents, exact for every shingle in at least FLOOR of them (and in two).
 
     All occurrences are counted in COUNTERS shared counters, which bound every shingle's frequency from above; only
-    shingles on counters that reach the floor are then counted one by one. Tasks combine their counts first. Shingles
-    over the floor are at most (mean shingles of a document) / FLOOR, so they fit the driver at any size of corpus.
+    shingles on counters that reach the floor are then counted one by one. Counters are added up in two steps, so that
+    no task sees those of all. Shingles over the floor are at most (mean shingles of a document) / FLOOR, so they fit
+    the driver at any size of corpus.
     """
     texts = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
+    spec = "piece bigint, part bigint, counts binary, rows bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(COUNTERS, np.int64), 0
+        total, rows, part = np.zeros(COUNTERS, np.int64), 0, TaskContext.get().partitionId() % PARTS
         for batch in batches:
             rows += batch.num_rows
-            for part in slices(batch.column(0)):
-                _, h = shingles(part)
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["c", "n"])
-
-    sums = durable(texts.mapInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")))
-    documents = (sums.where("c = -1").first() or (0, 0))[1]
+            for piece in slices(batch.column(0)):
+                doc, h = shingles(piece)
+                _, h, _ = counted(doc, h)
+                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        if rows:
+            n = COUNTERS // PIECE
+            cut = [total[i * PIECE : (i + 1) * PIECE].tobytes() for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array(cut, pa.binary()), pa.array([rows] + [0] * (n - 1), pa.int64())], names=["piece", "part", "counts", "rows"])
+
+    parts = texts.mapInArrow(count, spec).groupBy("piece", "part").applyInArrow(_sum_pieces, spec)
+    sums = durable(parts.groupBy("piece").applyInArrow(_sum_pieces, spec))
+    documents = sums.agg(F.sum("rows")).first()[0] or 0
     least = max(FLOOR * documents, 2)
+    none = Weights(documents, np.zeros(0, np.uint64), np.zeros(0))
     hot = np.zeros(COUNTERS, bool)
-    hot[[r[0] for r in sums.where((F.col("c") >= 0) & (F.col("n") >= least)).collect()]] = True
+    for r in sums.select("piece", "counts").toLocalIterator():  # COUNTERS numbers in all
+        hot[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], np.int64) >= least
     if not hot.any():
-        return Weights(documents, {})
+        return none
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch.column(0)):
-                doc, h = shingles(part)
-                keep = hot[(h >> np.uint64(48)).astype(np.int64)]
-                _, h, _ = counted(doc[keep], h[keep])
-                values, times = np.unique(h, return_counts=True)
-                for x, n in zip(values.view(np.int64).tolist(), times.tolist(), strict=True):
-                    seen[x] = seen.get(x, 0) + n
-                if len(seen) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
-                    seen = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
-
-    found = texts.mapInArrow(exact, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return Weights(documents, {r[0] % (1 << 64): r[1] for r in found})
+            for piece in slices(batch.column(0)):
+                doc, h = shingles(piece)
+                keep = hot[(h >> np.uint64(44)).astype(np.int64)]
+                values, times = np.unique(counted(doc[keep], h[keep])[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    found = texts.mapInArrow(exact, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return Weights(documents, found["h"].to_numpy().view(np.uint64), found["n"].to_numpy())
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +149,8 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, np.log(c), b, rng.integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(texts: pa.Array, weights: Weights) -> list[list[int]]:
-    """BANDS keys for each text, none for texts without shingles.
+def band_keys(texts: pa.Array, weights: Weights) -> tuple[list[list[int]], list[float]]:
+    """BANDS keys for each text, none for texts without shingles, and the sum of its weights.
 
     Improved consistent weighted sampling: of each shingle, for each sample, draws fixed by its hash turn the weight
     into a quantised step t and a value ln a; the shingle of least ln a is taken with its t. Two texts take the same
@@ -149,8 +160,9 @@ def band_keys(texts: pa.Array, weights: Weights) -> list[list[int]]:
     doc, h, times = counted(*shingles(texts))
     out: list[list[int]] = [[] for _ in range(len(texts))]
     if not len(h):
-        return out
-    log_w = np.log(weights.of(h, times))
+        return out, [0.0] * len(texts)
+    w = weights.of(h, times)
+    log_w = np.log(w)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     lens = np.diff(np.append(starts, len(doc)))
     which = np.repeat(np.arange(len(starts)), lens)
@@ -170,7 +182,7 @@ def band_keys(texts: pa.Array, weights: Weights) -> list[list[int]]:
         keys[:, band] = (keys[:, band] ^ (mixed ^ (mixed >> np.uint64(31)))) * ODD[3] + np.uint64(k + 1)
     for i, row in zip(doc[starts].tolist(), keys.view(np.int64).tolist(), strict=True):
         out[i] = row
-    return out
+    return out, np.bincount(doc, w, len(texts)).tolist()
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
@@ -201,10 +213,14 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([x for part in slices(column) for x in band_keys(part, weights)], pa.list_(pa.int64()))
+            got = [band_keys(part, weights) for part in slices(column)]
+            yield pa.StructArray.from_arrays([pa.array([x for keys, _ in got for x in keys], pa.list_(pa.int64())), pa.array([x for _, sums in got for x in sums], pa.float64())], names=["bands", "weight"])
 
-    rows = stored(whole.select("k", "id", F.arrow_udf(sign, "array<bigint>")("t").alias("bands")))
-    classes = durable(rows.groupBy("id").agg(F.min("k").alias("least"), F.first("bands").alias("bands")))
+    signed = whole.select("k", "id", F.arrow_udf(sign, "struct<bands:array<bigint>,weight:double>")("t").alias("s"))
+    rows = stored(signed.select("k", "id", "s.bands", "s.weight"))
+    classes = durable(rows.groupBy("id").agg(F.min("k").alias("least"), F.first("bands").alias("bands"), F.first("weight").alias("hint")))
+    step = 1.0001 * max(math.log(1 / similarity), 0.01)  # weights of alike texts are at most one grade apart
+    hints = classes.where("hint > 0").select("id", "hint", F.floor(F.log("hint") / step).cast("int").alias("grade"))
 
     def similar(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in pairs:
@@ -218,7 +234,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity).select("a", "b")
 
-    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify)
+    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
