@@ -39,6 +39,24 @@ def test_links_equal_brute_force(spark, vectors, options):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_recall_of_planted_near_pairs_without_copies(spark):
+    """Pairs of distinct vectors, many just over the limit, scattered over many shards: recall at least 0.9."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 32)) * np.linspace(0.05, 0.36, 1500)[:, None]
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), leaf_rows=100, task_rows=200).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    links = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 1500 and (links <= want).all() and links.sum() >= 0.9 * want.sum()
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e308, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 1.0, 1.0]), (10, [-1.0, 0.0])]

@@ -157,10 +157,39 @@ def search(x: np.ndarray, graph: np.ndarray, radius: float, slack: float = 0.1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows; scaled by the greatest component first, so that no square overflows or vanishes."""
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True, initial=np.finfo(float).tiny)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def least_of(n: int, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The least row of each row's component under links (q, r) that hold both ways."""
+    root = np.arange(n)
+    while len(q):
+        low = root.copy()
+        np.minimum.at(low, q, root[r])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return root
+
+
+def complete(x: np.ndarray, root: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """All links, both ways, within each component of a task: what one search of two rows misses, the other's need not."""
+    order = np.argsort(root, kind="stable")
+    cuts = np.flatnonzero(np.append(True, root[order][1:] != root[order][:-1])) if len(root) else np.zeros(0, np.int64)
+    qs, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows in np.split(order, cuts[1:]):
+        for a in range(0, len(rows) if len(rows) > 1 else 0, 512):
+            i, j = np.nonzero(x[rows[a : a + 512]] @ x[rows].T >= radius)
+            qs.append(rows[a + i])
+            rs.append(rows[j])
+    q, r = np.concatenate(qs), np.concatenate(rs)
+    return q[q != r], r[q != r]
+
+
 def near_vectors(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, leaf_rows: int = 300, overlap: int = 3, task_rows: int = 2_000, sample_rows: int = 20_000, audit_rows: int = 200, least_recall: float = 0.95
 ) -> DataFrame:
@@ -169,12 +198,14 @@ def near_vectors(
     Vectors of equal components are one class (its copies are linked, and counted, without pairs). Class vectors go
     to the shards of their `overlap` nearest centroids; a shard of over `task_rows` is dealt by hash into parts, and
     each pair of parts is a task, so that no dense group is one task. Tasks build robust-pruned graphs, a node's
-    lists are united over its shards, and every task searches its rows in the united graph. A found pair is verified
-    by its cosine in double precision and counted in the least task that both share. Links join by union-find.
+    lists are united over its shards, and every task searches its rows in the part of the united graph that it holds;
+    within the components so found no link is left out. Links are verified by their cosine in double precision and
+    counted in the least task that both share. Links join by union-find.
 
     The centroids come from at most `sample_rows` classes (the one bounded sample); every row is indexed. Recall is
-    audited against brute force for about `audit_rows` classes held against all rows; below `least_recall` the index
-    is built again with one shard more for each row, up to all shards, which is exhaustive.
+    audited against brute force over links between distinct vectors, for about `audit_rows` classes at random and as many
+    that have links, each held against all; below `least_recall` the index is built again with one shard more for each
+    row, up to all shards, which is exhaustive.
 
     Vectors that are null, empty, zero or of another length than most, or hold a null or non-finite component, link
     with nothing: no links, their own component, kept. Repeated keys count as rows of their own. Other columns play
@@ -198,18 +229,28 @@ def near_vectors(
     sample = classes.where((F.pmod(F.xxhash64("id", F.lit("s")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     heads = centroids(_matrix(sample, dim), total, leaf_rows, math.cos(math.acos(cosine) / 2))
     step = max(1, total // audit_rows)
-    queries = classes.where(F.pmod(F.xxhash64("id", F.lit("a")), F.lit(step)) == 0).limit(4 * audit_rows).select("id", "v").toArrow()
-    q_ids, q_x = queries["id"].to_pylist(), _matrix(queries["v"].combine_chunks(), dim)
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(q_ids), np.int64)
-        for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                x = _matrix(b.column(0).slice(a, 4096), dim)
-                out += ((q_x @ x.T) >= cosine) @ b.column(1).slice(a, 4096).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.binary()), pa.array(out)], names=["id", "n"])
-
-    truth = durable(classes.select("v", "n").mapInArrow(brute, "id binary, n bigint").groupBy("id").agg(F.sum("n").alias("all"))) if q_ids else None
+    anyone = F.pmod(F.xxhash64("id", F.lit("a")), F.lit(step)) == 0
+
+    def recall(linked: DataFrame) -> float:
+        """Share of the true links between distinct vectors that were found, for about `audit_rows` classes at random and
+        as many of those with links, held against all classes. 1 if there is none to find."""
+        some = linked.where("others > 0")
+        share = max(1, some.count() // audit_rows)
+        chosen = some.where(F.pmod(F.xxhash64("id", F.lit("b")), F.lit(share)) == 0).select("id").limit(4 * audit_rows)
+        picked = classes.where(anyone).select("id").limit(4 * audit_rows).union(chosen).distinct()
+        queries = classes.join(F.broadcast(picked), "id").select("id", "v").toArrow()
+        q_ids, q_x = queries["id"].to_pylist(), _matrix(queries["v"].combine_chunks(), dim) if len(queries) else np.zeros((0, dim))
+
+        def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(q_ids), np.int64)
+            for b in batches:
+                for a in range(0, b.num_rows, 4096):
+                    out += ((q_x @ _matrix(b.column(0).slice(a, 4096), dim).T) >= cosine).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.binary()), pa.array(out)], names=["id", "n"])
+
+        truth = classes.select("v").mapInArrow(brute, "id binary, n bigint").groupBy("id").agg((F.sum("n") - 1).alias("all"))
+        found_, true_ = linked.join(F.broadcast(truth), "id").agg(F.sum("others"), F.sum("all")).first()
+        return found_ / true_ if true_ else 1.0
 
     while True:
         take = min(overlap, len(heads))
@@ -261,8 +302,8 @@ def near_vectors(
             for i, z in enumerate(near):
                 wide[i, : len(z)] = z
             q, r = search(x, wide, cosine)
-            both = np.unique(np.concatenate([q * len(ids) + r, r * len(ids) + q]))  # a link holds both ways
-            q, r = both // len(ids), both % len(ids)
+            root = least_of(len(ids), np.concatenate([q, r]), np.concatenate([r, q]))
+            q, r = complete(x, root, cosine)
             own = t["tasks"].to_pylist()
             task = t["task"][0].as_py()
             sets = [set(z) for z in own]
@@ -270,23 +311,14 @@ def near_vectors(
             mine = np.array([first[i] or first[j] or task == min(sets[i] & sets[j]) for i, j in zip(q.tolist(), r.tolist(), strict=True)], bool) if len(q) else np.zeros(0, bool)
             weight = np.array(t["n"].to_pylist(), np.int64)
             links = np.bincount(q[mine], weight[r[mine]], len(ids)).astype(np.int64)
-            root = np.arange(len(ids))
-            while len(q):  # least row of each component of the task
-                low = root.copy()
-                np.minimum.at(low, q, root[r])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
-            return pa.table({"id": t["id"], "links": pa.array(links), "root": t["id"].combine_chunks().take(pa.array(root)) if isinstance(t["id"], pa.ChunkedArray) else t["id"].take(pa.array(root))})
+            distinct = np.bincount(q[mine], minlength=len(ids)).astype(np.int64)
+            return pa.table({"id": t["id"], "links": pa.array(links), "others": pa.array(distinct), "root": t["id"].combine_chunks().take(pa.array(root)) if isinstance(t["id"], pa.ChunkedArray) else t["id"].take(pa.array(root))})
 
         searched = members.join(united, "id").select(F.explode("tasks").alias("task"), "id", "n", "v", "near", "tasks")
-        found = stored(searched.groupBy("task").applyInArrow(find, "id binary, links bigint, root binary"))
-        linked = durable(found.groupBy("id").agg(F.sum("links").alias("links")).join(classes.select("id", "n", "least"), "id").withColumn("n_links", F.col("links") + F.col("n") - 1))
-        if truth is None:
-            break
-        seen = linked.join(truth, "id").agg(F.sum("n_links"), F.sum(F.col("all") - 1)).first()
-        if not seen[1] or seen[0] >= least_recall * seen[1] or take == len(heads):
+        found = stored(searched.groupBy("task").applyInArrow(find, "id binary, links bigint, others bigint, root binary"))
+        sums = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        linked = durable(sums.join(classes.select("id", "n", "least"), "id").withColumn("n_links", F.col("links") + F.col("n") - 1))
+        if take == len(heads) or recall(linked) >= least_recall:
             break
         overlap += 1
 
