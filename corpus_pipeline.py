@@ -16,9 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the dictionaries tell; an unlabelled one gets it. Null, letterless and undecided texts go."""
-    dicts = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    told = language.classify(docs, dicts).where("accepted")
+    """Documents whose language the dictionaries tell; an unlabelled one gets it. Null and letterless texts go,
+    and those of too narrow a margin."""
+    dicts, margin = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    told = language.classify(docs, dicts, least_margin=margin).where("accepted")
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

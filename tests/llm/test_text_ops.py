@@ -66,6 +66,38 @@ def test_pages_at_the_edge(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_parts_of_an_article_stay():
+    filler = "<p>" + "A paragraph, with commas, that is long enough, to count as text of the page. " * 4 + "</p>"
+    page = f"""<div id="menu"><a href=/a>One</a> <a href=/b>Two</a></div><article>{filler}<section class="market-share"><p>Shares rose, he said.</p></section>
+      <p>As <math><mi>x</mi></math> grows, <a href=http://x/>links</a> stay.</p><h2>Sources</h2><ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>
+      <div class="share-buttons"><a href=#>Share</a></div></article><div class="related">Other, things</div>"""
+    got = html_text.main_text(page).split("\n")
+    assert got[1:] == ["Shares rose, he said.", "As x grows, links stay.", "Sources", "First source", "Second source"]
+
+
+def test_score_finds_the_container_without_article_tags():
+    """Pages without `article` or `main`: the container of long, comma-rich paragraphs wins over lists of links."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    for n in range(2, 12):
+        blocks = [f"{word()} " + ", ".join(" ".join(word() for _ in range(9)) for _ in range(6)) + "." for _ in range(n)]
+        links = "".join(f"<li><a href='/{i}'>{word()} {word()}</a></li>" for i in range(30))
+        page = f"<body><div class=top><ul>{links}</ul></div><div><div id=c{n}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</div><div class=side><ul>{links}</ul></div></div><div class=bottom>{word()} <a href=/>{word()}</a></div></body>"
+        assert html_text.main_text(page) == "\n".join(blocks)
+
+
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text("<p>" + "<span>" * n + "x</i></b></div>" * n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 40 * max(took(2_000), 0.01)
+
+
 def test_every_page_has_a_row(spark):
     pages = spark.createDataFrame([(1, None), (1, "<p>a"), (1, "<p>a")], "page_id int, html string").withColumn("text", F.lit("mine"))
     got = html_text.extract(pages).collect()
@@ -78,7 +110,11 @@ def test_every_page_has_a_row(spark):
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    dicts = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    dicts, margin = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    odd_texts = ["xq zzk wvw jjqx pplk qq zzw vvk " * 3, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u306f\u3053\u3053\u306b\u3042\u308a\u307e\u3059" * 3, "Suomen kieli kuuluu uralilaisten kielten ryhm\u00e4\u00e4n ja sit\u00e4 puhuu noin viisi miljoonaa", "kjhsdf lkjh wer sdlfkj lkjsdf oiuwer lkjsdf mnbxcv uiwer kjsdhf"]
+    assert margin > 0 and not language.classify(spark.createDataFrame([(t,) for t in odd_texts], "text string"), dicts, least_margin=margin).where("accepted").count()
+    clean = language.classify(docs.where(language.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 100)), dicts, least_margin=margin)
+    assert clean.agg(F.avg(F.col("accepted").cast("int"))).first()[0] > 0.99
     assert all(0 < len(d) <= 65_536 for d in dicts.values())
     told = language.classify(docs.where(language.held_out(F.col("doc_id"))), dicts).where(F.length("text") > 40)
     right, n, low, high = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*"), F.min("score"), F.max("score")).first()

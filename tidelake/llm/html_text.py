@@ -15,7 +15,7 @@ from tidelake.llm.common import fresh
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template iframe object svg canvas math textarea select button title".split())
+RAW = frozenset("script style noscript template iframe object svg canvas textarea select button title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag closes these open elements, up to the nearest element that holds them.
@@ -24,6 +24,11 @@ HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 #: Elements, roles and names in class or id that are never the article.
 ASIDE = frozenset("nav footer aside form menu dialog head search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Inside the article a class or id counts only as a whole, alone or with one of these endings.
+WHOLE = re.compile(
+    r"(?:^|\s)(?:ads?|adverts?|advertisement|advertising|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|cookies?|popup|modal|overlay|newsletter|subscribe|signup|social|share|sharing|related|recommended|more-stories|trending|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|tags|notice|skip-link)(?:[_-]?(?:box|bar|block|list|links?|buttons?|wrapper|container|section|area|posts?|articles?|stories|banner|form|unit|slot|thread|widget|icons?|nav|menu))?(?:$|\s)",
+    re.I,
+)
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|rail|widget|footer|masthead|site-header|page-header|header|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|more-stories|trending|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|tags|skip-link)(?:$|[\s_-])",
     re.I,
@@ -33,12 +38,14 @@ SCORED = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 div sectio
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "out", "score", "chars", "linked", "inside")
+    __slots__ = ("tag", "parent", "items", "out", "score", "chars", "linked", "inside", "block", "inline")
 
     def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
         self.tag, self.parent, self.out = tag, parent, out
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.items: list[Node | str] = []
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
+        self.inline: dict[str, int] = {}  # of a block: its open inline elements
         self.score = 0.0
         self.chars = self.linked = 0
 
@@ -58,7 +65,7 @@ def _left_out(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and NAMES.search(value) and not (inside and tag == "header"):
+        if name in ("class", "id") and (WHOLE if inside else NAMES).search(value) and not (inside and tag == "header"):
             return True
     return False
 
@@ -66,7 +73,17 @@ def _left_out(tag: str, attributes: str, parent: Node) -> bool:
 def parse(page: str) -> Node:
     """A tree of the page: optional end tags are implied, unclosed inline elements end with their block."""
     root = at = Node("html", None, False)
+    blocks: dict[str, int] = {}  # open ones by name, so that an end tag without a start costs nothing
     pos, size = 0, len(page)
+
+    def leave(node: Node, to: Node) -> Node:
+        """Closes all from `node` up to, but not, `to`."""
+        while node is not to:
+            counts = blocks if node.block is node else node.block.inline
+            counts[node.tag] -= 1
+            node = node.parent
+        return to
+
     while pos < size:
         start = page.find("<", pos)
         if start < 0:
@@ -85,14 +102,11 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
+            if (blocks if tag in BLOCK else at.block.inline).get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(at, node.parent)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(page, pos)
@@ -105,14 +119,14 @@ def parse(page: str) -> Node:
             up: Node | None = at
             while up is not None and (up.tag not in BLOCK or up.tag == "p"):
                 if up.tag == "p":
-                    at = up.parent or at
+                    at = leave(at, up.parent) if up.parent else at
                     break
                 up = up.parent
         if tag in CLOSES:
             up = at
             while up is not None and up.tag not in HOLDS[tag]:
                 if up.tag in CLOSES[tag] and up.parent is not None:
-                    at = up.parent
+                    at = leave(at, up.parent)
                     if tag not in ("tr",):
                         break
                 up = up.parent
@@ -121,8 +135,9 @@ def parse(page: str) -> Node:
             continue
         node = Node(tag, at, at.out or _left_out(tag, m[3], at))
         at.items.append(node)
-        if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            at = node
+        counts = blocks if node.block is node else node.block.inline
+        counts[tag] = counts.get(tag, 0) + 1
+        at = node
     return root
 
 
@@ -169,7 +184,7 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _blocks(node: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order; blocks that are mostly links of a list are left out."""
+    """Texts of the blocks below a node, in page order; outside an article, blocks that are mostly links are left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -187,7 +202,7 @@ def _blocks(node: Node) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         elif not x.out:
-            if x is not node and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.chars and x.linked > 0.6 * x.chars:
+            if x is not node and not x.inside and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.chars and x.linked > 0.6 * x.chars:
                 end()
                 continue
             if x.tag in BLOCK:

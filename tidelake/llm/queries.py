@@ -19,8 +19,8 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dicts = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.classify(docs.select("doc_id", "text"), dicts)
+    dicts, margin = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.classify(docs.select("doc_id", "text"), dicts, least_margin=margin)
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
