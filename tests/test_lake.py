@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import scalars as S
 from tidelake.functions import schemas
 from tidelake.operators import compact, frontier, migrate, quality, resample, score
-from tidelake.plans import ingest
+from tidelake.plans import ingest, run
 from tidelake.sources import chunks, files
 
 
@@ -109,10 +109,54 @@ def test_chunks(spark, tmp_path):
     (folder / "03h_ticks").write_bytes(blob((5, 108501, 108499, 1.5, 2.5), (7, 108502, 108498, 0.5, 0.25)))
     (folder / "04h_ticks").write_bytes(b"")
     (folder / "05h_ticks").write_bytes(b"not a chunk")
-    good, bad = chunks.decode_chunks(chunks.scan_chunks(spark, str(tmp_path)), "tick")
+    got = chunks.decode_chunks(chunks.scan_chunks(spark, str(tmp_path)), "tick")
+    good, bad = got.where("error IS NULL").drop("path", "error"), got.where("error IS NOT NULL")
     base = 1705287600000
     assert sorted(tuple(r) for r in good.collect()) == [("EURUSD", base + 5, 108501, 108499, 1.5, 2.5), ("EURUSD", base + 7, 108502, 108498, 0.5, 0.25)]
     assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["05h_ticks"]
+    # bars: seconds, then open, high, low, close; ticks beside them are not read as bars
+    (folder / "minute_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 100, 140, 90, 120, 2.5), format=lzma.FORMAT_ALONE))
+    (tmp_path / "EURUSD" / "2024" / "00" / "hour_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 3600, 1, 4, 0, 2, 0.5), format=lzma.FORMAT_ALONE))
+    found = chunks.scan_chunks(spark, str(tmp_path))
+    m1 = chunks.decode_chunks(found, "m1").drop("path").collect()
+    assert [r.asDict() for r in m1] == [{"symbol": "EURUSD", "error": None, "timestamp": 1705276860000, "open": 100, "high": 140, "low": 90, "close": 120, "volume": 2.5}]
+    assert [r["timestamp"] for r in chunks.decode_chunks(found, "h1").collect()] == [1704070800000]
+
+
+def test_written_chunks_are_found(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 3_600_005, 5, 4, 1.0, 2.0)], "symbol string, timestamp long, ask int, bid int, ask_vol float, bid_vol float")
+    blobs = chunks.encode_chunks(rows.withColumn("base_ms", F.lit(3_600_000).cast("long")), "tick", ["symbol"]).withColumn("key", F.lit("A/1970/00/01/01h_ticks"))
+    for root in (str(tmp_path / "x"), f"file://{tmp_path}/y", f"file:{tmp_path}/z"):
+        chunks.write_chunks(blobs, root)
+        assert chunks.decode_chunks(chunks.scan_chunks(spark, root), "tick").first()["timestamp"] == 3_600_005
+
+
+def test_absent_chunks_can_count_as_bad(spark, tmp_path):
+    plan = spark.createDataFrame([("A", "m15", day("2024-01-01"), 1), ("A", "m15", day("2024-01-02"), 1)], "symbol string, timeframe string, dt date, decimal_factor int")
+    folder = tmp_path / "in" / "A" / "2024" / "00" / "01"
+    folder.mkdir(parents=True)
+    (folder / "minute_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 1, 4, 1, 2, 0.5), format=lzma.FORMAT_ALONE))
+    none = spark.createDataFrame([], "symbol string, timeframe string, last_date date")
+    for ok, last in ((True, "2024-01-02"), (False, "2024-01-01")):
+        at = run.ingest(spark, plan, str(tmp_path / "in"), str(tmp_path / f"lake{ok}"), none, F.lit("2024-01-05").cast("date"), 1, absent_ok=ok)
+        assert [tuple(r) for r in at.collect()] == [("A", "m15", day(last))]
+    run.reconstruct(spark, str(tmp_path / "lakeTrue"), ["a"], ["m15"])
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "lakeTrue" / "m15")).select("symbol", "timestamp", "high").collect()] == [("A", 1704067200000, 4)]
+
+
+def test_stable_order_and_places_in_files(spark, tmp_path):
+    folder = tmp_path / "in" / "A" / "tick"
+    folder.mkdir(parents=True)
+    lines = [f"2024-01-01 00:00:0{i % 3}+00:00,{i + 1},1,1,1" for i in range(30)]
+    (folder / "a.csv").write_text("\n".join(["timestamp,ask,bid,ask_vol,bid_vol", *lines]) + "\n")
+    migrate.migrate(spark, str(tmp_path / "in"), str(tmp_path / "out"), "tick", spark.createDataFrame([("A", 1)], "symbol string, decimal_factor int"))
+    table = spark.read.parquet(str(tmp_path / "out"))
+    got = [r["ask"] for r in table.select("ask", "timestamp", "_metadata.file_path", "_metadata.row_index").orderBy("timestamp", "file_path", "row_index").collect()]
+    assert got == [i + 1 for k in range(3) for i in range(k, 30, 3)]
+    assert {r["inversions"] for r in quality.file_order(table).collect()} == {0}
+    rows = spark.createDataFrame([("A", i, t) for i, t in enumerate([5, 6, 4, 7, 9, 8, 1])], "symbol string, place int, timestamp long")
+    for block in (2, 3, 100):
+        assert [tuple(r) for r in quality.order(rows, ["symbol"], "place", block).collect()] == [("A", 3, 2)]
 
 
 def test_migration(spark, tmp_path):

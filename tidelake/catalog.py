@@ -11,7 +11,7 @@ from tidelake import datasets as D
 from tidelake.functions import scalars as S
 from tidelake.functions import schemas
 from tidelake.operators import compact, frontier, migrate, outcomes, quality, resample, scope, score
-from tidelake.plans import ingest
+from tidelake.plans import ingest, run
 from tidelake.sources import chunks, files
 from tidelake.streaming import jobs
 from tidelake.workspace import scratch
@@ -94,10 +94,10 @@ def ms_iso(spark, d):
 
 
 @query("""SELECT c.c_custkey, coalesce(nullif(c.c_custkey % 3 * 10, 0), i.decimal_factor, 100000)::INT AS decimal_factor
-  FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3 LEFT JOIN instruments i ON i.symbol = upper(n.n_name)""")
+  FROM customer c LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey % 200 LEFT JOIN instruments i ON i.symbol = upper(s.s_name)""")
 def factor_resolve(spark, d):
-    dim = D.table(spark, d, "nation").where("n_regionkey < 3").join(D.instruments(spark, d), F.upper("n_name") == F.col("symbol")).select("n_nationkey", F.col("decimal_factor").alias("f"))
-    c = D.table(spark, d, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    dim = D.table(spark, d, "supplier").join(D.instruments(spark, d), F.upper("s_name") == F.col("symbol")).select("s_suppkey", F.col("decimal_factor").alias("f"))
+    c = D.table(spark, d, "customer").join(dim, F.col("c_custkey") % 200 == F.col("s_suppkey"), "left")
     return c.select("c_custkey", S.resolve_factor((F.col("c_custkey") % 3 * 10).cast("int"), F.col("f")).alias("decimal_factor"))
 
 
@@ -146,11 +146,20 @@ def plan_chunks(spark, d):
     return ingest.chunk_keys(_plan(spark, d, ["tick", "m15", "h1", "h4"]))
 
 
-@query("""SELECT n.n_name AS symbol, t.timeframe, t.dt::DATE AS dt FROM nation n, (
-  SELECT 'h1' AS timeframe, unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 MONTH)) AS dt UNION ALL
-  SELECT 'm1', unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 DAY))) t""")
+@query("""SELECT s.s_name AS symbol, t.timeframe, t.dt::DATE AS dt, t.hour FROM supplier s, (
+  SELECT 'h1' AS timeframe, unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 MONTH)) AS dt, NULL::INT AS hour UNION ALL
+  SELECT 'm1', unnest(generate_series(date '2022-01-01', date '2023-12-31', INTERVAL 1 DAY)), NULL UNION ALL
+  SELECT 'tick', date '2024-01-08' + (n // 24)::INT, (n % 24)::INT FROM range(168) r(n)) t""")
 def workload_years(spark, d):
-    return ingest.workload(spark.range(2022, 2024).select(F.col("id").cast("int").alias("year")), D.table(spark, d, "nation").select(F.col("n_name").alias("symbol")))
+    years = spark.range(2022, 2024).select(F.col("id").cast("int").alias("year"))
+    return ingest.workload(years, D.table(spark, d, "supplier").select(F.col("s_name").alias("symbol")), _date("2024-01-08"))
+
+
+@query("SELECT s.s_name AS symbol, (date '2022-01-01' + n::INT) AS dt FROM supplier s, range(30) r(n) WHERE s_suppkey < 5")
+def workload_shuffled(spark, d):
+    """A workload in an order set by a seed; two runs give the same order."""
+    days = D.table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_name").alias("symbol"), F.explode(F.sequence(_date("2022-01-01"), _date("2022-01-30"))).alias("dt"))
+    return scope.shuffled(days, ["symbol", "dt"], 7)
 
 
 KNOWN = "k AS (SELECT p.*, coalesce(o.ok, false) AS ok FROM user_plan p LEFT JOIN user_outcomes o USING (symbol, timeframe, dt))"
@@ -337,18 +346,25 @@ def search_instruments(spark, d):
 
 
 def _tickers(spark, d):
-    names = D.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("x"), "n_name")).alias("s"))
-    return files.parse_ticker_list(names.agg(F.to_json(F.struct(F.collect_list("s").alias("tickers"))).alias("value")))
+    """Every other supplier, and as many unknown names, as a list file for each hundred."""
+    key = F.col("s_suppkey")
+    names = D.table(spark, d, "supplier").select((key / 100).cast("int").alias("file"), F.when(key % 2 == 0, F.lower("s_name")).otherwise(F.concat(F.lit("x"), "s_name")).alias("s"))
+    return files.parse_ticker_list(names.groupBy("file").agg(F.to_json(F.struct(F.collect_list("s").alias("tickers"))).alias("value")))
 
 
-@query("SELECT t.seq, t.symbol FROM (SELECT seq, (SELECT n_name FROM nation n WHERE n.n_nationkey = ticks.seq % 25) AS symbol FROM ticks) t WHERE t.symbol IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)")
+@query("SELECT t.seq, s.s_name AS symbol FROM ticks t JOIN supplier s ON s.s_suppkey = t.seq % 100 WHERE s.s_suppkey % 2 = 0")
 def scope_custom(spark, d):
-    n = D.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))
-    rows = D.ticks(spark, d).select("seq").join(F.broadcast(n), F.col("seq") % 25 == F.col("n_nationkey")).select("seq", "symbol")
+    n = D.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("symbol"))
+    rows = D.ticks(spark, d).select("seq").join(n, F.col("seq") % 100 == F.col("s_suppkey")).select("seq", "symbol")
     return scope.in_scope(rows, "custom", _tickers(spark, d))
 
 
-@query("SELECT upper('x' || n_name) AS symbol FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT seq, symbol FROM ticks WHERE symbol = 'S3'")
+def scope_single(spark, d):
+    return scope.in_scope(scope.in_scope(D.ticks(spark, d), "all"), "single", symbol="s3").select("seq", "symbol")
+
+
+@query("SELECT upper('x' || s_name) AS symbol FROM supplier WHERE s_suppkey % 2 = 1")
 def unknown_tickers(spark, d):
     return scope.unknown(_tickers(spark, d), D.instruments(spark, d))
 
@@ -403,21 +419,117 @@ def migrate_csv(spark, d):
     return spark.read.schema("timestamp bigint, ask int, bid int, ask_vol float, bid_vol float, symbol string").parquet(out).select("symbol", *schemas.TICK.fieldNames())
 
 
+def _chunk_files(spark, d):
+    """Ticks as hourly chunk files and their minute bars as daily ones, in a new folder."""
+    root = scratch(spark, "chunk-files")
+    day = F.to_date(F.timestamp_millis("base_ms"))
+    t = D.ticks(spark, d).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 3_600_000)
+    hour = (F.col("base_ms") % 86_400_000 / 3_600_000).cast("int")
+    chunks.write_chunks(chunks.encode_chunks(t, "tick", ["symbol"]).withColumn("key", S.chunk_key(F.col("symbol"), F.lit("tick"), day, hour)), root)
+    b = D.tick_bars(spark, d, 60_000).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 86_400_000)
+    chunks.write_chunks(chunks.encode_chunks(b, "m1", ["symbol"]).withColumn("key", S.chunk_key(F.col("symbol"), F.lit("m1"), day, F.lit(0))), root)
+    return root
+
+
 @query("SELECT symbol, timestamp, ask, bid, ask_vol, bid_vol FROM ticks")
 def decode_chunks(spark, d):
-    """Ticks encoded as compressed hourly chunks and decoded."""
-    t = D.ticks(spark, d).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 3_600_000)
-    blobs = chunks.encode_chunks(t, "tick", ["symbol"])
-    good, _ = chunks.decode_chunks(blobs.withColumn("path", F.concat_ws("/", "symbol", "base_ms")), "tick")
-    return good
+    """Ticks in compressed hourly chunk files, found by their paths and decoded."""
+    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d)), "tick").where("error IS NULL").select("symbol", *schemas.TICK.fieldNames())
 
 
 @query(f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({D.bars_sql('ticks', 60_000)})")
 def decode_bar_chunks(spark, d):
-    """Minute bars encoded as compressed daily chunks and decoded."""
-    b = D.tick_bars(spark, d, 60_000).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 86_400_000)
-    good, _ = chunks.decode_chunks(chunks.encode_chunks(b, "m1", ["symbol"]).withColumn("path", F.concat_ws("/", "symbol", "base_ms")), "m1")
-    return good
+    """Minute bars in compressed daily chunk files."""
+    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d)), "m1").where("error IS NULL").select("symbol", *schemas.BAR.fieldNames())
+
+
+def _ingest_run(spark, d):
+    """Two runs over minute and hour bars in chunk files, of which one cannot be read; the lake and the checkpoints of each."""
+    root, lake = scratch(spark, "run-files"), scratch(spark, "run-lake")
+    for kind, width in (("m1", 86_400_000), ("h1", None)):
+        b = D.tick_bars(spark, d, 60_000 if kind == "m1" else 3_600_000)
+        start = F.unix_millis(F.date_trunc("month", F.timestamp_millis("timestamp"))) if width is None else F.col("timestamp") - F.col("timestamp") % width
+        blobs = chunks.encode_chunks(b.withColumn("base_ms", start), kind, ["symbol"])
+        day = F.to_date(F.timestamp_millis("base_ms"))
+        broken = (F.col("symbol") == "S3") & (day == _date("2024-01-10")) & F.lit(kind == "m1")
+        keyed = blobs.select(S.chunk_key(F.col("symbol"), F.lit(kind), day, F.lit(0)).alias("key"), F.when(broken, F.lit("no chunk").cast("binary")).otherwise(F.col("content")).alias("content"))
+        chunks.write_chunks(keyed, root)
+    plan, none = D.tick_plan(spark, d), D.checkpoints(spark, d).limit(0)
+    at = [run.ingest(spark, plan.where(F.col("dt") <= _date("2024-01-15")), root, lake, none, _date("2024-01-16"), 1)]
+    at.append(run.ingest(spark, frontier.remaining(plan, at[0]), root, lake, at[0], _date("2024-02-01"), 2))
+    return lake, at
+
+
+@query(f"""SELECT symbol, 'm15' AS timeframe, timestamp, open, high, low, close, volume FROM ({D.bars_sql("(SELECT * FROM ticks WHERE NOT (symbol = 'S3' AND make_timestamp(timestamp * 1000)::DATE = date '2024-01-10'))", 900_000)})
+  UNION ALL SELECT symbol, 'h4', timestamp, open, high, low, close, volume FROM ({D.bars_sql("ticks", 14_400_000)})""")
+def ingest_run(spark, d):
+    """Chunk files planned, decoded, resampled, appended and compacted in two runs."""
+    lake, _ = _ingest_run(spark, d)
+    read = lambda frame: spark.read.parquet(f"{lake}/{frame}").select("symbol", F.lit(frame).alias("timeframe"), *schemas.BAR.fieldNames())
+    return read("m15").union(read("h4"))
+
+
+@query("""SELECT symbol, timeframe, CASE WHEN symbol = 'S3' AND timeframe = 'm15' AND hole THEN date '2024-01-09' ELSE date '2024-01-31' END AS last_date
+  FROM (SELECT symbol, bool_or(make_timestamp(timestamp * 1000)::DATE = date '2024-01-10') AS hole FROM ticks GROUP BY symbol), (VALUES ('m15'), ('h4')) t(timeframe)""")
+def ingest_checkpoints(spark, d):
+    """Checkpoints after two runs: all closed, but for the day whose chunk cannot be read."""
+    return _ingest_run(spark, d)[1][1]
+
+
+@query(f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({D.bars_sql('ticks', 14_400_000)}) WHERE symbol IN ('S1', 'S2')")
+def reconstruct_bars(spark, d):
+    """Four-hour bars of two symbols, built again from the appended chunks alone."""
+    lake, _ = _ingest_run(spark, d)
+    again = scratch(spark, "again")
+    rows = spark.read.parquet(f"{lake}/chunks/h4").withColumn("version", F.col("version") + 1)
+    files.append_parquet(rows, f"{again}/chunks/h4")
+    run.reconstruct(spark, again, ["s1", "S2"], ["h4"])
+    return spark.read.parquet(f"{again}/h4").select("symbol", *schemas.BAR.fieldNames())
+
+
+@query("""SELECT symbol, timestamp, CASE WHEN timestamp >= 1705276800000 THEN bid + 1 ELSE bid END AS bid FROM (
+  SELECT symbol, timestamp, arg_max(bid, seq) AS bid FROM dup_ticks GROUP BY ALL)""")
+def open_period_refresh(spark, d):
+    """The second half of the month is read again with other values: the newer version wins, closed days stay."""
+    rows = compact.dedup_last(D.dup_ticks(spark, d)).select("symbol", "timestamp", "bid", F.lit(1).alias("version"))
+    again = rows.where("timestamp >= 1705276800000").withColumn("bid", F.col("bid") + 1).withColumn("version", F.lit(2))
+    lake, parts = scratch(spark, "open"), ("symbol", "day")
+    daily = lambda df: df.withColumn("day", F.date_format(F.timestamp_millis("timestamp"), "yyyy_MM_dd"))
+    compact.compact(lake, daily(rows), order="version", parts=parts)
+    return compact.compact(lake, daily(again), order="version", parts=parts).select("symbol", "timestamp", "bid")
+
+
+@query("""SELECT system, workload, count(*) AS rounds, avg(wall_ms) AS wall_ms, avg(attempted) AS attempted, avg(n_ok) AS n_ok, avg(n_none) AS n_none, avg(n_error) AS n_error, avg(bytes) AS bytes, avg(retries) AS retries, avg(rechecks) AS rechecks
+  FROM (SELECT 'sys' || (event_id % 3) AS system, 'w' || (event_id % 2) AS workload, event_id // 6 % 4 AS round, sum(event_id % 97 + 1) AS wall_ms, count(*) AS attempted, count(*) FILTER (status = 200 AND bytes > 0) AS n_ok,
+    count(*) FILTER (status = 404 OR status = 200 AND bytes = 0) AS n_none, count(*) FILTER (status = 503) AS n_error, sum(bytes) AS bytes, count(*) FILTER (contains(message, 'retry')) AS retries, count(*) FILTER (contains(message, '404')) AS rechecks
+    FROM attempts GROUP BY ALL) GROUP BY ALL""")
+def round_means(spark, d):
+    a, n = D.attempts(spark, d), F.col("event_id")
+    per = a.select(
+        F.concat(F.lit("sys"), n % 3).alias("system"), F.concat(F.lit("w"), n % 2).alias("workload"), (F.expr("event_id div 6") % 4).alias("round"), (n % 97 + 1).alias("wall_ms"), F.lit(1).alias("attempted"),
+        ((F.col("status") == 200) & (F.col("bytes") > 0)).cast("int").alias("n_ok"), ((F.col("status") == 404) | (F.col("status") == 200) & (F.col("bytes") == 0)).cast("int").alias("n_none"), (F.col("status") == 503).cast("int").alias("n_error"),
+        "bytes", F.col("message").contains("retry").cast("int").alias("retries"), F.col("message").contains("404").cast("int").alias("rechecks"),
+    )
+    return score.round_means(per, ["system", "workload"])
+
+
+@query("SELECT symbol, count(DISTINCT f) AS factors, min(f) AS low, max(f) AS high FROM (SELECT symbol, CASE WHEN seq % 7 = 0 AND symbol < 'S5' THEN 1000 ELSE 100 END AS f FROM ticks) GROUP BY symbol HAVING count(DISTINCT f) > 1")
+def factor_conflicts(spark, d):
+    t = D.ticks(spark, d)
+    return files.factor_conflicts(t.select("symbol", F.when((F.col("seq") % 7 == 0) & (F.col("symbol") < "S5"), 1000).otherwise(100).alias("decimal_factor")))
+
+
+@query("""SELECT symbol, rule, n FROM (
+    SELECT symbol, 'row count' AS rule, count(*) AS n FROM (SELECT DISTINCT symbol, timestamp FROM dup_ticks WHERE symbol = 'S1' AND timestamp // 900000 % 4 = 0) GROUP BY symbol
+    UNION ALL SELECT symbol, 'leftover chunks', count(*) FROM dup_ticks WHERE symbol = 'S2' GROUP BY symbol
+    UNION ALL SELECT symbol, 'no rows', count(DISTINCT timestamp) FROM dup_ticks WHERE symbol = 'S4' GROUP BY symbol
+    UNION ALL SELECT NULL, 'metadata source', 1)""")
+def quality_table(spark, d):
+    """A compacted table with planted faults: a quarter of a symbol's rows lost, another symbol lost, chunks left, metadata lost."""
+    rows = D.dup_ticks(spark, d)
+    good = compact.dedup_last(rows).where("symbol <> 'S4' AND NOT (symbol = 'S1' AND timestamp div 900000 % 4 = 0)")
+    marked = files.with_metadata(good, timeframe="tick")
+    return quality.table_faults(rows, marked, compact.dedup_last(marked), rows.where("symbol = 'S2'"), {"timeframe": "tick", "source": "feed"})
 
 
 LATEST = "SELECT ticker, price, ts, CASE WHEN previous_close > 0 THEN (price - previous_close) / previous_close * 100 END AS change_pct, n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS rn FROM quotes WHERE price IS NOT NULL) WHERE rn = 1"
@@ -439,27 +551,40 @@ def quote_format(spark, d):
 
 @query(LAST)
 def incremental_compact(spark, d):
-    """Duplicated ticks arrive in three files and are compacted batch by batch."""
+    """Duplicated ticks arrive in thirds and are compacted batch by batch, some files at a time."""
     rows, path, lake = compact.with_month(D.dup_ticks(spark, d)), scratch(spark, "arriving"), scratch(spark, "lake")
     for k in range(3):
-        rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.col("seq") % 3 == k).write.mode("append").parquet(path)
     return jobs.run_compaction(spark, path, lake, rows.schema, ("symbol", "timestamp"), "seq", ("symbol", "month")).drop("month")
 
 
-@query("SELECT 'S' || (user_id % 10) AS symbol, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT symbol, timestamp, open, high, low, close, volume::DOUBLE AS volume FROM (SELECT symbol, timestamp, open + CASE WHEN symbol < 'S5' THEN 1 ELSE 0 END AS open, high, low, close, volume FROM (" + D.bars_sql("ticks", 900_000) + "))")
 def csv_compact(spark, d):
-    """Minute rows appended to a CSV table twice, then deduplicated and counted per symbol."""
-    path = scratch(spark, "bars-csv")
-    rows = D.ticks(spark, d).select("symbol", "timestamp", "bid", "seq", F.lit("2024_01").alias("month"))
-    files.append_csv(rows, path)
-    files.append_csv(rows, path)
-    back = spark.read.schema("timestamp bigint, bid int, seq bigint, symbol string, month string").option("header", True).csv(path)
-    return compact.dedup_last(back, ("symbol", "timestamp", "seq"), "bid").groupBy("symbol").agg(F.count("*").alias("n"))
-
-
-@query()
+    """Quarter-hour bars appended to a CSV table, half of them again with another open; the file that finalising writes is read back."""
+    path, out = scratch(spark, "bars-csv"), scratch(spark, "bars-final")
+    spec = "timestamp bigint, open int, high int, low int, close int, volume double, symbol string, month string"
+    bars = compact.with_month(D.tick_bars(spark, d, 900_000).withColumn("volume", F.col("volume").cast("double")))
+    files.append_csv(bars, path)
+    files.append_csv(bars.where("symbol < 'S5'").withColumn("open", F.col("open") + 1), path)
+    files.finalize_csv(spark, path, spec, out)
+    return spark.read.schema(spec).option("header", True).csv(out).drop("month")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'U' || user_id AS symbol, 'tick' AS timeframe, strftime(ts, '%Y-%m-%d') AS dt, 'failed' || chr(10) || 'at ' || event_id AS message FROM events WHERE event_type = 'error'")
+def failure_append(spark, d):
+    """Errors appended to a log in two runs and scanned again."""
+    e, path = D.events(spark, d).where("event_type = 'error'"), scratch(spark, "failed-log")
+    rows = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.concat(F.lit("U"), "user_id").alias("symbol"), F.lit("tick").alias("timeframe"), F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.concat(F.lit("failed\nat "), "event_id").alias("message"))
+    for k in range(2):
+        files.append_failures(rows.where(F.col("event_id") % 2 == k), path)
+    return files.scan_failures(spark, path)
+
+
+@query("SELECT 'parquet' AS format, count(DISTINCT symbol || strftime(make_timestamp(timestamp * 1000), '%Y_%m')) AS files, true AS agrees FROM ticks")
 def lake_size(spark, d):
-    """Files and bytes of a lake written from the ticks."""
+    """Files of a lake written from the ticks, one a partition, and whether bytes by listing and by the files' own metadata agree."""
     path = scratch(spark, "sized")
-    files.append_parquet(compact.with_month(D.ticks(spark, d)), path)
-    return files.lake_size(spark, path)
+    rows = compact.with_month(D.ticks(spark, d))
+    files.append_parquet(rows.repartition("symbol", "month"), path)
+    own = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct().agg(F.sum("b").alias("own"))
+    return files.lake_size(spark, path).join(own, F.lit(True)).select("format", "files", (F.col("bytes") == F.col("own")).alias("agrees"))  # one row each

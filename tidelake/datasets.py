@@ -46,20 +46,30 @@ def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as instruments; those of one region have no hour bars, those of another no dates at all."""
-    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    """Suppliers as instruments; those of one region have no hour bars, those of another no dates at all."""
+    key = F.col("s_suppkey").cast("int")
+    region = key % 5
     day = lambda text, step: F.date_add(F.lit(text).cast("date"), region * step)
     dates = F.create_map(F.lit("tick"), day("2024-01-10", 3), F.lit("m1"), day("2023-12-20", 5), F.lit("h1"), F.when(region != 4, day("2023-06-01", 17)))
-    return table(spark, sf_dir, "nation").select(
-        F.upper("n_name").alias("symbol"), F.element_at(F.array(*map(F.lit, (1, 100, 1000, 100_000))), (key % 4 + 1).cast("int")).alias("decimal_factor"),
+    return table(spark, sf_dir, "supplier").select(
+        F.upper("s_name").alias("symbol"), F.element_at(F.array(*map(F.lit, (1, 100, 1000, 100_000))), (key % 4 + 1).cast("int")).alias("decimal_factor"),
         F.when(region != 3, F.map_filter(dates, lambda k, v: v.isNotNull())).otherwise(F.map_filter(dates, lambda k, v: F.lit(False))).alias("start_dates"),
-        F.col("n_name").alias("name"), F.concat(F.lit("Region "), region).alias("description"),
+        F.col("s_name").alias("name"), F.concat(F.lit("Region "), region).alias("description"),
     )
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.upper("n_name").alias("symbol"), "n_nationkey", F.explode(F.array(F.lit("tick"), F.lit("m15"), F.lit("h1"))).alias("timeframe"))
-    return rows.select("symbol", "timeframe", F.date_add(F.lit("2024-01-05").cast("date"), F.col("n_nationkey")).alias("last_date"))
+    key = F.col("s_suppkey").cast("int")
+    rows = table(spark, sf_dir, "supplier").where(key % 3 == 0).select(F.upper("s_name").alias("symbol"), (key % 25).alias("k"), F.explode(F.array(F.lit("tick"), F.lit("m15"), F.lit("h1"))).alias("timeframe"))
+    return rows.select("symbol", "timeframe", F.date_add(F.lit("2024-01-05").cast("date"), F.col("k")).alias("last_date"))
+
+
+def tick_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol of the ticks: quarter-hour bars on all days of January 2024, four-hour bars of the month."""
+    symbols = ticks(spark, sf_dir).select("symbol").distinct()
+    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+    fine = symbols.select("symbol", F.lit("m15").alias("timeframe"), F.explode(days).alias("dt"), F.lit(100).alias("decimal_factor"))
+    return fine.union(symbols.select("symbol", F.lit("h4").alias("timeframe"), F.lit("2024-01-01").cast("date").alias("dt"), F.lit(100).alias("decimal_factor")))
 
 
 def user_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +119,13 @@ ticks AS (
     value::FLOAT AS ask_vol, (event_id % 7)::FLOAT AS bid_vol, event_id AS seq FROM e),
 dup_ticks AS (SELECT symbol, timestamp - timestamp % 900000 AS timestamp, ask, bid, ask_vol, bid_vol, seq FROM ticks),
 instruments AS (
-  SELECT upper(n_name) AS symbol, n_name AS name, 'Region ' || n_regionkey AS description, ([1, 100, 1000, 100000])[n_nationkey % 4 + 1] AS decimal_factor, n_regionkey AS r,
-    CASE WHEN n_regionkey <> 3 THEN date '2024-01-10' + n_regionkey * 3 END AS start_tick,
-    CASE WHEN n_regionkey <> 3 THEN date '2023-12-20' + n_regionkey * 5 END AS start_m1,
-    CASE WHEN n_regionkey NOT IN (3, 4) THEN date '2023-06-01' + n_regionkey * 17 END AS start_h1
-  FROM nation),
+  SELECT upper(s_name) AS symbol, s_name AS name, 'Region ' || s_suppkey % 5 AS description, ([1, 100, 1000, 100000])[s_suppkey % 4 + 1] AS decimal_factor, (s_suppkey % 5)::INT AS r,
+    CASE WHEN r <> 3 THEN date '2024-01-10' + r * 3 END AS start_tick,
+    CASE WHEN r <> 3 THEN date '2023-12-20' + r * 5 END AS start_m1,
+    CASE WHEN r NOT IN (3, 4) THEN date '2023-06-01' + r * 17 END AS start_h1
+  FROM supplier),
 checkpoints AS (
-  SELECT upper(n_name) AS symbol, t.timeframe, date '2024-01-05' + n_nationkey AS last_date FROM nation, (VALUES ('tick'), ('m15'), ('h1')) t(timeframe) WHERE n_nationkey % 3 = 0),
+  SELECT upper(s_name) AS symbol, t.timeframe, date '2024-01-05' + (s_suppkey % 25)::INT AS last_date FROM supplier, (VALUES ('tick'), ('m15'), ('h1')) t(timeframe) WHERE s_suppkey % 3 = 0),
 user_plan AS (
   SELECT u.symbol, 'tick' AS timeframe, (date '2024-01-01' + d::INT) AS dt FROM (SELECT DISTINCT 'U' || user_id AS symbol FROM events) u, range(30) r(d)),
 user_outcomes AS (SELECT 'U' || user_id AS symbol, 'tick' AS timeframe, ts::DATE AS dt, bool_or(event_type <> 'error') AS ok FROM events GROUP BY ALL),

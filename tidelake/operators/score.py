@@ -43,6 +43,12 @@ def scoreboard(runs: DataFrame, chunk: list[str], keys: list[str]) -> DataFrame:
     )
 
 
+def round_means(runs: DataFrame, keys: list[str], measures: tuple[str, ...] = ("wall_ms", "attempted", "n_ok", "n_none", "n_error", "bytes", "retries", "rechecks")) -> DataFrame:
+    """Per system and workload the means over rounds of what each round adds up to; `runs` has a `round` and the measures."""
+    per = runs.groupBy(*keys, "round").agg(*(F.sum(m).alias(m) for m in measures))
+    return per.groupBy(*keys).agg(F.count("*").alias("rounds"), *(F.avg(m).alias(m) for m in measures))
+
+
 def verdict(scores: DataFrame) -> DataFrame:
     """Over the workloads: sums of counts and times, means of ratios."""
     sums = ("attempted", "n_ok", "n_error", "wall_ms", "gaps")

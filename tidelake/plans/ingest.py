@@ -46,10 +46,15 @@ def chunk_keys(plan: DataFrame) -> DataFrame:
     return rows.select("symbol", "primitive", "dt", "hour", chunk_key(F.col("symbol"), F.col("primitive"), F.col("dt"), F.col("hour")).alias("key")).distinct()
 
 
-def workload(years: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All chunks of whole years: a month of hour bars, a day of minute bars."""
+def workload(years: DataFrame, symbols: DataFrame, week: Column | None = None) -> DataFrame:
+    """All chunks of whole years: a month of hour bars, a day of minute bars; and the hours of ticks of the seven days from `week` on."""
     pairs = symbols.select("symbol").crossJoin(F.broadcast(years.select("year")))
     first, last = F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31))
-    hours = pairs.select("symbol", F.lit("h1").alias("timeframe"), F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("dt"))
-    days = pairs.select("symbol", F.lit("m1").alias("timeframe"), F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("dt"))
-    return hours.unionByName(days)
+    none = F.lit(None).cast("int").alias("hour")
+    hours = pairs.select("symbol", F.lit("h1").alias("timeframe"), F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("dt"), none)
+    days = pairs.select("symbol", F.lit("m1").alias("timeframe"), F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("dt"), none)
+    out = hours.unionByName(days)
+    if week is None:
+        return out
+    ticks = symbols.select("symbol", F.lit("tick").alias("timeframe"), F.explode(F.sequence(week, F.date_add(week, 6))).alias("dt"))
+    return out.unionByName(ticks.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))))

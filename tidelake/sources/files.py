@@ -58,6 +58,23 @@ def failure_lines(failures: DataFrame) -> DataFrame:
     return failures.select(F.concat_ws(" | ", "ts", "symbol", "timeframe", "dt", "message").alias("value"))
 
 
+def append_failures(failures: DataFrame, path: str) -> None:
+    """Appends failures (ts, symbol, timeframe, dt, message) to a log folder, in the order of `ts` within a file."""
+    failure_lines(failures.sortWithinPartitions("ts")).write.mode("append").text(path)
+
+
+def scan_failures(spark: SparkSession, path: str) -> DataFrame:
+    """Failure records of all log files below a folder."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return parse_failures(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("line_no")))
+
+
+def factor_conflicts(rows: DataFrame) -> DataFrame:
+    """Symbols whose rows or files name more than one decimal factor, with how many and the extremes."""
+    known = rows.where("decimal_factor IS NOT NULL").select("symbol", "decimal_factor").distinct()
+    return known.groupBy("symbol").agg(F.count("*").alias("factors"), F.min("decimal_factor").alias("low"), F.max("decimal_factor").alias("high")).where("factors > 1")
+
+
 def path_parts(path: Column) -> tuple[Column, Column]:
     """Symbol and timeframe of `.../SYMBOL/folder/file.csv`; null where the path is too short or the folder unknown."""
     symbol = F.nullif(F.upper(F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+\.csv$", 1)), F.lit(""))
@@ -65,9 +82,9 @@ def path_parts(path: Column) -> tuple[Column, Column]:
 
 
 def scan_csv_tree(spark: SparkSession, base: str, timeframe: str, symbol: str | None = None) -> DataFrame:
-    """Rows of the CSV files of one timeframe below a folder, with file, symbol and timeframe."""
+    """Rows of the CSV files of one timeframe below a folder, with file, symbol and timeframe; (block, row) is their order within a file."""
     schema = schemas.TICK_CSV if timeframe == "tick" else schemas.BAR_CSV
-    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(base).select("*", F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(base).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     sym, frame = path_parts(F.col("file"))
     out = rows.withColumns({"symbol": sym, "timeframe": frame}).where(F.col("timeframe") == timeframe)
     return out if symbol is None else out.where(F.col("symbol") == symbol.upper())
@@ -82,6 +99,19 @@ def append_csv(df: DataFrame, path: str, parts: tuple[str, ...] = ("symbol", "mo
     df.write.mode("append").option("header", True).partitionBy(*parts).csv(path)
 
 
+def finalize_csv(spark: SparkSession, path: str, schema: str, out: str, keys: tuple[str, ...] = ("symbol", "timestamp"), parts: tuple[str, ...] = ("symbol", "month")) -> None:
+    """Writes the rows of an appended CSV table of bars to `out` with one row per key, the last one appended, in order.
+
+    Ticks are not deduplicated in CSV tables, so this is for bars only. Files count in the order in which they were
+    written, rows in their order within them.
+    """
+    when = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    best = rows.withColumn("_at", when).groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in keys)), "_at").alias("_row"))
+    last = best.select(*(k for k in keys), "_row.*").select(*rows.columns)
+    last.repartitionByRange(*parts, *keys).sortWithinPartitions(*parts, *keys).write.option("header", True).partitionBy(*parts).csv(out)
+
+
 def with_metadata(df: DataFrame, **facts: object) -> DataFrame:
     """`timestamp` with facts (decimal_factor, symbol, timeframe, source) as column metadata, which Parquet keeps."""
     return df.withMetadata("timestamp", {**df.schema["timestamp"].metadata, **facts})

@@ -43,7 +43,7 @@ def run_compaction(spark: SparkSession, path: str, table: str, schema: T.StructT
     def write(batch: DataFrame, epoch: int) -> None:
         compact(table, batch, keys, order, parts)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, "compaction-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(table).select(*columns)
