@@ -292,6 +292,24 @@ def test_groups_equal_brute_force(spark, documents):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_a_vast_family_equals_brute_force(spark, monkeypatch):
+    """Near copies of one text, nearer and farther, in buckets that count as vast: the rarest shingles lose no link."""
+    monkeypatch.setattr("tidelake.llm.components.SMALL_BUCKET", 4)
+    monkeypatch.setattr("tidelake.llm.components.VAST_BUCKET", 8)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 400, 150)]
+    docs = []
+    for k in range(90):
+        own = list(base)
+        for i in rng.choice(150, k // 12, replace=False):
+            own[i] = f"x{k}y{i}"
+        docs.append((k, " ".join(own)))
+    docs += [(1_000 + k, " ".join(f"z{k}{i}" for i in range(60))) for k in range(30)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.clusters(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_groups(docs)
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(docs) and all(want[got[i]] == want[i] for i in got)
+
+
 def test_weights_are_plain_tf_idf_and_smoothed_beyond(spark, monkeypatch):
     docs = [" ".join(f"w{(i * k) % 97}" for k in range(1, 30)) for i in range(300)] + ["a b c d e f"] * 50
     df = Counter(g for t in docs for g in word_sets(t))

@@ -100,15 +100,23 @@ def joined(
     `members` comes from `shared`; `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all
     pairs, large ones a star first and then every two members that the links found so far do not join: a large family
     costs a star, and no pair that could join two components is left out. The ids of vast buckets that a star does not
-    join get the finer keys (key, id) of `refine` instead, which must be such that any two alike ids share one. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
+    join get the finer keys (key, id) of `refine` instead, which must be such that any two alike ids share one; these
+    are compared in the same way. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
     """
-    few, many = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
-    every = left.join(right, "key").where("a < b").select("a", "b")
-    leads = many.groupBy("key").agg(F.min("id").alias("lead"))
-    star = many.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    first = durable(every.union(star).distinct())
+    def first_pairs(rows: DataFrame) -> DataFrame:
+        """All pairs of small buckets and a star of each large one."""
+        few, many = rows.where(F.col("n") <= SMALL_BUCKET), rows.where(F.col("n") > SMALL_BUCKET)
+        left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
+        every = left.join(right, "key").where("a < b").select("a", "b")
+        leads = many.groupBy("key").agg(F.min("id").alias("lead"))
+        return every.union(many.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))).distinct()
+
+    def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return durable(components(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(links)))
+
+    first = durable(first_pairs(members))
     roots = durable(components(verify(first)))
+    many = members.where(F.col("n") > SMALL_BUCKET)
 
     def placed(rows: DataFrame) -> DataFrame:
         """Rows (key, id, n) with the root of each id, of buckets that hold more than one."""
@@ -122,10 +130,10 @@ def joined(
     if refine is not None:
         vast = durable(apart.where(F.col("n") > VAST_BUCKET).select("id").distinct())
         if not vast.isEmpty():
-            apart = durable(apart.where(F.col("n") <= VAST_BUCKET).union(placed(shared(refine(vast)))))
+            finer = shared(refine(vast))
+            more = durable(first_pairs(finer).join(first, ["a", "b"], "left_anti"))
+            roots, first = with_links(roots, verify(more)), first.union(more)
+            apart = durable(placed(many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))))
     hinted = apart.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else apart.join(hints, "id")
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
-    more = durable(verify(rest))
-    if more.isEmpty():
-        return roots
-    return components(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    return with_links(roots, verify(rest)) if not rest.isEmpty() else roots

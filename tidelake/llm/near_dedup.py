@@ -12,6 +12,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelake.llm.common import durable, fresh, stored
 from tidelake.llm.components import joined, shared
@@ -203,8 +204,8 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     Equal texts are one class. Classes whose weighted Jaccard similarity over TF-IDF five-word shingles is
     `similarity` or more are linked, and groups are the connected components. Candidates share one of BANDS keys;
-    every link is verified on the whole texts. Copies are never expanded into pairs and large buckets are compared
-    by stars first (see `components.joined`). A text without five words equals only its copies. A null text is a group of
+    every link is verified on the whole texts. Copies are never expanded into pairs; large buckets are compared by stars
+    first, vast ones by the rarest shingles of their members (see `components.joined`). A text without five words equals only its copies. A null text is a group of
     its own and is kept. Rows of one key and text are one document, answered alike; ties go to the least key.
     """
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -228,13 +229,31 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
             parts = [weighted_jaccard(left.slice(i, step), right.slice(i, step), weights) for i in range(0, len(left), step)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                doc, h, times = counted(*shingles(part))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array(h.view(np.int64)), pa.array(weights.of(h, times))], names=["id", "h", "w"])
+                at += len(part)
+
+    def rarest(ids: DataFrame) -> DataFrame:
+        """Keys by which no two alike texts miss each other: of each text's shingles, the rarest first, those before the
+        rest weighs less than the similarity times all; without those of a single text."""
+        texts = stored(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
+        each = stored(texts.mapInArrow(spread, "id binary, h bigint, w double"))
+        known = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+        order = Window.partitionBy("id").orderBy("df", "h")  # one text's shingles
+        ranked = known.withColumns({"before": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"), "all": F.sum("w").over(Window.partitionBy("id"))})
+        return ranked.where((F.col("all") - F.col("before") >= similarity * F.col("all") * (1 - 1e-9)) & (F.col("df") > 1)).select(F.col("h").alias("key"), "id")
+
     def verify(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = stored(whole.join(named, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity).select("a", "b")
 
-    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
+    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9, rarest)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -78,7 +78,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 20_24, ce
 
     Shard sizes differ by one row at most and are known before any row moves. Shards are divided into cells of about
     `cell_rows`; each input partition draws its exact counts per cell, deals its own rows at random by them, rows are
-    exchanged by cell and permuted again inside it. One exchange; no task holds more than a cell, however large a shard.
+    exchanged by cell and permuted again inside it. One exchange; a cell is sorted in one task,
+    however large a shard (a task may get several cells, one after the other).
 
     All columns are kept (`shard` and `slot` get a trailing `_` where taken). Null values, repeated rows and any
     texts are rows like others. An empty input gives no rows; with fewer rows than shards some shards are empty.
