@@ -295,7 +295,7 @@ def test_groups_equal_brute_force(spark, documents):
 def test_a_vast_family_equals_brute_force(spark, monkeypatch):
     """Near copies of one text, nearer and farther, in buckets that count as vast: the rarest shingles lose no link."""
     monkeypatch.setattr("tidelake.llm.components.SMALL_BUCKET", 4)
-    monkeypatch.setattr("tidelake.llm.components.VAST_BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "VAST", 8)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in rng.integers(0, 400, 150)]
     docs = []

@@ -94,6 +94,7 @@ def joined(
     hints: DataFrame | None = None,
     possible: Callable[[Column, Column], Column] | None = None,
     refine: Callable[[DataFrame], DataFrame] | None = None,
+    vast_bucket: int | None = None,
 ) -> DataFrame:
     """One row (id, root) for every id that a verified link joins: the components of all links between ids that share a bucket.
 
@@ -128,12 +129,13 @@ def joined(
     if apart.isEmpty():
         return roots
     if refine is not None:
-        vast = durable(apart.where(F.col("n") > VAST_BUCKET).select("id").distinct())
+        limit = VAST_BUCKET if vast_bucket is None else vast_bucket
+        vast = durable(apart.where(F.col("n") > limit).select("id").distinct())
         if not vast.isEmpty():
             finer = shared(refine(vast))
             more = durable(first_pairs(finer).join(first, ["a", "b"], "left_anti"))
             roots, first = with_links(roots, verify(more)), first.union(more)
-            apart = durable(placed(many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))))
+            apart = durable(placed(many.where(F.col("n") <= limit).union(finer.where(F.col("n") > SMALL_BUCKET))))
     hinted = apart.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else apart.join(hints, "id")
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
     return with_links(roots, verify(rest)) if not rest.isEmpty() else roots

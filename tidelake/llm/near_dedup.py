@@ -19,6 +19,8 @@ from tidelake.llm.components import joined, shared
 
 WORDS = 5
 BANDS, ROWS = 10, 3
+#: Buckets of over so many texts that are not alike as a whole are looked up by their rarest shingles.
+VAST = 64
 #: The weight of a shingle stops growing at this share of all documents (smoothing; without effect up to 1 / FLOOR documents).
 FLOOR = 1 / 500
 #: Shared counters that find the shingles over the floor, in pieces; and parts in which tasks add theirs up.
@@ -253,7 +255,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity).select("a", "b")
 
-    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9, rarest)
+    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9, rarest, VAST)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
