@@ -419,28 +419,26 @@ def migrate_csv(spark, d):
     return spark.read.schema("timestamp bigint, ask int, bid int, ask_vol float, bid_vol float, symbol string").parquet(out).select("symbol", *schemas.TICK.fieldNames())
 
 
-def _chunk_files(spark, d):
-    """Ticks as hourly chunk files and their minute bars as daily ones, in a new folder."""
-    root = scratch(spark, "chunk-files")
-    day = F.to_date(F.timestamp_millis("base_ms"))
-    t = D.ticks(spark, d).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 3_600_000)
+def _chunk_files(spark, d, kind):
+    """Ticks as hourly chunk files, or their minute bars as daily ones, in a new folder."""
+    root, width = scratch(spark, "chunk-files"), 3_600_000 if kind == "tick" else 86_400_000
+    rows = D.ticks(spark, d) if kind == "tick" else D.tick_bars(spark, d, 60_000)
+    blobs = chunks.encode_chunks(rows.withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % width), kind, ["symbol"])
     hour = (F.col("base_ms") % 86_400_000 / 3_600_000).cast("int")
-    chunks.write_chunks(chunks.encode_chunks(t, "tick", ["symbol"]).withColumn("key", S.chunk_key(F.col("symbol"), F.lit("tick"), day, hour)), root)
-    b = D.tick_bars(spark, d, 60_000).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % 86_400_000)
-    chunks.write_chunks(chunks.encode_chunks(b, "m1", ["symbol"]).withColumn("key", S.chunk_key(F.col("symbol"), F.lit("m1"), day, F.lit(0))), root)
+    chunks.write_chunks(blobs.withColumn("key", S.chunk_key(F.col("symbol"), F.lit(kind), F.to_date(F.timestamp_millis("base_ms")), hour)), root)
     return root
 
 
 @query("SELECT symbol, timestamp, ask, bid, ask_vol, bid_vol FROM ticks")
 def decode_chunks(spark, d):
     """Ticks in compressed hourly chunk files, found by their paths and decoded."""
-    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d)), "tick").where("error IS NULL").select("symbol", *schemas.TICK.fieldNames())
+    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d, "tick")), "tick").where("error IS NULL").select("symbol", *schemas.TICK.fieldNames())
 
 
 @query(f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({D.bars_sql('ticks', 60_000)})")
 def decode_bar_chunks(spark, d):
     """Minute bars in compressed daily chunk files."""
-    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d)), "m1").where("error IS NULL").select("symbol", *schemas.BAR.fieldNames())
+    return chunks.decode_chunks(chunks.scan_chunks(spark, _chunk_files(spark, d, "m1")), "m1").where("error IS NULL").select("symbol", *schemas.BAR.fieldNames())
 
 
 def _ingest_run(spark, d):
