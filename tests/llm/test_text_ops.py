@@ -292,10 +292,12 @@ def test_groups_equal_brute_force(spark, documents):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
-def test_a_vast_family_equals_brute_force(spark, monkeypatch):
-    """Near copies of one text, nearer and farther, in buckets that count as vast: the rarest shingles lose no link."""
+@pytest.mark.parametrize("block, weight", [(1_000, 4_000_000), (8, 4_000_000), (1_000, 2_000)])
+def test_a_vast_family_equals_brute_force(spark, monkeypatch, block, weight):
+    """Near copies of one text, nearer and farther, in large buckets: comparison by blocks, of few or light texts too, loses no link."""
     monkeypatch.setattr("tidelake.llm.components.SMALL_BUCKET", 4)
-    monkeypatch.setattr(near_dedup, "VAST", 8)
+    monkeypatch.setattr("tidelake.llm.components.BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_WEIGHT", weight)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in rng.integers(0, 400, 150)]
     docs = []

@@ -64,6 +64,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return ends.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def _dealt(members: DataFrame, per_block: Column) -> tuple[DataFrame, DataFrame]:
+    """Members with their block, and which two blocks of a bucket are to be compared (see `open_pairs`)."""
+    groups = members.groupBy("key", "root", "grade").agg(F.count("*").alias("m"))
+    sizes = groups.join(groups.groupBy("key", "grade").agg(F.sum("m").alias("n")), ["key", "grade"])
+    own = F.col("m") > per_block
+    part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / per_block))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / per_block)))
+    dealt = durable(members.drop("n").join(sizes, ["key", "root", "grade"]).select("key", "id", "root", "hint", "grade", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "grade", "part")))
+    blocks = dealt.select("key", "block", "own", "grade").distinct()
+    other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"), F.col("grade").alias("grade_b"))
+    return dealt, blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true) AND abs(grade - grade_b) <= 1").select("key", "block", "block_b")
+
+
 def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs (a < b) of different `root` in one bucket, of members (key, id, root, hint, grade) of buckets.
 
@@ -71,14 +83,7 @@ def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column]
     bucket are compared in one place, so a hot bucket is many tasks; blocks of one component are never compared with
     each other, nor are members whose grades differ by over 1. `possible` tells from the hints of two members whether they can be alike at all.
     """
-    groups = members.groupBy("key", "root", "grade").agg(F.count("*").alias("m"))
-    sizes = groups.join(groups.groupBy("key", "grade").agg(F.sum("m").alias("n")), ["key", "grade"])
-    own = F.col("m") > BLOCK
-    part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / BLOCK)))
-    dealt = durable(members.drop("n").join(sizes, ["key", "root", "grade"]).select("key", "id", "root", "hint", "grade", F.when(own, F.col("root")).alias("own"), part.alias("part")).withColumn("block", F.xxhash64("own", "grade", "part")))
-    blocks = dealt.select("key", "block", "own", "grade").distinct()
-    other = blocks.select("key", F.col("block").alias("block_b"), F.col("own").alias("own_b"), F.col("grade").alias("grade_b"))
-    both = blocks.join(other, "key").where("block <= block_b AND coalesce(own <> own_b, true) AND abs(grade - grade_b) <= 1").select("key", "block", "block_b")
+    dealt, both = _dealt(members, F.lit(BLOCK))
     left = dealt.join(both, ["key", "block"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("x"))
     right = dealt.withColumnRenamed("block", "block_b").join(both, ["key", "block_b"]).select("key", "block", "block_b", F.struct("id", "root", "hint").alias("y"))
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("block") != F.col("block_b")) | (F.col("x.id") < F.col("y.id")))
@@ -88,13 +93,22 @@ def open_pairs(members: DataFrame, possible: Callable[[Column, Column], Column]
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def open_blocks(members: DataFrame, per_block: Column) -> DataFrame:
+    """The same comparisons without the pairs: rows (key, block, block_b, side, id, root), the members of every two
+    blocks that meet, of about `per_block` (an expression of `grade`) members each."""
+    dealt, both = _dealt(members, per_block)
+    left = dealt.join(both, ["key", "block"]).select("key", "block", "block_b", F.lit(0).alias("side"), "id", "root")
+    right = dealt.withColumnRenamed("block", "block_b").join(both, ["key", "block_b"]).where("block <> block_b").select("key", "block", "block_b", F.lit(1).alias("side"), "id", "root")
+    return left.union(right)
+
+
 def joined(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     hints: DataFrame | None = None,
     possible: Callable[[Column, Column], Column] | None = None,
     refine: Callable[[DataFrame], DataFrame] | None = None,
-    vast_bucket: int | None = None,
+    meet: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row (id, root) for every id that a verified link joins: the components of all links between ids that share a bucket.
 
@@ -103,6 +117,7 @@ def joined(
     costs a star, and no pair that could join two components is left out. The ids of vast buckets that a star does not
     join get the finer keys (key, id) of `refine` instead, which must be such that any two alike ids share one; these
     are compared in the same way. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
+    `meet`, where given, finds the links (a, b) between members (key, id, root, hint, grade) itself, without a row for each pair.
     """
     def first_pairs(rows: DataFrame) -> DataFrame:
         """All pairs of small buckets and a star of each large one."""
@@ -129,13 +144,14 @@ def joined(
     if apart.isEmpty():
         return roots
     if refine is not None:
-        limit = VAST_BUCKET if vast_bucket is None else vast_bucket
-        vast = durable(apart.where(F.col("n") > limit).select("id").distinct())
+        vast = durable(apart.where(F.col("n") > VAST_BUCKET).select("id").distinct())
         if not vast.isEmpty():
             finer = shared(refine(vast))
             more = durable(first_pairs(finer).join(first, ["a", "b"], "left_anti"))
             roots, first = with_links(roots, verify(more)), first.union(more)
-            apart = durable(placed(many.where(F.col("n") <= limit).union(finer.where(F.col("n") > SMALL_BUCKET))))
+            apart = durable(placed(many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))))
     hinted = apart.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else apart.join(hints, "id")
+    if meet is not None:
+        return with_links(roots, meet(hinted))
     rest = durable(open_pairs(hinted, possible).join(first, ["a", "b"], "left_anti"))
     return with_links(roots, verify(rest)) if not rest.isEmpty() else roots

@@ -12,15 +12,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidelake.llm import components
 from tidelake.llm.common import durable, fresh, stored
-from tidelake.llm.components import joined, shared
+from tidelake.llm.components import joined, open_blocks, shared
 
 WORDS = 5
 BANDS, ROWS = 10, 3
-#: Buckets of over so many texts that are not alike as a whole are looked up by their rarest shingles.
-VAST = 64
+#: The texts of a block that is compared in one task weigh about so much (a shingle weighs up to 1 - ln FLOOR), or are one text.
+BLOCK_WEIGHT = 4_000_000
 #: The weight of a shingle stops growing at this share of all documents (smoothing; without effect up to 1 / FLOOR documents).
 FLOOR = 1 / 500
 #: Shared counters that find the shingles over the floor, in pieces; and parts in which tasks add theirs up.
@@ -201,13 +201,45 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.nd
     return np.divide(least, total, out=np.zeros(len(left)), where=total > 0)
 
 
+def block_links(texts: pa.Array, roots: np.ndarray, side: np.ndarray, weights: Weights, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of `roots` among the texts of two blocks (side 0 and 1), or of one (all of side 0).
+
+    Each text in turn is held against all those that it is to meet and that no link joins to it so far; a link that
+    would join nothing is left out. Memory is that of the blocks' shingles.
+    """
+    doc, h, times = counted(*shingles(texts))
+    code = np.unique(h, return_inverse=True)[1]
+    w = weights.of(h, times)
+    total = np.bincount(doc, w, len(texts))
+    starts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    group = np.unique(roots, return_inverse=True)[1]
+    own = np.zeros(int(code.max()) + 1 if len(code) else 0)
+    two = bool(side.any())
+    few = 1 if two and side.sum() * 2 < len(side) else 0
+    out = []
+    for i in np.flatnonzero(side == few):
+        open_ = (side != few) if two else np.arange(len(side)) > i
+        open_ &= (group != group[i]) & (np.minimum(total, total[i]) >= similarity * np.maximum(total, total[i]) - 1e-9) & (total > 0)
+        if not open_.any():
+            continue
+        mine = slice(starts[i], starts[i + 1])
+        own[code[mine]] = w[mine]
+        least = np.bincount(doc, np.minimum(own[code], w), len(texts))
+        own[code[mine]] = 0
+        for j in np.flatnonzero(open_ & (least >= similarity * (total + total[i] - least) - 1e-9)):
+            if group[i] != group[j]:
+                out.append((int(i), int(j)))
+                group[group == group[j]] = group[i]
+    return out
+
+
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per document: its key, text hash, `class_id` (the least key of its group) and `kept` (it has that key).
 
     Equal texts are one class. Classes whose weighted Jaccard similarity over TF-IDF five-word shingles is
     `similarity` or more are linked, and groups are the connected components. Candidates share one of BANDS keys;
     every link is verified on the whole texts. Copies are never expanded into pairs; large buckets are compared by stars
-    first, vast ones by the rarest shingles of their members (see `components.joined`). A text without five words equals only its copies. A null text is a group of
+    first, then block by block (see `components.joined` and `block_links`). A text without five words equals only its copies. A null text is a group of
     its own and is kept. Rows of one key and text are one document, answered alike; ties go to the least key.
     """
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -231,31 +263,29 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
             parts = [weighted_jaccard(left.slice(i, step), right.slice(i, step), weights) for i in range(0, len(left), step)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column(1)):
-                doc, h, times = counted(*shingles(part))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array(h.view(np.int64)), pa.array(weights.of(h, times))], names=["id", "h", "w"])
-                at += len(part)
-
-    def rarest(ids: DataFrame) -> DataFrame:
-        """Keys by which no two alike texts miss each other: of each text's shingles, the rarest first, those before the
-        rest weighs less than the similarity times all; without those of a single text."""
-        texts = stored(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
-        each = stored(texts.mapInArrow(spread, "id binary, h bigint, w double"))
-        known = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
-        order = Window.partitionBy("id").orderBy("df", "h")  # one text's shingles
-        ranked = known.withColumns({"before": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"), "all": F.sum("w").over(Window.partitionBy("id"))})
-        return ranked.where((F.col("all") - F.col("before") >= similarity * F.col("all") * (1 - 1e-9)) & (F.col("df") > 1)).select(F.col("h").alias("key"), "id")
+    def text_of(ids: DataFrame) -> DataFrame:
+        return stored(whole.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids = t["id"].combine_chunks()
+        roots = pc.dictionary_encode(t["root"].combine_chunks()).indices.to_numpy()
+        links = block_links(t["t"].combine_chunks(), roots, t["side"].to_numpy(), weights, similarity)
+        a, b = (ids.take(pa.array([x[side] for x in links], pa.int64())) for side in range(2))
+        return pa.table({"a": a, "b": b})
+
+    def meet(members: DataFrame) -> DataFrame:
+        """Links between the members of large buckets, block by block; the heavier the texts of a grade, the fewer a block."""
+        heaviest = F.exp((F.col("grade") + 1) * step)
+        met = open_blocks(members, F.greatest(F.lit(1.0), F.least(F.lit(float(components.BLOCK)), F.lit(BLOCK_WEIGHT) / heaviest)))
+        return met.join(text_of(members.select("id")), "id").groupBy("key", "block", "block_b").applyInArrow(compare, "a binary, b binary").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = stored(whole.join(named, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
+        texts = text_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity).select("a", "b")
+        return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
 
-    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9, rarest, VAST)
+    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, meet=meet)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
