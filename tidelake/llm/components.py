@@ -12,8 +12,11 @@ from tidelake.llm.common import durable
 
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 32
-#: Buckets over this size get finer keys first, where the caller has any.
-VAST_BUCKET = 1_000
+#: Buckets with more members than this outside their largest component get finer keys, where the caller has any: about
+#: where rows for each key of a member cost less than holding it against all others, block by block.
+VAST_BUCKET = 30_000
+#: Stars of a large bucket, each from another member, go on while they join a tenth of what is open; so many at most.
+STARS = 8
 #: Members of a block in the comparison of large buckets; bounds a task, leaves out nothing.
 BLOCK = 1_000
 #: Edges are few rows: so many make a task, whatever the number of shuffle partitions.
@@ -113,10 +116,10 @@ def joined(
     """One row (id, root) for every id that a verified link joins: the components of all links between ids that share a bucket.
 
     `members` comes from `shared`; `verify` keeps of pairs (a, b) those that are alike. Small buckets compare all
-    pairs, large ones a star first and then every two members that the links found so far do not join: a large family
-    costs a star, and no pair that could join two components is left out. The ids of vast buckets that a star does not
-    join get the finer keys (key, id) of `refine` instead, which must be such that any two alike ids share one; these
-    are compared in the same way. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
+    pairs, large ones stars first and then every two members that the links found so far do not join: a large family
+    costs some stars, and no pair that could join two components is left out. With `refine`, buckets with many members
+    outside their largest component give their ids the finer keys (key, id) that it makes of ids (id), which must be
+    such that any two alike ids share one, instead; these are compared in the same way. `hints` (id, hint, grade) and `possible`, where given, spare pairs that cannot be alike.
     `meet`, where given, finds the links (a, b) between members (key, id, root, hint, grade) itself, without a row for each pair.
     """
     def first_pairs(rows: DataFrame) -> DataFrame:
@@ -127,6 +130,11 @@ def joined(
         leads = many.groupBy("key").agg(F.min("id").alias("lead"))
         return every.union(many.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))).distinct()
 
+    def largest(rows: DataFrame, step: int = 0) -> DataFrame:
+        """Of each bucket: its largest component, a member of it (of another step another one), and the number of members outside."""
+        groups = rows.groupBy("key", "root").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", F.lit(step))).alias("lead"))
+        return durable(groups.groupBy("key").agg(F.max(F.struct("m", "lead", "root")).alias("x"), F.sum("m").alias("n")).select("key", "x.lead", F.col("x.root").alias("most"), (F.col("n") - F.col("x.m")).alias("open")))
+
     def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
         return durable(components(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(links)))
 
@@ -144,12 +152,24 @@ def joined(
     if apart.isEmpty():
         return roots
     if refine is not None:
-        vast = durable(apart.where(F.col("n") > VAST_BUCKET).select("id").distinct())
+        before = None
+        for step in range(STARS):
+            leads = largest(apart, step)
+            still = leads.agg(F.sum("open")).first()[0]
+            if before is not None and still > 0.9 * before:
+                break
+            before = still
+            star = apart.join(leads, "key").where("root <> most").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+            roots = with_links(roots, verify(durable(star.distinct())))
+            apart = durable(placed(many))
+            if apart.isEmpty():
+                return roots
+        vast = durable(largest(apart).where(F.col("open") > VAST_BUCKET).select("key"))
         if not vast.isEmpty():
-            finer = shared(refine(vast))
+            finer = shared(refine(durable(apart.join(vast, "key", "left_semi").select("id").distinct())))
             more = durable(first_pairs(finer).join(first, ["a", "b"], "left_anti"))
             roots, first = with_links(roots, verify(more)), first.union(more)
-            apart = durable(placed(many.where(F.col("n") <= VAST_BUCKET).union(finer.where(F.col("n") > SMALL_BUCKET))))
+            apart = durable(placed(apart.select("key", "id", "n").join(vast, "key", "left_anti").union(finer.where(F.col("n") > SMALL_BUCKET))))
     hinted = apart.withColumn("hint", F.lit(None)).withColumn("grade", F.lit(0)) if hints is None else apart.join(hints, "id")
     if meet is not None:
         return with_links(roots, meet(hinted))

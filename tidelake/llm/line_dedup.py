@@ -117,8 +117,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     Equal lines become one class first, with a number. A class's signature are the first
     SKETCH of its longer character shingles in the order of hashes; bands are neighbours in it (see `bands`,
-    `components.joined`): two lines of whose sketch shingles three fifths agree share one with a chance of 0.97. The members of vast buckets are looked up by the
-    rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
+    `components.joined`): two lines of whose sketch shingles three fifths agree share one with a chance of 0.97. The members of large buckets that
+    stars leave open are looked up by the rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
     spared, every other is verified on the shingles of its whole lines (by hashes of 64 bits). Links are joined by
     distributed union-find. A document that loses every line has an empty text; null stays null. Rows of one key and
     text are one document, answered alike. Columns are kept; the new ones get a trailing `_` where their names are taken.
