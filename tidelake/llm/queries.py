@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup
+from tidelake.llm import byte_bpe, decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup
 from tidelake.llm.common import table
 
 
@@ -178,6 +178,20 @@ SELECT doc_id,
 FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id
 """
 
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
+    path = rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encoder(path, public_tokenizers.PATTERN)
+    back = byte_bpe.decoder(path, public_tokenizers.PATTERN)
+    coded = table(spark, sf_dir, "documents").select("doc_id", ids("text").alias("ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(back("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_language": op2_language,
@@ -189,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
