@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import byte_bpe, decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup
+from tidelake.llm import byte_bpe, decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup, whitening
 from tidelake.llm.common import table
 
 
@@ -192,6 +192,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_language": op2_language,
@@ -204,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
