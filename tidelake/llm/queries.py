@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import byte_bpe, decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup, whitening
+from tidelake.llm import byte_bpe, conversation_repair, decontaminate, html_text, language, line_dedup, near_dedup, packing, secrets, sharding, url_filter, vector_dedup, whitening
 from tidelake.llm.common import table
 
 
@@ -192,6 +192,76 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns with the faults that the crc32 of `conv_id:turn` picks for one in five each: dropped, emptied, cut, repeated, of another role."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    k = F.col("_k")
+    kept = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(name.cast("binary")) % 20).alias("_k")).where(k != 0)
+    return kept.select(
+        "conv_id",
+        "turn",
+        F.when(k == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(k == 1, "").when(k == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(k == 3, 2).otherwise(1))).alias("_copy"),
+    ).drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = conversation_repair.repair(damaged(rows))
+    found = done.summary.join(conversation_repair.digest(done).withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+    ids = rows.select(F.col("conv_id").alias("_id")).distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return out.select(F.col("_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE
+bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS k
+  FROM conversations, tab),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE k <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM d),
+f AS (
+  SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+n AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+e(p, letter, c, q) AS (VALUES (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3), (0, 'R', NULL, 2), (1, 'R', NULL, 2), (2, 'R', NULL, 3), (3, 'R', NULL, 2),
+  (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2)),
+ins(q, piece, made, r) AS (VALUES (0, '', '', 0), (0, 'I', chr(10) || 'user:', 2), (0, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3), (1, '', '', 1), (1, 'I', chr(10) || 'user:', 2),
+  (1, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3), (2, '', '', 2), (2, 'I', chr(10) || 'assistant:', 3), (3, '', '', 3), (3, 'I', chr(10) || 'user:', 2)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, r AS q, {'cost': 3 * len(piece), 'audit': piece, 'made': made} AS best FROM n, ins WHERE q = 0
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, ins.r, min({'cost': best.cost + 3 * len(piece) + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END,
+      'audit': best.audit || letter || piece,
+      'made': best.made || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE e.q WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || text END || ins.made})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN e ON e.p = dp.q AND (e.c IS NULL OR e.c = f.c) AND (e.letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+    JOIN ins ON ins.q = e.q
+  GROUP BY dp.conv_id, dp.i, ins.r),
+b AS (SELECT dp.conv_id, min(best) AS best FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = n.n WHERE q IN (0, 3) GROUP BY dp.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -208,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
 
@@ -215,4 +286,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secrets": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_url_filter": OP8_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
