@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column
@@ -52,20 +53,20 @@ def parts(text: str, size: int = PART) -> Iterator[tuple[str, bool]]:
 
 
 @lru_cache(maxsize=4)
-def _encodings(rank_path: str, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
-    """The encoding by `pattern`, and one that takes a whole string as a single match."""
+def _encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
     with open(rank_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tuple(tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, r"(?s:.+)"))
+    return tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_text(text: str, rank_path: str, pattern: str, size: int = PART) -> list[int]:
+#: Takes a whole string as a single match.
+ALL = r"(?s:.+)"
+
+
+def encode_text(text: str, rank_path: str, pattern: str, size: int = PART) -> np.ndarray:
     """The ids of one whole text; marks of special tokens in it are ordinary text."""
-    by_pattern, whole = _encodings(rank_path, pattern)
-    ids: list[int] = []
-    for part, single in parts(text, size):
-        ids += (whole if single else by_pattern).encode_ordinary(part)
-    return ids
+    done = [np.array(_encoding(rank_path, ALL if single else pattern).encode_ordinary(part), np.int32) for part, single in parts(text, size)]
+    return done[0] if len(done) == 1 else np.concatenate(done)
 
 
 def encoder(rank_path: str, pattern: str, size: int = PART) -> Callable[[Column | str], Column]:
@@ -78,7 +79,9 @@ def encoder(rank_path: str, pattern: str, size: int = PART) -> Callable[[Column
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
-            yield pa.array([encode_text(t.as_py() or "", rank_path, pattern, size) for t in texts], pa.list_(pa.int32()))
+            ids = [encode_text(t.as_py() or "", rank_path, pattern, size) for t in texts]
+            ends = np.cumsum([0, *map(len, ids)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
 
     return lambda text: encode(F.col(text) if isinstance(text, str) else text)
 
@@ -91,8 +94,7 @@ def decoder(rank_path: str, pattern: str) -> Callable[[Column | str], Column]:
 
     @F.arrow_udf("binary")
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        by_pattern, _ = _encodings(rank_path, pattern)
         for ids in columns:
-            yield pa.array([by_pattern.decode_bytes(x.as_py()) if x.is_valid else None for x in ids], pa.binary())
+            yield pa.array([_encoding(rank_path, pattern).decode_bytes(x.as_py()) if x.is_valid else None for x in ids], pa.binary())
 
     return lambda ids: decode(F.col(ids) if isinstance(ids, str) else ids)
