@@ -4,6 +4,8 @@ import datetime as dt
 import lzma
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,17 +108,17 @@ def test_chunks(spark, tmp_path):
 
     folder = tmp_path / "EURUSD" / "2024" / "00" / "15"
     folder.mkdir(parents=True)
-    (folder / "03h_ticks").write_bytes(blob((5, 108501, 108499, 1.5, 2.5), (7, 108502, 108498, 0.5, 0.25)))
-    (folder / "04h_ticks").write_bytes(b"")
-    (folder / "05h_ticks").write_bytes(b"not a chunk")
+    (folder / "03h_ticks.bi5").write_bytes(blob((5, 108501, 108499, 1.5, 2.5), (7, 108502, 108498, 0.5, 0.25)))
+    (folder / "04h_ticks.bi5").write_bytes(b"")
+    (folder / "05h_ticks.bi5").write_bytes(b"not a chunk")
     got = chunks.decode_chunks(chunks.scan_chunks(spark, str(tmp_path)), "tick")
     good, bad = got.where("error IS NULL").drop("path", "error"), got.where("error IS NOT NULL")
     base = 1705287600000
     assert sorted(tuple(r) for r in good.collect()) == [("EURUSD", base + 5, 108501, 108499, 1.5, 2.5), ("EURUSD", base + 7, 108502, 108498, 0.5, 0.25)]
-    assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["05h_ticks"]
+    assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["05h_ticks.bi5"]
     # bars: seconds, then open, high, low, close; ticks beside them are not read as bars
-    (folder / "minute_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 100, 140, 90, 120, 2.5), format=lzma.FORMAT_ALONE))
-    (tmp_path / "EURUSD" / "2024" / "00" / "hour_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 3600, 1, 4, 0, 2, 0.5), format=lzma.FORMAT_ALONE))
+    (folder / "BID_candles_min_1.bi5").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 100, 140, 90, 120, 2.5), format=lzma.FORMAT_ALONE))
+    (tmp_path / "EURUSD" / "2024" / "00" / "BID_candles_hour_1.bi5").write_bytes(lzma.compress(struct.pack(">iiiiif", 3600, 1, 4, 0, 2, 0.5), format=lzma.FORMAT_ALONE))
     found = chunks.scan_chunks(spark, str(tmp_path))
     m1 = chunks.decode_chunks(found, "m1").drop("path").collect()
     assert [r.asDict() for r in m1] == [{"symbol": "EURUSD", "error": None, "timestamp": 1705276860000, "open": 100, "high": 140, "low": 90, "close": 120, "volume": 2.5}]
@@ -125,17 +127,58 @@ def test_chunks(spark, tmp_path):
 
 def test_written_chunks_are_found(spark, tmp_path):
     rows = spark.createDataFrame([("A", 3_600_005, 5, 4, 1.0, 2.0)], "symbol string, timestamp long, ask int, bid int, ask_vol float, bid_vol float")
-    blobs = chunks.encode_chunks(rows.withColumn("base_ms", F.lit(3_600_000).cast("long")), "tick", ["symbol"]).withColumn("key", F.lit("A/1970/00/01/01h_ticks"))
+    blobs = chunks.encode_chunks(rows.withColumn("base_ms", F.lit(3_600_000).cast("long")), "tick", ["symbol"]).withColumn("key", F.lit("A/1970/00/01/01h_ticks.bi5"))
     for root in (str(tmp_path / "x"), f"file://{tmp_path}/y", f"file:{tmp_path}/z"):
         chunks.write_chunks(blobs, root)
         assert chunks.decode_chunks(chunks.scan_chunks(spark, root), "tick").first()["timestamp"] == 3_600_005
 
 
+def test_listed_chunks_are_opened_alone(spark, tmp_path):
+    """Only files with a chunk's name are listed, and of these only the planned ones are opened; the others hold no chunk."""
+    folder = tmp_path / "in" / "a" / "2024" / "00" / "15"
+    folder.mkdir(parents=True)
+    good = lzma.compress(struct.pack(">iiiff", 5, 2, 1, 1.0, 1.0), format=lzma.FORMAT_ALONE)
+    for name, content in {"03h_ticks.bi5": good, "04h_ticks.bi5": b"no chunk", "05h_ticks.bi5": good[:-3], "06h_ticks.bi5": good + good, "07h_ticks.bi5": good + b"xyz", "03h_ticks": good, "note.txt": b""}.items():
+        (folder / name).write_bytes(content)
+    listed = chunks.list_chunks(spark, str(tmp_path / "in"))
+    assert sorted(r["key"] for r in listed.collect()) == [f"A/2024/00/15/0{i}h_ticks.bi5" for i in range(3, 8)]
+    got = chunks.decode_listed(listed.where("key NOT LIKE '%04h%'"), "tick").collect()
+    assert sorted((r["path"][-13:-11], r["error"] is None) for r in got) == [("03", True), ("05", False), ("06", True), ("06", True), ("07", True)]
+    lost = spark.createDataFrame([(str(tmp_path / "none"), "A", 0)], "path string, symbol string, base_ms long")
+    assert "FileNotFoundError" in chunks.decode_listed(lost, "tick").first()["error"]
+
+
+def test_checkpoints_outside_the_plan_stay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    plan = spark.createDataFrame([("A", "m1", day("2024-01-01"), 1)], "symbol string, timeframe string, dt date, decimal_factor int")
+    before = spark.createDataFrame([("A", "m1", None), ("A", "tick", day("2023-01-01")), ("B", "m1", day("2023-05-01"))], schemas.CHECKPOINT)
+    at = run.ingest(spark, plan, str(tmp_path / "in"), str(tmp_path / "lake"), before, F.lit("2024-01-05").cast("date"), 1)
+    assert sorted(map(tuple, at.collect())) == [("A", "m1", day("2024-01-01")), ("A", "tick", day("2023-01-01")), ("B", "m1", day("2023-05-01"))]
+
+
+def test_a_chunk_of_any_size_takes_bounded_memory():
+    """400 MB of records in one chunk, under a limit of 150 MB for what Python allocates meanwhile."""
+    import io
+    import tracemalloc
+
+    packer = lzma.LZMACompressor(format=lzma.FORMAT_ALONE, preset=0)
+    part = np.zeros(1_000_000, chunks.TICK_RECORD)
+    part["offset"] = np.arange(1_000_000) % 1000
+    blob = b"".join([*(packer.compress(part.tobytes()) for _ in range(20)), packer.flush()])
+    decode, _ = chunks._decoder("tick", [], lambda _: io.BytesIO(blob))
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array(["A"]), pa.array([0]), pa.array([""])], names=["path", "symbol", "base_ms", "source"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in decode(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000_000 and peak < 150_000_000
+
+
 def test_absent_chunks_can_count_as_bad(spark, tmp_path):
     plan = spark.createDataFrame([("A", "m15", day("2024-01-01"), 1), ("A", "m15", day("2024-01-02"), 1)], "symbol string, timeframe string, dt date, decimal_factor int")
     folder = tmp_path / "in" / "A" / "2024" / "00" / "01"
     folder.mkdir(parents=True)
-    (folder / "minute_bars").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 1, 4, 1, 2, 0.5), format=lzma.FORMAT_ALONE))
+    (folder / "BID_candles_min_1.bi5").write_bytes(lzma.compress(struct.pack(">iiiiif", 60, 1, 4, 1, 2, 0.5), format=lzma.FORMAT_ALONE))
     none = spark.createDataFrame([], "symbol string, timeframe string, last_date date")
     for ok, last in ((True, "2024-01-02"), (False, "2024-01-01")):
         at = run.ingest(spark, plan, str(tmp_path / "in"), str(tmp_path / f"lake{ok}"), none, F.lit("2024-01-05").cast("date"), 1, absent_ok=ok)

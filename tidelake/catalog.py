@@ -139,9 +139,9 @@ def plan_overlap(spark, d):
 @query(f""", {STARTS}, p AS ({DAILY} UNION ALL {MONTHLY.format(first=FIRST)}),
   q AS (SELECT symbol, CASE timeframe WHEN 'm15' THEN 'm1' WHEN 'h4' THEN 'h1' ELSE timeframe END AS prim, dt, unnest(CASE WHEN timeframe = 'tick' THEN range(24) ELSE [NULL] END)::INT AS hour FROM p)
   SELECT DISTINCT symbol, prim AS "primitive", dt, hour, CASE prim
-    WHEN 'tick' THEN printf('%s/%d/%02d/%02d/%02dh_ticks', symbol, year(dt), month(dt) - 1, day(dt), hour)
-    WHEN 'm1' THEN printf('%s/%d/%02d/%02d/minute_bars', symbol, year(dt), month(dt) - 1, day(dt))
-    ELSE printf('%s/%d/%02d/hour_bars', symbol, year(dt), month(dt) - 1) END AS key FROM q""")
+    WHEN 'tick' THEN printf('%s/%d/%02d/%02d/%02dh_ticks.bi5', symbol, year(dt), month(dt) - 1, day(dt), hour)
+    WHEN 'm1' THEN printf('%s/%d/%02d/%02d/BID_candles_min_1.bi5', symbol, year(dt), month(dt) - 1, day(dt))
+    ELSE printf('%s/%d/%02d/BID_candles_hour_1.bi5', symbol, year(dt), month(dt) - 1) END AS key FROM q""")
 def plan_chunks(spark, d):
     return ingest.chunk_keys(_plan(spark, d, ["tick", "m15", "h1", "h4"]))
 
@@ -474,6 +474,37 @@ def ingest_checkpoints(spark, d):
     return _ingest_run(spark, d)[1][1]
 
 
+def _ingest_ticks(spark, d):
+    """A run over the hours of ticks of one week, some of them not readable, in a folder that also holds chunks that are not
+    planned and cannot be read; a symbol that is not planned has a checkpoint already."""
+    root, lake, hour = scratch(spark, "tick-files"), scratch(spark, "tick-lake"), 3_600_000
+    blobs = chunks.encode_chunks(D.ticks(spark, d).withColumn("base_ms", F.col("timestamp") - F.col("timestamp") % hour), "tick", ["symbol"])
+    day, n = F.to_date(F.timestamp_millis("base_ms")), (F.col("base_ms") % 86_400_000 / hour).cast("int")
+    broken = (F.col("symbol") == "S3") & (day == _date("2024-01-10")) | (F.col("symbol") == "S9") | (day > _date("2024-01-14"))
+    chunks.write_chunks(blobs.select(S.chunk_key(F.col("symbol"), F.lit("tick"), day, n).alias("key"), F.when(broken, F.lit("no chunk").cast("binary")).otherwise(F.col("content")).alias("content")), root)
+    symbols = D.ticks(spark, d).select("symbol").distinct()
+    week = F.sequence(_date("2024-01-08"), _date("2024-01-14"))
+    plan = symbols.where("symbol <> 'S9'").select("symbol", F.lit("tick").alias("timeframe"), F.explode(week).alias("dt"), F.lit(100).alias("decimal_factor"))
+    before = symbols.where("symbol IN ('S3', 'S9')").select("symbol", F.lit("tick").alias("timeframe"), _date("2024-01-07").alias("last_date"))
+    return lake, run.ingest(spark, plan, root, lake, before, _date("2024-02-01"), 1)
+
+
+@query("""SELECT symbol, timestamp, arg_max(ask, seq) AS ask, arg_max(bid, seq) AS bid FROM ticks WHERE symbol <> 'S9' AND make_timestamp(timestamp * 1000)::DATE BETWEEN date '2024-01-08' AND date '2024-01-14'
+  AND NOT (symbol = 'S3' AND make_timestamp(timestamp * 1000)::DATE = date '2024-01-10') GROUP BY symbol, timestamp HAVING count(*) = 1""")
+def ingest_ticks(spark, d):
+    """Ticks of a planned week (those alone at their time), decoded from the planned hours' files and no others."""
+    lake, _ = _ingest_ticks(spark, d)
+    alone = D.ticks(spark, d).groupBy("symbol", "timestamp").count().where("count = 1").drop("count")
+    return spark.read.parquet(f"{lake}/tick").join(alone, ["symbol", "timestamp"], "left_semi").select("symbol", "timestamp", "ask", "bid")
+
+
+@query("""SELECT symbol, 'tick' AS timeframe, CASE WHEN symbol = 'S9' THEN date '2024-01-07' WHEN symbol = 'S3' AND hole THEN date '2024-01-09' ELSE date '2024-01-14' END AS last_date
+  FROM (SELECT symbol, bool_or(make_timestamp(timestamp * 1000)::DATE = date '2024-01-10') AS hole FROM ticks GROUP BY symbol)""")
+def ingest_tick_checkpoints(spark, d):
+    """Checkpoints after that run: the broken day's is held back, and the symbol outside the plan keeps its own."""
+    return _ingest_ticks(spark, d)[1]
+
+
 @query(f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({D.bars_sql('ticks', 14_400_000)}) WHERE symbol IN ('S1', 'S2')")
 def reconstruct_bars(spark, d):
     """Four-hour bars of two symbols, built again from the appended chunks alone."""

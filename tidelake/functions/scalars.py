@@ -10,6 +10,8 @@ DEFAULT_FACTOR = 100_000
 ALIASES = {"tick": "tick", "m1": "m1", "1m": "m1", "m15": "m15", "15m": "m15", "h1": "h1", "1h": "h1", "h4": "h4", "4h": "h4"}
 PRIMITIVE = {"tick": "tick", "m1": "m1", "m15": "m1", "h1": "h1", "h4": "h1"}
 FOLDERS = {"tick": "tick", "m1": "1min", "m15": "15min", "h1": "1h", "h4": "4h"}
+#: The file of a raw chunk, of ticks by hour.
+CHUNK_FILES = {"tick": "%02dh_ticks.bi5", "m1": "BID_candles_min_1.bi5", "h1": "BID_candles_hour_1.bi5"}
 WIDTH_MS = {"m1": 60_000, "m15": 900_000, "h1": 3_600_000, "h4": 14_400_000}
 
 
@@ -78,12 +80,10 @@ def resolve_factor(override: Column, factor: Column) -> Column:
 
 def chunk_key(symbol: Column, name: Column, dt: Column, hour: Column) -> Column:
     """Storage key of a raw chunk: hours of ticks, days of minute bars, months of hour bars; months count from 0."""
-    year, month = F.year(dt), F.month(dt) - 1
-    return (
-        F.when(name == "tick", F.format_string("%s/%d/%02d/%02d/%02dh_ticks", symbol, year, month, F.day(dt), F.coalesce(hour, F.lit(0))))
-        .when(name == "m1", F.format_string("%s/%d/%02d/%02d/minute_bars", symbol, year, month, F.day(dt)))
-        .when(name == "h1", F.format_string("%s/%d/%02d/hour_bars", symbol, year, month))
-    )
+    place = F.format_string("%s/%d/%02d", F.upper(symbol), F.year(dt), F.month(dt) - 1)
+    day = F.format_string("%02d", F.day(dt))
+    file = {k: F.format_string(v, F.coalesce(hour, F.lit(0))) if "%" in v else F.lit(v) for k, v in CHUNK_FILES.items()}
+    return F.when(name == "tick", F.concat_ws("/", place, day, file["tick"])).when(name == "m1", F.concat_ws("/", place, day, file["m1"])).when(name == "h1", F.concat_ws("/", place, file["h1"]))
 
 
 def canonical_path(base: Column, symbol: Column, name: Column, month: Column) -> Column:

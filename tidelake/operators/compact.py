@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.workspace import scratch
+from tidelake.workspace import parquet_or_empty, staged
 
 
 def dedup_last(df: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp"), order: str = "seq") -> DataFrame:
@@ -43,18 +43,11 @@ def compact(table: str, incoming: DataFrame, keys: tuple[str, ...] = ("symbol",
     """
     spark = incoming.sparkSession
     columns = incoming.columns
-    try:
-        existing = spark.read.parquet(table)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        existing = incoming.limit(0)
+    existing = parquet_or_empty(spark, table, incoming)
     touched = incoming.select(*parts).distinct()
     old = existing.select(*columns).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, list(parts), "left_semi").select(*columns)
-    staged = f"{scratch(spark, 'staged')}"
-    merge(old, incoming, keys, order, prefer).write.parquet(staged)
     (
-        spark.read.parquet(staged)
+        staged(merge(old, incoming, keys, order, prefer), "merged")
         .repartition(*parts)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
@@ -64,4 +57,4 @@ def compact(table: str, incoming: DataFrame, keys: tuple[str, ...] = ("symbol",
         .partitionBy(*parts)
         .parquet(table)
     )
-    return spark.read.parquet(table).select(*columns)
+    return parquet_or_empty(spark, table, incoming).select(*columns)
