@@ -217,6 +217,57 @@ def test_migration(spark, tmp_path):
     assert got == [("AAA", 1704067200000, 12, 11)] * 2 + [("AAA", 1704067202000, 15, 14)]
 
 
+def csv_file(root, symbol, lines, name="a"):
+    folder = root / symbol / "tick"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"{name}.csv").write_text("\n".join(["timestamp,ask,bid,ask_vol,bid_vol", *lines]) + "\n")
+
+
+def test_bad_files_are_told_and_left_out(spark, tmp_path):
+    at = "2024-01-01 00:00:00+00:00"
+    csv_file(tmp_path / "in", "GOOD", [f"{at},1.08501,1.08499,1,"])
+    csv_file(tmp_path / "in", "WORD", [f"{at},1.5,1.4,1,1", f"{at},n/a,1.4,1,1", f"{at},,1.4,1,1"])
+    csv_file(tmp_path / "in", "FAR", [f"{at},30000.5,1.4,1,1"])
+    csv_file(tmp_path / "in", "RAW", [f"{at},108501,108499,1,1", f"{at},108502,108498,1,1"])
+    csv_file(tmp_path / "in", "MIX", [f"{at},1,108499,1,1", f"{at},1.5,108498,1,1"])
+    csv_file(tmp_path / "in", "BIG", [f"{at},3000000000,1,1,1"])
+    csv_file(tmp_path / "in", "CELLS", [f"{at},1.5,1.4,1", f"{at},1.5,1.4,1,1,9"])
+    csv_file(tmp_path / "in", "VOL", [f"{at},1.5,1.4,much,1"])
+    none = spark.createDataFrame([], "symbol string, decimal_factor int")
+    run_once = lambda: {r["symbol"]: (r["status"], r["rows_in"], r["rows_out"], r["error"]) for r in migrate.migrate(spark, str(tmp_path / "in"), str(tmp_path / "out"), "tick", none).collect()}
+    got = run_once()
+    assert got["GOOD"] == ("ok", 1, 1, None) and got["RAW"] == ("ok", 2, 2, None) and got["MIX"] == ("ok", 2, 2, None)
+    assert got["WORD"] == ("error", 3, 0, "2 rows cannot be taken, the first: ask: n/a")
+    assert got["FAR"] == ("error", 1, 0, "beyond 32 bits: ask") == got["BIG"]
+    assert got["CELLS"][:3] == ("error", 2, 0) and got["CELLS"][3].startswith("2 rows cannot be taken, the first: cells: ")
+    assert got["VOL"] == ("error", 1, 0, "1 rows cannot be taken, the first: ask_vol: much")
+    lake = lambda: sorted((r["symbol"], r["ask"], r["bid"], r["bid_vol"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [("GOOD", 108501, 108499, None), ("MIX", 100000, 108499, 1.0), ("MIX", 150000, 108498, 1.0), ("RAW", 108501, 108499, 1.0), ("RAW", 108502, 108498, 1.0)]
+    assert lake() == want
+    assert run_once() == got and lake() == want  # running again replaces what it wrote
+    csv_file(tmp_path / "in", "GOOD", [f"{at},1.1,1.0,1,1"])
+    csv_file(tmp_path / "in", "GOOD", [f"{at},1.2,1.0,1,1"], "b")
+    run_once()
+    assert [r for r in lake() if r[0] == "GOOD"] == [("GOOD", 110000, 100000, 1.0), ("GOOD", 120000, 100000, 1.0)]
+
+
+def test_only_unsorted_files_are_sorted(spark, tmp_path):
+    at = "2024-01-01 00:00:0{}+00:00,{}.5,1.5,1,1"
+    csv_file(tmp_path / "in", "UP", [at.format(i // 2, i) for i in range(9)])
+    csv_file(tmp_path / "in", "DOWN", [at.format(9 - i // 2, i) for i in range(9)])
+    one = spark.createDataFrame([], "symbol string, decimal_factor int")
+    got = migrate.migrate(spark, str(tmp_path / "in"), str(tmp_path / "out"), "tick", one, factor=2)
+    assert {r["symbol"]: r["resorted"] for r in got.collect()} == {"UP": False, "DOWN": True}
+    table = spark.read.parquet(str(tmp_path / "out"))
+    for symbol, places in {"UP": list(range(9)), "DOWN": [8, 6, 7, 4, 5, 2, 3, 0, 1]}.items():
+        rows = table.where(F.col("symbol") == symbol).select("ask", "timestamp", "_metadata.file_path", "_metadata.row_index").orderBy("timestamp", "file_path", "row_index").collect()
+        assert [(r["ask"] - 1) // 2 for r in rows] == places
+    assert {r["inversions"] for r in quality.file_order(table).collect()} == {0}
+    runs = spark.createDataFrame([("f", 0, 0, 1), ("f", 0, 1, 5), ("f", 7, 0, 4), ("g", 0, 0, 3), ("g", 9, 0, 3), ("g", 10, 0, 8)], "file string, block long, row long, timestamp long")
+    for parts in (1, 3, 6):
+        assert dict(migrate.sorted_files(runs.orderBy("file", "block", "row").coalesce(1).repartitionByRange(parts, "file", "block", "row").sortWithinPartitions("file", "block", "row")).collect()) == {"f": False, "g": True}
+
+
 def test_log_and_lists(spark):
     lines = [("f", 1, "2024-01-01 00:00:00 | A | tick | 2024-01-01 | first | part"), ("f", 2, "more"), ("f", 3, "2024-01-02 00:00:00 | B | h1 | 2024-01-01 | x")]
     got = files.parse_failures(spark.createDataFrame(lines, "file string, line_no int, value string")).orderBy("ts").collect()

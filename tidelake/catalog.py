@@ -419,6 +419,48 @@ def migrate_csv(spark, d):
     return spark.read.schema("timestamp bigint, ask int, bid int, ask_vol float, bid_vol float, symbol string").parquet(out).select("symbol", *schemas.TICK.fieldNames())
 
 
+def _user_csv(spark, d):
+    """A CSV file of ticks for each user. Of every eight users one has a price that is no number, one a price beyond 32
+    bits, one integer prices, one rows in order of time (others in the opposite one), one a header only."""
+    root, k = scratch(spark, "user-csv"), F.col("user_id") % 8
+    e = D.events(spark, d).select("user_id", "ms", "event_id", (S.scale_price(F.col("value"), F.lit(100)) + 1).alias("ask"))
+    first = F.col("event_id") == F.col("first")
+    cell = F.when(first & (k == 0), "n/a").when(first & (k == 1), "30000000.5").when(k == 2, F.col("ask").cast("string")).otherwise((F.col("ask") / 100).cast("string"))
+    rows = e.join(e.groupBy("user_id").agg(F.min("event_id").alias("first")), "user_id")
+    way = F.when(k == 3, 1).otherwise(-1)
+    line = F.struct((way * F.col("ms")).alias("a"), (way * F.col("event_id")).alias("b"), F.concat_ws(",", S.iso_ms(F.col("ms")), cell, F.lit("1.5,1.0,2.0")).alias("line"))
+    text = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a file's worth each
+    head = F.lit("timestamp,ask,bid,ask_vol,bid_vol\n")
+    content = F.when(k == 4, head).otherwise(F.concat(head, F.array_join("lines.line", "\n"), F.lit("\n")))
+    chunks.write_chunks(text.select(F.concat(F.lit("U"), "user_id", F.lit("/tick/a.csv")).alias("key"), content.cast("binary").alias("content")), root)
+    return root
+
+
+@query("""SELECT 'U' || user_id AS symbol, CASE user_id % 8 WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 4 THEN 'skipped_empty' ELSE 'ok' END AS status,
+  CASE WHEN user_id % 8 = 4 THEN 0 ELSE count(*) END AS rows_in, CASE WHEN user_id % 8 IN (0, 1, 4) THEN 0 ELSE count(*) END AS rows_out, user_id % 8 NOT IN (0, 1, 3, 4) AND count(DISTINCT ms) > 1 AS resorted,
+  CASE WHEN user_id % 8 NOT IN (0, 1, 4) THEN count(*) END AS lake_rows, CASE WHEN user_id % 8 NOT IN (0, 1, 4) THEN sum(round_even(value * 100, 0)::INT + 1)::BIGINT END AS ask_sum,
+  CASE user_id % 8 WHEN 0 THEN '1 rows cannot be taken, the first: ask: n/a' WHEN 1 THEN 'beyond 32 bits: ask' END AS error FROM e GROUP BY user_id""")
+def migrate_faults(spark, d):
+    """Files with and without faults, migrated twice: verdicts of the second run, and what the lake then holds."""
+    base, out = _user_csv(spark, d), scratch(spark, "user-lake")
+    factors = D.events(spark, d).select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.lit(100).alias("decimal_factor")).distinct()
+    migrate.migrate(spark, base, out, "tick", factors)
+    result = migrate.migrate(spark, base, out, "tick", factors)
+    lake = spark.read.parquet(out).groupBy("symbol").agg(F.count("*").alias("lake_rows"), F.sum("ask").alias("ask_sum"))
+    return result.join(lake, "symbol", "left").select("symbol", "status", "rows_in", "rows_out", "resorted", "lake_rows", "ask_sum", "error")
+
+
+@query("""SELECT count(*) AS "rows", 0::BIGINT AS inversions, count(DISTINCT user_id) AS symbols FROM e WHERE user_id % 8 NOT IN (0, 1, 4)""")
+def migrate_order(spark, d):
+    """Steps back in time by row index in all files that a migration wrote, of sorted and of other sources."""
+    base, out = _user_csv(spark, d), scratch(spark, "order-lake")
+    factors = D.events(spark, d).select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.lit(100).alias("decimal_factor")).distinct()
+    migrate.migrate(spark, base, out, "tick", factors)
+    table = spark.read.parquet(out)
+    back = quality.file_order(table).agg(F.sum("inversions").alias("inversions"))
+    return table.agg(F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols")).crossJoin(back).select("rows", "inversions", "symbols")  # one row each
+
+
 def _chunk_files(spark, d, kind):
     """Ticks as hourly chunk files, or their minute bars as daily ones, in a new folder."""
     root, width = scratch(spark, "chunk-files"), 3_600_000 if kind == "tick" else 86_400_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidelake.functions import schemas
@@ -81,10 +82,19 @@ def path_parts(path: Column) -> tuple[Column, Column]:
     return symbol, timeframe_of_folder(F.nullif(F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+\.csv$", 2), F.lit("")))
 
 
-def scan_csv_tree(spark: SparkSession, base: str, timeframe: str, symbol: str | None = None) -> DataFrame:
-    """Rows of the CSV files of one timeframe below a folder, with file, symbol and timeframe; (block, row) is their order within a file."""
+def scan_csv_tree(spark: SparkSession, base: str, timeframe: str, symbol: str | None = None, text: bool = False) -> DataFrame:
+    """Rows of the CSV files of one timeframe below a folder, with file, symbol and timeframe; (block, row) is their order within a file.
+
+    With `text` all cells are texts, and `malformed` is the line of a row with another number of cells.
+    """
     schema = schemas.TICK_CSV if timeframe == "tick" else schemas.BAR_CSV
-    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(base).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    if text:
+        cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        reader = reader.option("columnNameOfCorruptRecord", "malformed").schema(cells.add("malformed", T.StringType()))
+    else:
+        reader = reader.schema(schema)
+    rows = reader.csv(base).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     sym, frame = path_parts(F.col("file"))
     out = rows.withColumns({"symbol": sym, "timeframe": frame}).where(F.col("timeframe") == timeframe)
     return out if symbol is None else out.where(F.col("symbol") == symbol.upper())
