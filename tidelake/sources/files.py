@@ -78,8 +78,10 @@ def factor_conflicts(rows: DataFrame) -> DataFrame:
 
 def path_parts(path: Column) -> tuple[Column, Column]:
     """Symbol and timeframe of `.../SYMBOL/folder/file.csv`; null where the path is too short or the folder unknown."""
-    symbol = F.nullif(F.upper(F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+\.csv$", 1)), F.lit(""))
-    return symbol, timeframe_of_folder(F.nullif(F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+\.csv$", 2), F.lit("")))
+    end = F.substring_index(path, "/", -3)
+    symbol, rest = F.substring_index(end, "/", 1), F.substring_index(end, "/", -2)
+    whole = path.endswith(".csv") & ~path.endswith("/.csv") & rest.contains("/") & (F.length(end) > F.length(rest))
+    return F.when(whole & (symbol != ""), F.upper(symbol)), F.when(whole, timeframe_of_folder(F.nullif(F.substring_index(rest, "/", 1), F.lit(""))))
 
 
 def scan_csv_tree(spark: SparkSession, base: str, timeframe: str, symbol: str | None = None, text: bool = False) -> DataFrame:
