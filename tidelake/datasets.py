@@ -100,9 +100,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tries of (user, day) by three systems in two workloads and four rounds; errors retry up to three times, clicks check again."""
+    kind, n = F.col("event_type"), F.col("event_id")
     return events(spark, sf_dir).select(
-        F.concat(F.lit("sys"), F.col("event_id") % 3).alias("system"), F.concat(F.lit("w"), F.col("event_id") % 2).alias("workload"), "user_id", F.to_date("ts").alias("dt"),
-        F.col("event_type").isin("view", "purchase").alias("had_data"), (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 97 + 1).alias("wall_ms"),
+        F.concat(F.lit("sys"), n % 3).alias("system"), F.concat(F.lit("w"), n % 2).alias("workload"), ((n / 6).cast("bigint") % 4).alias("round"), "user_id", F.to_date("ts").alias("dt"),
+        kind.isin("view", "purchase").alias("had_data"), kind.isin("click", "signup").alias("empty"), (kind == "error").alias("failed"), (n % 97 + 1).alias("wall_ms"),
+        F.when(kind.isin("view", "purchase"), F.col("value").cast("bigint")).otherwise(0).cast("bigint").alias("bytes"), F.when(kind == "error", n % 4).otherwise(0).cast("bigint").alias("retries"), (kind == "click").cast("bigint").alias("rechecks"),
     )
 
 
@@ -135,8 +138,9 @@ attempts AS (
     CASE WHEN event_type IN ('click', 'error', 'signup') THEN 0 ELSE trunc(value * 100)::BIGINT END AS bytes,
     CASE event_type WHEN 'click' THEN '404 re-check ' || event_id WHEN 'error' THEN 'retry after 503 ' || event_id ELSE 'ok' END AS message FROM e),
 runs AS (
-  SELECT 'sys' || (event_id % 3) AS system, 'w' || (event_id % 2) AS workload, user_id, ts::DATE AS dt, event_type IN ('view', 'purchase') AS had_data,
-    event_type = 'error' AS failed, event_id % 97 + 1 AS wall_ms FROM events),
+  SELECT 'sys' || (event_id % 3) AS system, 'w' || (event_id % 2) AS workload, event_id // 6 % 4 AS round, user_id, ts::DATE AS dt, event_type IN ('view', 'purchase') AS had_data, event_type IN ('click', 'signup') AS empty,
+    event_type = 'error' AS failed, event_id % 97 + 1 AS wall_ms, CASE WHEN event_type IN ('view', 'purchase') THEN trunc(value)::BIGINT ELSE 0 END AS bytes, CASE WHEN event_type = 'error' THEN event_id % 4 ELSE 0 END AS retries,
+    CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS rechecks FROM events),
 quotes AS (
   SELECT 't-' || user_id || '=X' AS ticker, CASE WHEN event_id % 50 <> 0 THEN value END AS price, (event_id % 200)::DOUBLE AS previous_close, ms AS ts, event_id AS seq FROM e)
 """
