@@ -291,6 +291,30 @@ def test_quality_and_metadata(spark, tmp_path):
     assert spark.read.parquet(path).schema["timestamp"].metadata["decimal_factor"] == 100
 
 
+def test_lakes_of_several_schemas_and_facts(spark, tmp_path):
+    t = spark.createDataFrame([("A", 1, 2, 1, 1.0, 1.0)], "symbol string, timestamp long, ask int, bid int, ask_vol float, bid_vol float")
+    path = str(tmp_path / "mixed")
+    assert files.tolerant_scan(spark, str(tmp_path), "tick").count() == 0
+    files.append_parquet(files.with_metadata(t, decimal_factor=10), path, ("symbol",))
+    files.append_parquet(files.with_metadata(t.withColumn("ask", F.lit(7).cast("long")).withColumn("more", F.lit("x")), decimal_factor=10, source="b"), path, ("symbol",))
+    got = files.tolerant_scan(spark, path, "tick")
+    assert sorted(r["ask"] for r in got.collect()) == [2, 7] and set(got.columns) == {"symbol", *schemas.TICK.fieldNames()}
+    assert dict(files.lake_facts(files.footers(spark, path)).collect()) == {"decimal_factor": "10", "source": "b"}
+    files.append_parquet(files.with_metadata(t, decimal_factor=100), path, ("symbol",))
+    with pytest.raises(Exception, match="differ in decimal_factor"):
+        files.lake_facts(files.footers(spark, path)).collect()
+    files.append_parquet(t.withColumn("bid", F.lit(1 << 40)), f"{path}2", ("symbol",))
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        files.tolerant_scan(spark, f"{path}2", "tick").collect()
+    files.append_parquet(t.drop("bid"), f"{path}3", ("symbol",))
+    with pytest.raises(ValueError, match="lack bid"):
+        files.tolerant_scan(spark, f"{path}3", "tick")
+    (tmp_path / "mixed3" / "junk.parquet").write_bytes(b"no parquet")
+    assert sorted(r["schema"] is None for r in files.footers(spark, f"{path}3").collect()) == [False, True]
+    with pytest.raises(ValueError, match="decimal_factor"):
+        compact.shared_facts(files.with_metadata(t, decimal_factor=1), files.with_metadata(t, decimal_factor=2))
+
+
 def test_growth(spark):
     s = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 0.0), ("B", 2, 2.0)], "k string, dt int, cost double")
     got = {r["k"]: (r["ratio"], r["grows"]) for r in score.growth_ratio(s, ["k"]).collect()}

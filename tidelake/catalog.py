@@ -609,6 +609,29 @@ def quality_table(spark, d):
     return quality.table_faults(rows, marked, compact.dedup_last(marked), rows.where("symbol = 'S2'"), {"timeframe": "tick", "source": "feed"})
 
 
+@query("SELECT symbol, timestamp, ask, bid, ask_vol, bid_vol FROM ticks")
+def tolerant_lake(spark, d):
+    """A lake whose files hold prices as longs, as ints with a further column, and as they should be, read as one."""
+    path, t = scratch(spark, "mixed"), D.ticks(spark, d)
+    own = t.select("symbol", *schemas.TICK.fieldNames(), "seq").withColumn("k", F.col("seq") % 3)
+    files.append_parquet(own.where("k = 0").drop("seq", "k"), path, ("symbol",))
+    files.append_parquet(own.where("k = 1").drop("k"), path, ("symbol",))
+    files.append_parquet(own.where("k = 2").drop("seq", "k").withColumns({"ask": F.col("ask").cast("long"), "bid_vol": F.col("bid_vol").cast("double")}), path, ("symbol",))
+    return files.tolerant_scan(spark, path, "tick").select("symbol", *schemas.TICK.fieldNames())
+
+
+@query("""SELECT * FROM (VALUES ('chunks', 'decimal_factor', '100'), ('chunks', 'source', 'feed'), ('table', 'decimal_factor', '100'), ('table', 'source', 'feed'), ('table', 'timeframe', 'tick')) f(place, name, value), (SELECT count(*) AS n FROM dup_ticks)""")
+def lake_metadata(spark, d):
+    """Facts of appended ticks and of the table they were compacted into twice, from the footers of all files, with the rows that went in."""
+    rows, lake = compact.with_month(D.dup_ticks(spark, d)), scratch(spark, "facts")
+    files.append_parquet(files.with_metadata(rows, decimal_factor=100, source="feed"), f"{lake}/chunks")
+    appended = spark.read.parquet(f"{lake}/chunks").select(*rows.columns)
+    compact.compact(f"{lake}/table", files.with_metadata(appended, timeframe="tick"))
+    compact.compact(f"{lake}/table", appended)
+    read = lambda place: files.lake_facts(files.footers(spark, f"{lake}/{place}")).select(F.lit(place).alias("place"), "name", "value")
+    return read("chunks").union(read("table")).crossJoin(appended.agg(F.count("*").alias("n")))  # one row
+
+
 LATEST = "SELECT ticker, price, ts, CASE WHEN previous_close > 0 THEN (price - previous_close) / previous_close * 100 END AS change_pct, n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS rn FROM quotes WHERE price IS NOT NULL) WHERE rn = 1"
 
 

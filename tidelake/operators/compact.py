@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.sources import files
 from tidelake.workspace import parquet_or_empty, staged
 
 
@@ -34,12 +35,22 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format(F.timestamp_millis("timestamp"), "yyyy_MM"))
 
 
+def shared_facts(existing: DataFrame, incoming: DataFrame) -> dict[str, object]:
+    """The column metadata of both sides' `timestamp`; different decimal factors are an error."""
+    old, new = (df.schema["timestamp"].metadata if "timestamp" in df.columns else {} for df in (existing, incoming))
+    factors = {d["decimal_factor"] for d in (old, new) if "decimal_factor" in d}
+    if len(factors) > 1:
+        raise ValueError(f"the table and the incoming rows differ in decimal_factor: {sorted(factors)}")
+    return {**new, **old}
+
+
 def compact(table: str, incoming: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp"), order: str = "seq", parts: tuple[str, ...] = ("symbol", "month"), prefer: str = "newest") -> DataFrame:
     """Merges `incoming` into the Parquet table at a path and returns the table.
 
     Only partitions that `incoming` touches are read and written again. The result is staged in full, then replaces
     the touched partitions: a crash before the swap changes nothing, one during it is mended by running again, as
-    the incoming rows are still there. Running twice gives the same table.
+    the incoming rows are still there. Running twice gives the same table. Facts in the column metadata of `timestamp`
+    stay, those of the table first.
     """
     spark = incoming.sparkSession
     columns = incoming.columns
@@ -47,7 +58,7 @@ def compact(table: str, incoming: DataFrame, keys: tuple[str, ...] = ("symbol",
     touched = incoming.select(*parts).distinct()
     old = existing.select(*columns).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, list(parts), "left_semi").select(*columns)
     (
-        staged(merge(old, incoming, keys, order, prefer), "merged")
+        files.with_metadata(staged(merge(old, incoming, keys, order, prefer), "merged"), **shared_facts(existing, incoming))
         .repartition(*parts)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")

@@ -11,7 +11,7 @@ from tidelake.operators.frontier import KEY, frontier, monthly_frontier
 from tidelake.operators.resample import resample
 from tidelake.plans.ingest import MONTHLY, chunk_keys
 from tidelake.sources.chunks import decode_listed, list_chunks
-from tidelake.sources.files import append_parquet
+from tidelake.sources.files import append_parquet, tolerant_scan, with_metadata
 from tidelake.workspace import staged
 
 PARTS = ("symbol", "month")
@@ -39,6 +39,8 @@ def ingest(spark: SparkSession, plan: DataFrame, chunks: str, lake: str, checkpo
     frames = [r[0] for r in plan.select("timeframe").distinct().collect()]  # at most the five timeframes
     listed = list_chunks(spark, chunks).select("key", "path", "base_ms")
     planned = staged(chunk_keys(plan).withColumnRenamed("primitive", "kind").join(listed, "key", "left"), "planned")
+    factors = plan.select("decimal_factor").distinct().limit(2).collect()
+    factor = {"decimal_factor": factors[0][0]} if len(factors) == 1 else {}  # several cannot be a fact of one table
     bad = planned.where(F.col("path").isNull() & (not absent_ok)).select("symbol", F.col("kind").alias("primitive"), "dt")
     for source in sorted({PRIMITIVE[f] for f in frames}):
         decoded = staged(decode_listed(planned.where("path IS NOT NULL"), source, keep=("kind", "dt")), "decoded")
@@ -48,7 +50,7 @@ def ingest(spark: SparkSession, plan: DataFrame, chunks: str, lake: str, checkpo
             # a chunk may serve several timeframes, of which each has its own plan
             own = rows.join(plan.where(F.col("timeframe") == frame).select("symbol", "dt"), ["symbol", "dt"], "left_semi").drop("kind", "dt")
             bars = own if frame == source else resample(own, WIDTH_MS[frame])
-            fresh = staged(with_month(bars.withColumn("version", F.lit(version))), "fresh")
+            fresh = with_metadata(staged(with_month(bars.withColumn("version", F.lit(version))), "fresh"), timeframe=frame, source="ingest", **factor)
             append_parquet(fresh, f"{lake}/chunks/{frame}", PARTS)
             compact(f"{lake}/{frame}", fresh, KEYS, "version", PARTS)
     done = outcomes_of(plan, bad)
@@ -62,5 +64,5 @@ def ingest(spark: SparkSession, plan: DataFrame, chunks: str, lake: str, checkpo
 def reconstruct(spark: SparkSession, lake: str, symbols: list[str], timeframes: list[str]) -> None:
     """Compacts again all appended chunks of some symbols and timeframes of a lake written by `ingest`, without fetching."""
     for frame in timeframes:
-        rows = spark.read.parquet(f"{lake}/chunks/{frame}").where(F.upper("symbol").isin([s.upper() for s in symbols]))
+        rows = tolerant_scan(spark, f"{lake}/chunks/{frame}", frame, "version int").where(F.upper("symbol").isin([s.upper() for s in symbols]))
         compact(f"{lake}/{frame}", rows, KEYS, "version", PARTS)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +109,12 @@ def scan_csv_tree(spark: SparkSession, base: str, timeframe: str, symbol: str |
     return out if symbol is None else out.where(F.col("symbol") == symbol.upper())
 
 
+def arrow_file(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The Arrow file system and the name there of a path as Spark gives it."""
+    uri = unquote(uri)
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:", "file://", 1))
+
+
 def append_parquet(df: DataFrame, path: str, parts: tuple[str, ...] = ("symbol", "month")) -> None:
     """Appends a chunk: new files only, atomic by the commit protocol, ZSTD level 1."""
     df.write.mode("append").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy(*parts).parquet(path)
@@ -129,6 +142,63 @@ def with_metadata(df: DataFrame, **facts: object) -> DataFrame:
     return df.withMetadata("timestamp", {**df.schema["timestamp"].metadata, **facts})
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, schema, facts) of the Parquet files below a folder, from their footers, read where Arrow reaches them by the tasks.
+
+    `facts` are the column metadata of `timestamp` as text; a file that is not Parquet has a null schema.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                system, local = arrow_file(name)
+                try:
+                    schema = pq.read_schema(local, filesystem=system)
+                    row = json.loads((schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"{}"))
+                    facts = next((f["metadata"] for f in row.get("fields", []) if f["name"] == "timestamp"), {})
+                    out.append((name, "; ".join(f"{f.name} {f.type}" for f in schema), [(k, str(v)) for k, v in facts.items()]))
+                except pa.ArrowInvalid:
+                    out.append((name, None, []))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.map_(pa.string(), pa.string()))], names=["path", "schema", "facts"])
+
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return listing.select("path").mapInArrow(run, "path string, schema string, facts map<string,string>")
+
+
+def lake_facts(found: DataFrame, fact: str = "decimal_factor") -> DataFrame:
+    """One row of the facts of all `footers`: each from the first file (by path) that has it; files that differ in `fact` raise an error."""
+    each = found.select("path", F.explode("facts").alias("name", "value"))
+    first = each.groupBy("name").agg(F.min_by("value", "path").alias("value"), F.count_distinct("value").alias("n"))
+    checked = F.when((F.col("name") == fact) & (F.col("n") > 1), F.raise_error(F.concat(F.lit(f"files differ in {fact}: "), F.col("n").cast("string")))).otherwise(F.col("value"))
+    return first.select("name", checked.cast("string").alias("value"))
+
+
+def tolerant_scan(spark: SparkSession, path: str, timeframe: str, extra: str = "") -> DataFrame:
+    """All rows of a lake in the columns of a timeframe (and those in `extra`, a DDL list), whatever the types in its files, with the partition columns.
+
+    Files are grouped by the schema in their footers; each group is read with its own, its columns selected and cast, and all are
+    united. Columns beyond these are dropped; a missing one or a value that does not fit raises an error. The driver
+    holds the paths, as Spark's own list of files does.
+    """
+    fields = [*schemas.of(timeframe).fields, *(T.StructType.fromDDL(extra).fields if extra else [])]
+    groups = footers(spark, path).where("schema IS NOT NULL").groupBy("schema").agg(F.collect_list("path").alias("paths")).orderBy("schema").collect()
+    out = None
+    for g in groups:
+        rows = spark.read.option("basePath", path).parquet(*map(unquote, g["paths"]))
+        lost = [f.name for f in fields if f.name not in rows.columns]
+        if lost:
+            raise ValueError(f"{len(g['paths'])} files lack {', '.join(lost)}, such as {min(g['paths'])}")
+        known = {c.split(" ")[0] for c in g["schema"].split("; ")}
+        parts = [c for c in rows.columns if c not in known]  # from the folders
+        part = rows.select(*parts, *(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], T.StructType(fields))
+    return out
+
+
 def lake_size(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes of a lake by format, from listings only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
