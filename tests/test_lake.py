@@ -14,6 +14,7 @@ from tidelake.functions import schemas
 from tidelake.operators import compact, frontier, migrate, quality, resample, score
 from tidelake.plans import ingest, run
 from tidelake.sources import chunks, files
+from tidelake.streaming import jobs
 
 
 def one(spark, **cols):
@@ -315,6 +316,21 @@ def test_lakes_of_several_schemas_and_facts(spark, tmp_path):
         compact.shared_facts(files.with_metadata(t, decimal_factor=1), files.with_metadata(t, decimal_factor=2))
 
 
+def test_quotes_that_come_late_or_twice(spark, tmp_path):
+    schema = "ticker string, price double, previous_close double, ts long, seq long"
+    path, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    days = [[("A", 2.0, 1.0, 20, 1), ("B", None, 1.0, 99, 2)], [("A", 1.0, 1.0, 10, 3), ("C", 5.0, 0.0, 5, 4)], [("A", 3.0, 2.0, 20, 5)], [("C", float("nan"), 1.0, 90, 6)]]
+    want = {}
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        got = {r["ticker"]: (r["price"], r["ts"], r["n"]) for r in jobs.run_quotes(spark, path, spark.createDataFrame([], schema).schema, out, state, fold=2).collect()}
+        want = [{"A": (2.0, 20, 1)}, {"A": (2.0, 20, 2), "C": (5.0, 5, 1)}, {"A": (3.0, 20, 3), "C": (5.0, 5, 1)}, {"A": (3.0, 20, 3), "C": (5.0, 5, 1)}][i]
+        assert got == want
+    changed = spark.read.parquet(f"{out}/changes")
+    assert changed.where("ticker = 'C'").count() == 1  # a batch writes what it changed, no whole snapshot
+    assert jobs.run_quotes(spark, path, spark.createDataFrame([], schema).schema, out, state).count() == 2
+
+
 def test_growth(spark):
     s = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 0.0), ("B", 2, 2.0)], "k string, dt int, cost double")
     got = {r["k"]: (r["ratio"], r["grows"]) for r in score.growth_ratio(s, ["k"]).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidelake.functions.scalars import pct_change
 from tidelake.operators.compact import compact
-from tidelake.workspace import scratch
+from tidelake.workspace import parquet_or_empty, scratch
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
@@ -21,19 +21,36 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
     return best.select("ticker", "q.price", "q.ts", pct_change(F.col("q.price"), F.col("q.previous_close")).alias("change_pct"), "n")
 
 
-def run_quotes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Runs `latest_quotes` over all files of a folder as a stream and returns the final snapshot."""
-    out, state = scratch(spark, "quotes"), scratch(spark, "quotes-state")
-    stream = latest_quotes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
+def quote_snapshot(spark: SparkSession, out: str, like: DataFrame) -> DataFrame:
+    """The newest row per ticker of what `run_quotes` wrote: the last base and the changes after it."""
+    base = parquet_or_empty(spark, f"{out}/base", like.withColumn("epoch", F.lit(-1).cast("long")))
+    last = base.agg(F.coalesce(F.max("epoch"), F.lit(-1))).first()[0]
+    changes = parquet_or_empty(spark, f"{out}/changes", like.withColumn("epoch", F.lit(-1).cast("long"))).where(F.col("epoch") > last)
+    both = base.where(F.col("epoch") == last).select(*like.columns, F.col("epoch").cast("long")).unionByName(changes.select(*like.columns, F.col("epoch").cast("long")))
+    rest = [c for c in like.columns if c != "ticker"]
+    return both.groupBy("ticker").agg(F.max_by(F.struct(*rest), "epoch").alias("q")).select("ticker", *(F.col("q")[c].alias(c) for c in rest))
+
+
+def run_quotes(spark: SparkSession, path: str, schema: T.StructType, out: str | None = None, state: str | None = None, files: int = 4, fold: int = 64) -> DataFrame:
+    """Runs `latest_quotes` over the new files of a folder as a stream and returns the snapshot of all so far.
+
+    The state keeps the newest quote of each ticker, so that older ones that arrive later change nothing but the count.
+    A batch writes the tickers that it changed, to a folder of its own that a repeated batch replaces; every `fold`
+    batches they are folded into a base, so that a snapshot reads one base and less than `fold` batches. With the same `out` and
+    `state` a later run goes on where an earlier one ended, or failed.
+    """
+    out, state = out or scratch(spark, "quotes"), state or scratch(spark, "quotes-state")
+    stream = latest_quotes(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{epoch:09d}")
+        batch.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
+        if (epoch + 1) % fold == 0:
+            quote_snapshot(spark, out, batch).write.mode("overwrite").parquet(f"{out}/base/epoch={epoch}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    n = last["batchId"] if last else 0
-    return spark.read.parquet(f"{out}/{n:09d}")
+    like = spark.createDataFrame([], stream.schema)
+    return quote_snapshot(spark, out, like)
 
 
 def run_compaction(spark: SparkSession, path: str, table: str, schema: T.StructType, keys: tuple[str, ...], order: str, parts: tuple[str, ...]) -> DataFrame:
