@@ -266,7 +266,7 @@ def test_only_unsorted_files_are_sorted(spark, tmp_path):
     assert {r["inversions"] for r in quality.file_order(table).collect()} == {0}
     runs = spark.createDataFrame([("f", 0, 0, 1), ("f", 0, 1, 5), ("f", 7, 0, 4), ("g", 0, 0, 3), ("g", 9, 0, 3), ("g", 10, 0, 8)], "file string, block long, row long, timestamp long")
     for parts in (1, 3, 6):
-        assert dict(migrate.sorted_files(runs.orderBy("file", "block", "row").coalesce(1).repartitionByRange(parts, "file", "block", "row").sortWithinPartitions("file", "block", "row")).collect()) == {"f": False, "g": True}
+        assert dict(quality.sorted_files(runs.orderBy("file", "block", "row").coalesce(1).repartitionByRange(parts, "file", "block", "row").sortWithinPartitions("file", "block", "row")).collect()) == {"f": False, "g": True}
 
 
 def test_log_and_lists(spark):

@@ -632,6 +632,40 @@ def lake_metadata(spark, d):
     return read("chunks").union(read("table")).crossJoin(appended.agg(F.count("*").alias("n")))  # one row
 
 
+PLANTED = """m AS (SELECT symbol, CASE WHEN symbol = 'S4' AND seq % 5 = 0 THEN timestamp - timestamp % 1000 + 1 WHEN symbol = 'S5' AND seq % 5 = 0 THEN timestamp - 31622400000 ELSE timestamp END AS timestamp,
+    CASE WHEN symbol = 'S0' AND seq % 5 = 0 THEN 0 ELSE ask END AS ask, CASE WHEN symbol = 'S1' AND seq % 5 = 0 THEN -5 ELSE bid END AS bid,
+    CASE WHEN symbol = 'S2' AND seq % 5 = 0 THEN -1 WHEN symbol = 'S6' AND seq % 5 = 0 THEN NULL ELSE ask_vol END AS ask_vol, CASE WHEN symbol = 'S3' AND seq % 5 = 0 THEN -1 WHEN symbol <> 'S7' THEN bid_vol END AS bid_vol FROM ticks)"""
+ROW_RULES = {
+    "ask not positive": "ask <= 0", "bid not positive": "bid <= 0", "ask out of range": "ask NOT BETWEEN 100 AND 40000", "bid out of range": "bid NOT BETWEEN 100 AND 40000", "ask_vol negative": "ask_vol < 0", "bid_vol negative": "bid_vol < 0",
+    "crossed spread": "ask < bid", "misaligned": "timestamp % 1000 <> 0", "wrong year": "year(make_timestamp(timestamp * 1000)) <> 2024", "ask_vol null": "ask_vol IS NULL", "bid_vol null": "bid_vol IS NULL",
+}
+
+
+@query(f", {PLANTED} " + " UNION ALL ".join(f"SELECT symbol, 'tick' AS timeframe, '{name}' AS rule, count(*) AS n, min(timestamp) AS example FROM m WHERE {rule} GROUP BY symbol" for name, rule in ROW_RULES.items()) + """
+  UNION ALL SELECT DISTINCT symbol, 'tick', unnest(CASE symbol WHEN 'S7' THEN ['missing column bid_vol'] WHEN 'S8' THEN ['wrong type ask', 'extra column seq'] WHEN 'S9' THEN ['no metadata decimal_factor', 'no metadata timeframe'] ELSE [] END), NULL, NULL FROM m
+  UNION ALL SELECT symbol, 'tick', 'time goes back', NULL, NULL FROM m WHERE symbol = 'S6' GROUP BY symbol HAVING count(DISTINCT timestamp) > 1""")
+def lake_violations(spark, d):
+    """A lake in which each rule is broken by some symbol; counts of rows, and the names of rules that count files or steps."""
+    path, bad = scratch(spark, "planted"), F.col("seq") % 5 == 0
+    at = lambda s: (F.col("symbol") == s) & bad
+    none = F.lit(None).cast("float")
+    rows = D.ticks(spark, d).withColumns({
+        "timestamp": F.when(at("S4"), F.col("timestamp") - F.col("timestamp") % 1000 + 1).when(at("S5"), F.col("timestamp") - 31_622_400_000).otherwise(F.col("timestamp")), "ask": F.when(at("S0"), 0).otherwise(F.col("ask")), "bid": F.when(at("S1"), -5).otherwise(F.col("bid")),
+        "ask_vol": F.when(at("S2"), F.lit(-1.0).cast("float")).when(at("S6"), none).otherwise(F.col("ask_vol")), "bid_vol": F.when(at("S3"), F.lit(-1.0).cast("float")).otherwise(F.col("bid_vol")),
+    })
+    own = ["symbol", *schemas.TICK.fieldNames()]
+    way = F.when(F.col("symbol") == "S6", -F.col("timestamp")).otherwise(F.col("timestamp"))
+    told = lambda df: files.with_metadata(df, decimal_factor=100, timeframe="tick")
+    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", way)  # the files of the fixture
+    files.append_parquet(told(ordered.where("symbol < 'S7'").select(*own)), path, ("symbol",))
+    files.append_parquet(told(ordered.where("symbol = 'S7'").select(*own).drop("bid_vol")), path, ("symbol",))
+    files.append_parquet(told(ordered.where("symbol = 'S8'").select(*own, "seq").withColumn("ask", F.col("ask").cast("long"))), path, ("symbol",))
+    files.append_parquet(ordered.where("symbol = 'S9'").select(*own), path, ("symbol",))
+    found = quality.lake_violations(spark, path, "tick", 1000, (100, 40_000), 2024)
+    counted = F.col("rule").isin(*ROW_RULES)
+    return found.select("symbol", "timeframe", "rule", F.when(counted, F.col("n")).alias("n"), F.when(counted, F.col("example")).alias("example"))
+
+
 LATEST = "SELECT ticker, price, ts, CASE WHEN previous_close > 0 THEN (price - previous_close) / previous_close * 100 END AS change_pct, n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS rn FROM quotes WHERE price IS NOT NULL) WHERE rn = 1"
 
 

@@ -175,11 +175,12 @@ def lake_facts(found: DataFrame, fact: str = "decimal_factor") -> DataFrame:
     return first.select("name", checked.cast("string").alias("value"))
 
 
-def tolerant_scan(spark: SparkSession, path: str, timeframe: str, extra: str = "") -> DataFrame:
+def tolerant_scan(spark: SparkSession, path: str, timeframe: str, extra: str = "", lenient: bool = False, places: bool = False) -> DataFrame:
     """All rows of a lake in the columns of a timeframe (and those in `extra`, a DDL list), whatever the types in its files, with the partition columns.
 
     Files are grouped by the schema in their footers; each group is read with its own, its columns selected and cast, and all are
-    united. Columns beyond these are dropped; a missing one or a value that does not fit raises an error. The driver
+    united. Columns beyond these are dropped; a missing one or a value that does not fit raises an error, or is
+    null if `lenient`. With `places` each row has its `file` and its place there as `row`. The driver
     holds the paths, as Spark's own list of files does.
     """
     fields = [*schemas.of(timeframe).fields, *(T.StructType.fromDDL(extra).fields if extra else [])]
@@ -188,14 +189,16 @@ def tolerant_scan(spark: SparkSession, path: str, timeframe: str, extra: str = "
     for g in groups:
         rows = spark.read.option("basePath", path).parquet(*map(unquote, g["paths"]))
         lost = [f.name for f in fields if f.name not in rows.columns]
-        if lost:
+        if lost and not lenient:
             raise ValueError(f"{len(g['paths'])} files lack {', '.join(lost)}, such as {min(g['paths'])}")
         known = {c.split(" ")[0] for c in g["schema"].split("; ")}
         parts = [c for c in rows.columns if c not in known]  # from the folders
-        part = rows.select(*parts, *(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+        typed = [F.lit(None).cast(f.dataType).alias(f.name) if f.name in lost else (F.col(f.name).try_cast(f.dataType) if lenient else F.col(f.name).cast(f.dataType)).alias(f.name) for f in fields]
+        part = rows.select(*parts, *typed, *((F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) if places else ()))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], T.StructType(fields))
+        where = [T.StructField("file", T.StringType()), T.StructField("row", T.LongType())] if places else []
+        return spark.createDataFrame([], T.StructType([*fields, *where]))
     return out
 
 
