@@ -51,6 +51,25 @@ def test_recall_of_planted_near_pairs_without_copies(spark):
     assert want.sum() > 1500 and (links <= want).all() and links.sum() >= 0.9 * want.sum()
 
 
+@pytest.mark.parametrize("options", [{}])
+def test_a_search_that_finds_little_is_noticed(spark, monkeypatch, options):
+    """A table with one near pair, and a search that finds nothing: the audit on planted neighbours leads to the exact comparison."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 24))
+    x[7] = x[300] + 0.01
+    monkeypatch.setattr(vector_dedup, "search", lambda x, graph, radius: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), **options).collect()}
+    assert len(got) == 400 and {i for i, v in got.items() if v[0]} == {7, 300} and got[300] == (1, 7)
+
+
+def test_planted_neighbours():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = (vector_dedup.planted(x, 0.95) * x).sum(1)
+    assert (c >= 0.95).all() and (c < 1).all() and (c < 0.96).mean() > 0.3
+
+
 def test_huge_and_tiny_components(spark):
     rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e308, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -163,6 +164,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def planted(x: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """For each unit row a unit row whose cosine with it lies between `cosine` and 1, often near the limit."""
+    rng = np.random.default_rng(seed)
+    if x.shape[1] < 2:
+        return x.copy()
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    c = cosine + (1 - cosine) * (0.02 + 0.96 * rng.random((len(x), 1)) ** 2)
+    return c * x + np.sqrt(1 - c * c) * away
+
+
 def least_of(n: int, q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The least row of each row's component under links (q, r) that hold both ways."""
     root = np.arange(n)
@@ -203,9 +216,11 @@ def near_vectors(
     counted in the least task that both share. Links join by union-find.
 
     The centroids come from at most `sample_rows` classes (the one bounded sample); every row is indexed. Recall is
-    audited against brute force over links between distinct vectors, for about `audit_rows` classes at random and as many
+    audited against brute force over links between distinct vectors, for about `audit_rows` classes at random, the planted ones and as many
     that have links, each held against all; below `least_recall` the index is built again with one shard more for each
-    row, up to all shards, which is exhaustive.
+    row; if it is not reached with all shards, tasks compare all their rows. So that there is something to find in any table,
+    each random class gets a planted neighbour just over the limit, which is indexed and searched like a row but
+    counts as none and links nothing.
 
     Vectors that are null, empty, zero or of another length than most, or hold a null or non-finite component, link
     with nothing: no links, their own component, kept. Repeated keys count as rows of their own. Other columns play
@@ -229,29 +244,38 @@ def near_vectors(
     sample = classes.where((F.pmod(F.xxhash64("id", F.lit("s")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     heads = centroids(_matrix(sample, dim), total, leaf_rows, math.cos(math.acos(cosine) / 2))
     step = max(1, total // audit_rows)
-    anyone = F.pmod(F.xxhash64("id", F.lit("a")), F.lit(step)) == 0
-
-    def recall(linked: DataFrame) -> float:
-        """Share of the true links between distinct vectors that were found, for about `audit_rows` classes at random and
-        as many of those with links, held against all classes. 1 if there is none to find."""
-        some = linked.where("others > 0")
+    anyone = classes.where(F.pmod(F.xxhash64("id", F.lit("a")), F.lit(step)) == 0).select("id", "v").limit(4 * audit_rows).toArrow()
+    plants = planted(_matrix(anyone["v"].combine_chunks(), dim), cosine) if len(anyone) else np.zeros((0, dim))
+    none = [(hashlib.md5(b"planted" + i).digest(), 0, None, v.tolist()) for i, v in zip(anyone["id"].to_pylist(), plants, strict=True)]
+    indexed = stored(classes.union(vectors.sparkSession.createDataFrame(none, classes.schema)))
+
+    def recall(sums: DataFrame) -> float:
+        """Share of the true links to other vectors of the table that were found, for the random classes, their planted
+        neighbours and about as many classes with links, held against all classes."""
+        some = sums.where("others > 0").join(classes.select("id"), "id", "left_semi")
         share = max(1, some.count() // audit_rows)
         chosen = some.where(F.pmod(F.xxhash64("id", F.lit("b")), F.lit(share)) == 0).select("id").limit(4 * audit_rows)
-        picked = classes.where(anyone).select("id").limit(4 * audit_rows).union(chosen).distinct()
-        queries = classes.join(F.broadcast(picked), "id").select("id", "v").toArrow()
-        q_ids, q_x = queries["id"].to_pylist(), _matrix(queries["v"].combine_chunks(), dim) if len(queries) else np.zeros((0, dim))
+        queries = classes.join(F.broadcast(chosen), "id").select("id", "v").toArrow()
+        x = {i: v for i, v in zip(anyone["id"].to_pylist(), _matrix(anyone["v"].combine_chunks(), dim), strict=True)} if len(anyone) else {}
+        if len(queries):
+            x |= dict(zip(queries["id"].to_pylist(), _matrix(queries["v"].combine_chunks(), dim), strict=True))
+        own = len(x)
+        x |= {r[0]: v for r, v in zip(none, plants, strict=True)}
+        q_ids, q_x = list(x), np.array(list(x.values())).reshape(len(x), dim)
+        self_ = np.arange(len(x)) < own  # a class of the table finds itself, too
 
         def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(q_ids), np.int64)
             for b in batches:
                 for a in range(0, b.num_rows, 4096):
                     out += ((q_x @ _matrix(b.column(0).slice(a, 4096), dim).T) >= cosine).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.binary()), pa.array(out)], names=["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.binary()), pa.array(self_), pa.array(out)], names=["id", "self", "n"])
 
-        truth = classes.select("v").mapInArrow(brute, "id binary, n bigint").groupBy("id").agg((F.sum("n") - 1).alias("all"))
-        found_, true_ = linked.join(F.broadcast(truth), "id").agg(F.sum("others"), F.sum("all")).first()
-        return found_ / true_ if true_ else 1.0
+        truth = classes.select("v").mapInArrow(brute, "id binary, self boolean, n bigint").groupBy("id").agg((F.sum("n") - F.max(F.col("self").cast("int"))).alias("all"))
+        found_, true_ = truth.join(sums, "id", "left").agg(F.sum(F.least(F.coalesce("others", F.lit(0)), "all")), F.sum("all")).first()
+        return (found_ or 0) / true_ if true_ else 0.0
 
+    exact = False
     while True:
         take = min(overlap, len(heads))
 
@@ -264,7 +288,7 @@ def near_vectors(
                 flat = np.concatenate(parts) if parts else np.zeros((0, take), np.int64)
                 yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * take), pa.array(flat.ravel().astype(np.int64)))
 
-        placed = durable(classes.withColumn("shards", F.arrow_udf(place, "array<bigint>")("v")).select("id", "n", "shards"))
+        placed = durable(indexed.withColumn("shards", F.arrow_udf(place, "array<bigint>")("v")).select("id", "n", "shards"))
         sizes = placed.select(F.explode("shards").alias("s")).groupBy("s").count().where(F.col("count") > task_rows)
         large = {r[0]: math.ceil(2 * r[1] / task_rows) for r in sizes.collect()}  # at most a number for each centroid
         most = max(large.values(), default=1) + 1
@@ -279,7 +303,7 @@ def near_vectors(
             return F.transform(F.sequence(F.lit(0), p - 1), lambda j: code + F.least(mine, j.cast("bigint")) * most + F.greatest(mine, j.cast("bigint")))
 
         dealt = placed.withColumn("tasks", F.array_sort(F.flatten(F.transform("shards", tasks)))).drop("shards")
-        members = stored(dealt.join(classes.select("id", "v"), "id"))
+        members = stored(dealt.join(indexed.select("id", "v"), "id"))
         by_task = members.select(F.explode("tasks").alias("task"), "id", "v")
 
         def graph(t: pa.Table) -> pa.Table:
@@ -302,8 +326,11 @@ def near_vectors(
             for i, z in enumerate(near):
                 wide[i, : len(z)] = z
             q, r = search(x, wide, cosine)
-            root = least_of(len(ids), np.concatenate([q, r]), np.concatenate([r, q]))
+            root = np.zeros(len(ids), np.int64) if exact else least_of(len(ids), np.concatenate([q, r]), np.concatenate([r, q]))
             q, r = complete(x, root, cosine)
+            real = np.array(t["n"].to_pylist(), np.int64) > 0
+            both = real[q] & real[r]
+            root = least_of(len(ids), q[both], r[both])  # planted rows join nothing
             own = t["tasks"].to_pylist()
             task = t["task"][0].as_py()
             sets = [set(z) for z in own]
@@ -311,16 +338,16 @@ def near_vectors(
             mine = np.array([first[i] or first[j] or task == min(sets[i] & sets[j]) for i, j in zip(q.tolist(), r.tolist(), strict=True)], bool) if len(q) else np.zeros(0, bool)
             weight = np.array(t["n"].to_pylist(), np.int64)
             links = np.bincount(q[mine], weight[r[mine]], len(ids)).astype(np.int64)
-            distinct = np.bincount(q[mine], minlength=len(ids)).astype(np.int64)
+            distinct = np.bincount(q[mine], real[r[mine]], len(ids)).astype(np.int64)
             return pa.table({"id": t["id"], "links": pa.array(links), "others": pa.array(distinct), "root": t["id"].combine_chunks().take(pa.array(root)) if isinstance(t["id"], pa.ChunkedArray) else t["id"].take(pa.array(root))})
 
         searched = members.join(united, "id").select(F.explode("tasks").alias("task"), "id", "n", "v", "near", "tasks")
         found = stored(searched.groupBy("task").applyInArrow(find, "id binary, links bigint, others bigint, root binary"))
-        sums = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        sums = durable(found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("others").alias("others")))
         linked = durable(sums.join(classes.select("id", "n", "least"), "id").withColumn("n_links", F.col("links") + F.col("n") - 1))
-        if take == len(heads) or recall(linked) >= least_recall:
+        if exact or recall(sums) >= least_recall:
             break
-        overlap += 1
+        exact, overlap = take == len(heads), overlap + 1
 
     roots = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = durable(linked.join(roots, "id", "left").select("id", "n_links", "least", F.coalesce("root", "id").alias("root")))
