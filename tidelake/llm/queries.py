@@ -232,11 +232,13 @@ d AS (
     CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
   FROM raw WHERE k <> 0),
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM d),
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
 f AS (
-  SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
-    WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN right(regexp_replace(text, '[ 	-
+]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
 n AS (
   SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
