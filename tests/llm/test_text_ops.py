@@ -312,18 +312,65 @@ def test_a_vast_family_equals_brute_force(spark, monkeypatch, block, weight):
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(docs) and all(want[got[i]] == want[i] for i in got)
 
 
-def test_weights_are_plain_tf_idf_and_smoothed_beyond(spark, monkeypatch):
-    docs = [" ".join(f"w{(i * k) % 97}" for k in range(1, 30)) for i in range(300)] + ["a b c d e f"] * 50
+@pytest.mark.parametrize("bits, part", [(1 << 28, 500_000), (1 << 20, 300)])
+def test_weights_are_plain_tf_idf(spark, bits, part):
+    """Exact frequencies of the texts asked for, with a filter that is all but full too, and in many parts; sampling sees no less."""
+    docs = [" ".join(f"w{(i * k) % 97}" for k in range(1, 30)) for i in range(1_300)] + ["a b c d e f"] * 50 + [" ".join(f"u{i}x{k}" for k in range(9)) for i in range(20)]
     df = Counter(g for t in docs for g in word_sets(t))
-    frame = spark.createDataFrame([(t,) for t in docs], "t string").repartition(3)
-    for floor in (1 / 500, 0.1):
-        monkeypatch.setattr(near_dedup, "FLOOR", floor)
-        weights = near_dedup.fit(frame, "t")
-        for t in docs[::7]:
-            _, h = near_dedup.shingles(pa.array([t]))
-            w = t.split()
-            want = [1 + math.log(350 / max(df[tuple(w[i : i + 5])], floor * 350, 1)) for i in range(len(w) - 4)]
-            assert np.allclose(weights.of(h, np.ones(len(h))), want)
+    frame = spark.createDataFrame([(t,) for t in [*docs, None, "", "too short"]], "t string").repartition(3)
+    n = len(docs) + 2  # two without shingles
+    bounds = near_dedup.fit(frame, "t")
+    asked = docs[::7] + docs[-30:]
+    rows = near_dedup.frequencies(frame, "t", spark.createDataFrame([(t.encode(), t) for t in set(asked)], "id binary, t string"), bounds.documents, bits, part).collect()
+    assert bounds.documents == n and {r["t"] for r in rows} == set(asked)
+    for r in rows:
+        assert r["id"] == r["t"].encode()
+        w = r["t"].split()
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        assert math.isclose(r["weight"], sum(1 + math.log(n / df[g]) for g in grams))
+        _, h, _ = near_dedup.counted(*near_dedup.shingles(pa.array([r["t"]])))
+        assert sorted(near_dedup._unpacked(pa.array([r["df"]])).tolist()) == sorted(df[g] for g in set(grams))
+        assert (bounds.of(h, np.ones(len(h))) <= 1 + np.log(n / near_dedup._unpacked(pa.array([r["df"]]))) + 1e-12).all()
+
+
+def test_groups_of_the_whole_table_equal_brute_force(spark):
+    """Over a thousand documents: links hold under plain TF-IDF, and only these."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").collect()]
+    base = [t.split() for _, t in rows if 60 <= len(t.split()) <= 400][:40]
+    for k, w in enumerate(base):  # edits from a few to beyond the limit
+        for j in range(6):
+            own = list(w)
+            for at in range(j, len(own), max(1, len(own) // (1 + j))):
+                own[at] = f"x{k}y{at}"
+            rows.append((1_000_000 + 10 * k + j, " ".join(own)))
+    assert len(rows) > 1_000
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [re.findall(r"[^\W_]+", t.lower())]}
+    df = Counter(g for s in sets.values() for g in s)
+    weight = {i: {g: n * (1 + math.log(len(rows) / df[g])) for g, n in s.items()} for i, s in sets.items()}
+    total = {i: sum(w.values()) for i, w in weight.items()}
+    order, links, at = sorted((i for i in total if total[i]), key=total.get), [], 0
+    for k, b in enumerate(order):
+        while total[order[at]] < 0.8 * total[b] - 1e-9:
+            at += 1
+        for a in order[at:k]:
+            low = sum(min(v, weight[b].get(g, 0)) for g, v in weight[a].items())
+            if low >= 0.8 * (total[a] + total[b] - low) - 1e-9:
+                links.append((a, b))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for a, b in [*links, *((first.setdefault(t, i), i) for i, t in rows)]:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert len({i for i, _ in rows}) == len(rows) == len(got)
+    assert all(find(i) == find(got[i]) for i in got)  # no link that does not hold
+    assert sum(got[i] == find(i) for i in got) >= 0.99 * len(got)  # bands miss few
 
 
 def test_near_dedup_of_odd_rows(spark, odd):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,14 @@ from tidelake.llm.components import joined, open_blocks, shared
 
 WORDS = 5
 BANDS, ROWS = 10, 3
-#: The texts of a block that is compared in one task weigh about so much (a shingle weighs up to 1 - ln FLOOR), or are one text.
+#: The texts of a block that is compared in one task weigh about so much (a shingle weighs up to 1 + ln N), or are one text.
 BLOCK_WEIGHT = 4_000_000
-#: The weight of a shingle stops growing at this share of all documents (smoothing; without effect up to 1 / FLOOR documents).
-FLOOR = 1 / 500
-#: Shared counters that find the shingles over the floor, in pieces; and parts in which tasks add theirs up.
+#: Shared counters that bound document frequencies from above, in pieces; and parts in which tasks add theirs up.
 COUNTERS, PIECE, PARTS = 1 << 20, 1 << 12, 1_000
+#: Bits of the filter for shingles of candidates, and its pieces; a full filter lets more shingles move and changes no count.
+FILTER_BITS, FILTER_PIECES = 1 << 28, 256
+#: Candidates get their frequencies in parts of about so many bytes of text.
+PART_BYTES = 500_000
 SLICE_BYTES = 8_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
@@ -74,21 +77,20 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-class Weights:
-    """TF-IDF weights: occurrences times 1 + ln(N / df), with df no less than FLOOR * N (nor 1)."""
+def tf_idf(documents: int, df: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Occurrences times 1 + ln(N / df)."""
+    return times * (1 + np.log(max(documents, 1) / df))
 
-    def __init__(self, documents: int, hashes: np.ndarray, df: np.ndarray) -> None:
-        n = max(documents, 1)
-        self.rare = 1 + math.log(min(n, 1 / FLOOR))
-        order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], 1 + np.log(n / df[order])
+
+class Bounds:
+    """Weights for sampling: TF-IDF by the shared counters, which bound every document frequency from above."""
+
+    def __init__(self, documents: int, counters: np.ndarray) -> None:
+        self.documents = documents
+        self.idf = tf_idf(documents, np.clip(counters, 1, max(documents, 1)), 1)
 
     def of(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.rare)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, self.idf[at], out)
-        return out * times
+        return self.idf[(h >> np.uint64(44)).astype(np.int64)] * times
 
 
 def _sum_pieces(t: pa.Table) -> pa.Table:
@@ -98,13 +100,9 @@ def _sum_pieces(t: pa.Table) -> pa.Table:
     return pa.table({"piece": t["piece"].slice(0, 1), "part": pa.array([0], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "rows": pa.array([sum(t["rows"].to_pylist())], pa.int64())})
 
 
-def fit(docs: DataFrame, text: str) -> Weights:
-    """Document frequencies over all documents, exact for every shingle in at least FLOOR of them (and in two).
-
-    All occurrences are counted in COUNTERS shared counters, which bound every shingle's frequency from above; only
-    shingles on counters that reach the floor are then counted one by one. Counters are added up in two steps, so that
-    no task sees those of all. Shingles over the floor are at most (mean shingles of a document) / FLOOR, so they fit
-    the driver at any size of corpus.
+def fit(docs: DataFrame, text: str) -> Bounds:
+    """Counts of all documents' shingles in COUNTERS shared counters. Counters are added up in two steps, so that no
+    task sees those of all; their number is fixed, so they fit the driver at any size of corpus.
     """
     texts = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
     spec = "piece bigint, part bigint, counts binary, rows bigint"
@@ -125,24 +123,92 @@ def fit(docs: DataFrame, text: str) -> Weights:
     parts = texts.mapInArrow(count, spec).groupBy("piece", "part").applyInArrow(_sum_pieces, spec)
     sums = durable(parts.groupBy("piece").applyInArrow(_sum_pieces, spec))
     documents = sums.agg(F.sum("rows")).first()[0] or 0
-    least = max(FLOOR * documents, 2)
-    none = Weights(documents, np.zeros(0, np.uint64), np.zeros(0))
-    hot = np.zeros(COUNTERS, bool)
+    counters = np.zeros(COUNTERS, np.int64)
     for r in sums.select("piece", "counts").toLocalIterator():  # COUNTERS numbers in all
-        hot[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], np.int64) >= least
-    if not hot.any():
-        return none
+        counters[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], np.int64)
+    return Bounds(documents, counters)
+
+
+def _packed(df: np.ndarray) -> bytes:
+    return zlib.compress(df.astype(np.int64).tobytes(), 1)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    parts = [np.frombuffer(zlib.decompress(x), np.int64) for x in packed.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def frequencies(docs: DataFrame, text: str, texts: DataFrame, documents: int, filter_bits: int = FILTER_BITS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Of each row (id, t) of the stored `texts`: the exact document frequencies in `docs` of its distinct shingles.
+
+    Returns (id, t, df, weight): `df` packed in the order of `counted`, `weight` the sum of the text's TF-IDF weights.
+    The shingles asked for set the bits of a filter of fixed size; every document's shingles that pass it are counted,
+    combined within tasks before they move. Counts of two or more go back to the parts that asked (a shingle of one
+    document has the count 1), so a shingle that all ask for is one row a part, and a part is texts of about
+    `part_bytes`.
+    """
+    parts = max(1, math.ceil((texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / part_bytes))
+    piece_bits = filter_bits // FILTER_PIECES
+    dealt = texts.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)))
+
+    def place(h: np.ndarray) -> np.ndarray:
+        """The bit of the filter for each hash; the low bits, as the counters take the high ones."""
+        return (h & np.uint64(filter_bits - 1)).astype(np.int64)
+
+    def bits(t: pa.Table) -> pa.Table:
+        """One piece of the filter from the hashes that fall into it."""
+        on = np.zeros(piece_bits, bool)
+        on[place(t["h"].to_numpy().view(np.uint64)) % piece_bits] = True
+        return pa.table({"piece": t["piece"].slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.column(0).to_numpy()
+            at = 0
+            for piece in slices(batch.column(1)):
+                doc, h, _ = counted(*shingles(piece))
+                _, h, _ = part = counted(where[at + doc], h)
+                at += len(piece)
+                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(h.view(np.int64)), pa.array(place(h) // piece_bits)], names=["p", "h", "piece"])
+
+    asked = stored(dealt.select("p", "t").mapInArrow(ask, "p bigint, h bigint, piece bigint"))
+    wanted = np.zeros(filter_bits // 8, np.uint8)
+    size = piece_bits // 8
+    for r in durable(asked.select("piece", "h").groupBy("piece").applyInArrow(bits, "piece bigint, bits binary")).toLocalIterator():  # `filter_bits` in all
+        wanted[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    shared_filter = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = shared_filter.value
         for batch in batches:
             for piece in slices(batch.column(0)):
                 doc, h = shingles(piece)
-                keep = hot[(h >> np.uint64(44)).astype(np.int64)]
+                at = place(h)
+                keep = (on[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
                 values, times = np.unique(counted(doc[keep], h[keep])[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], names=["h", "n"])
 
-    found = texts.mapInArrow(exact, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    return Weights(documents, found["h"].to_numpy().view(np.uint64), found["n"].to_numpy())
+    counts = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    told = asked.select("p", "h").join(counts.hint("shuffle_hash"), "h").select("p", "h", "n")
+
+    def weigh(mine: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known["h"].to_numpy().view(np.uint64))
+        hashes, n = known["h"].to_numpy().view(np.uint64)[order], known["n"].to_numpy()[order]
+        mine = mine.combine_chunks()
+        dfs, sums = [], []
+        for piece in slices(mine["t"].combine_chunks()):
+            doc, h, times = counted(*shingles(piece))
+            df = np.ones(len(h), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                df = np.where(hashes[at] == h, n[at], df)
+            ends = np.searchsorted(doc, np.arange(len(piece) + 1))
+            dfs += [_packed(df[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            sums += np.bincount(doc, tf_idf(documents, df, times), len(piece)).tolist()
+        return pa.table({"id": mine["id"], "t": mine["t"], "df": pa.array(dfs, pa.binary()), "weight": pa.array(sums, pa.float64())})
+
+    both = dealt.select("p", "id", "t").groupBy("p").cogroup(told.groupBy("p"))
+    return stored(both.applyInArrow(weigh, "id binary, t string, df binary, weight double"))
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,8 +218,8 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, np.log(c), b, rng.integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(texts: pa.Array, weights: Weights) -> tuple[list[list[int]], list[float]]:
-    """BANDS keys for each text, none for texts without shingles, and the sum of its weights.
+def band_keys(texts: pa.Array, weights: Bounds) -> list[list[int]]:
+    """BANDS keys for each text, none for texts without shingles.
 
     Improved consistent weighted sampling: of each shingle, for each sample, draws fixed by its hash turn the weight
     into a quantised step t and a value ln a; the shingle of least ln a is taken with its t. Two texts take the same
@@ -163,7 +229,7 @@ def band_keys(texts: pa.Array, weights: Weights) -> tuple[list[list[int]], list[
     doc, h, times = counted(*shingles(texts))
     out: list[list[int]] = [[] for _ in range(len(texts))]
     if not len(h):
-        return out, [0.0] * len(texts)
+        return out
     w = weights.of(h, times)
     log_w = np.log(w)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
@@ -185,14 +251,14 @@ def band_keys(texts: pa.Array, weights: Weights) -> tuple[list[list[int]], list[
         keys[:, band] = (keys[:, band] ^ (mixed ^ (mixed >> np.uint64(31)))) * ODD[3] + np.uint64(k + 1)
     for i, row in zip(doc[starts].tolist(), keys.view(np.int64).tolist(), strict=True):
         out[i] = row
-    return out, np.bincount(doc, w, len(texts)).tolist()
+    return out
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
+def weighted_jaccard(left: pa.Array, right: pa.Array, left_df: pa.Array, right_df: pa.Array, documents: int) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts: sum of least over sum of greatest weights; 0 without shingles."""
     a, b = counted(*shingles(left)), counted(*shingles(right))
     doc, h = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    w = np.concatenate([weights.of(a[1], a[2]), weights.of(b[1], b[2])])
+    w = tf_idf(documents, np.concatenate([_unpacked(left_df), _unpacked(right_df)]), np.concatenate([a[2], b[2]]))
     order = np.lexsort((h, doc))
     doc, h, w = doc[order], h[order], w[order]
     twin = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
@@ -201,7 +267,7 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.nd
     return np.divide(least, total, out=np.zeros(len(left)), where=total > 0)
 
 
-def block_links(texts: pa.Array, roots: np.ndarray, side: np.ndarray, weights: Weights, similarity: float) -> list[tuple[int, int]]:
+def block_links(texts: pa.Array, df: pa.Array, roots: np.ndarray, side: np.ndarray, documents: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join the components of `roots` among the texts of two blocks (side 0 and 1), or of one (all of side 0).
 
     Each text in turn is held against all those that it is to meet and that no link joins to it so far; a link that
@@ -209,7 +275,7 @@ def block_links(texts: pa.Array, roots: np.ndarray, side: np.ndarray, weights: W
     """
     doc, h, times = counted(*shingles(texts))
     code = np.unique(h, return_inverse=True)[1]
-    w = weights.of(h, times)
+    w = tf_idf(documents, _unpacked(df), times)
     total = np.bincount(doc, w, len(texts))
     starts = np.searchsorted(doc, np.arange(len(texts) + 1))
     group = np.unique(roots, return_inverse=True)[1]
@@ -237,8 +303,10 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     """One row per document: its key, text hash, `class_id` (the least key of its group) and `kept` (it has that key).
 
     Equal texts are one class. Classes whose weighted Jaccard similarity over TF-IDF five-word shingles is
-    `similarity` or more are linked, and groups are the connected components. Candidates share one of BANDS keys;
-    every link is verified on the whole texts. Copies are never expanded into pairs; large buckets are compared by stars
+    `similarity` or more are linked, and groups are the connected components. The weight of a shingle is how often the
+    text has it times 1 + ln(N / df), N and df counted over all documents that are not null. Candidates share one of
+    BANDS keys, sampled with df bounded from above (see `Bounds`); every link is verified on the whole texts with the
+    exact df (see `frequencies`). Copies are never expanded into pairs; large buckets are compared by stars
     first, then block by block (see `components.joined` and `block_links`). A text without five words equals only its copies. A null text is a group of
     its own and is kept. Rows of one key and text are one document, answered alike; ties go to the least key.
     """
@@ -248,29 +316,28 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            got = [band_keys(part, weights) for part in slices(column)]
-            yield pa.StructArray.from_arrays([pa.array([x for keys, _ in got for x in keys], pa.list_(pa.int64())), pa.array([x for _, sums in got for x in sums], pa.float64())], names=["bands", "weight"])
+            yield pa.array([keys for part in slices(column) for keys in band_keys(part, weights)], pa.list_(pa.int64()))
 
-    signed = whole.select("k", "id", F.arrow_udf(sign, "struct<bands:array<bigint>,weight:double>")("t").alias("s"))
-    rows = stored(signed.select("k", "id", "s.bands", "s.weight"))
-    classes = durable(rows.groupBy("id").agg(F.min("k").alias("least"), F.first("bands").alias("bands"), F.first("weight").alias("hint")))
+    rows = stored(whole.select("k", "id", F.arrow_udf(sign, "array<bigint>")("t").alias("bands")))
+    classes = durable(rows.groupBy("id").agg(F.min("k").alias("least"), F.first("bands").alias("bands")))
+    members = shared(classes.select(F.explode("bands").alias("key"), "id").distinct())
+    texts = stored(whole.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
+    weighed = frequencies(docs, text, texts, weights.documents)
     step = 1.0001 * max(math.log(1 / similarity), 0.01)  # weights of alike texts are at most one grade apart
-    hints = classes.where("hint > 0").select("id", "hint", F.floor(F.log("hint") / step).cast("int").alias("grade"))
+    hints = weighed.where("weight > 0").select("id", F.col("weight").alias("hint"), F.floor(F.log("weight") / step).cast("int").alias("grade"))
+    documents = weights.documents
 
-    def similar(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in pairs:
+    def similar(pairs: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for left, right, left_df, right_df in pairs:
             step = max(1, int(len(left) * SLICE_BYTES / (left.nbytes + right.nbytes + 1)))
-            parts = [weighted_jaccard(left.slice(i, step), right.slice(i, step), weights) for i in range(0, len(left), step)]
+            parts = [weighted_jaccard(*(x.slice(i, step) for x in (left, right, left_df, right_df)), documents) for i in range(0, len(left), step)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    def text_of(ids: DataFrame) -> DataFrame:
-        return stored(whole.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")))
-
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids = t["id"].combine_chunks()
         roots = pc.dictionary_encode(t["root"].combine_chunks()).indices.to_numpy()
-        links = block_links(t["t"].combine_chunks(), roots, t["side"].to_numpy(), weights, similarity)
+        links = block_links(t["t"].combine_chunks(), t["df"].combine_chunks(), roots, t["side"].to_numpy(), documents, similarity)
         a, b = (ids.take(pa.array([x[side] for x in links], pa.int64())) for side in range(2))
         return pa.table({"a": a, "b": b})
 
@@ -278,14 +345,14 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
         """Links between the members of large buckets, block by block; the heavier the texts of a grade, the fewer a block."""
         heaviest = F.exp((F.col("grade") + 1) * step)
         met = open_blocks(members, F.greatest(F.lit(1.0), F.least(F.lit(float(components.BLOCK)), F.lit(BLOCK_WEIGHT) / heaviest)))
-        return met.join(text_of(members.select("id")), "id").groupBy("key", "block", "block_b").applyInArrow(compare, "a binary, b binary").distinct()
+        return met.join(weighed.select("id", "t", "df"), "id").groupBy("key", "block", "block_b").applyInArrow(compare, "a binary, b binary").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = text_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
+        left, right = (weighed.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"), F.col("df").alias(f"df{x}")) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b")
+        return both.withColumn("s", F.arrow_udf(similar, "double")("ta", "tb", "dfa", "dfb")).where(F.col("s") >= similarity - 1e-9).select("a", "b")
 
-    roots = joined(shared(classes.select(F.explode("bands").alias("key"), "id").distinct()), verify, hints, meet=meet)
+    roots = joined(members, verify, hints, meet=meet)
     grouped = durable(classes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     named = durable(grouped.join(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("id", "class_id"))
     found = rows.join(named, "id").select("k", "id", "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
