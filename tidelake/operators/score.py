@@ -29,7 +29,7 @@ def in_truth(found: DataFrame, truth: DataFrame, chunk: list[str]) -> DataFrame:
 def silent_gaps(runs: DataFrame, chunk: list[str]) -> DataFrame:
     """Chunks of a workload's ground truth that a system which ran the workload never got."""
     ran = runs.select("system", "workload").distinct()  # a row for each pair of names
-    return ground_truth(runs, chunk).join(F.broadcast(ran), "workload").join(hits(runs, chunk), ["system", "workload", *chunk], "left_anti")
+    return ground_truth(runs, chunk).join(ran, "workload").join(hits(runs, chunk), ["system", "workload", *chunk], "left_anti")
 
 
 def round_means(runs: DataFrame, keys: list[str], measures: tuple[str, ...] = MEASURES) -> DataFrame:
@@ -53,7 +53,7 @@ def scoreboard(runs: DataFrame, chunk: list[str]) -> DataFrame:
     found = hits(runs, chunk)
     got = found.groupBy("system", "workload").agg(F.count("*").alias("hit"))
     truth = found.select("workload", *chunk).distinct().groupBy("workload").agg(F.count("*").alias("n_truth"))
-    out = means.join(got, ["system", "workload"], "left").join(F.broadcast(truth), "workload", "left").fillna(0, ["hit", "n_truth"])  # a row a workload
+    out = means.join(got, ["system", "workload"], "left").join(truth, "workload", "left").fillna(0, ["hit", "n_truth"])  # a row a workload
     over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     return out.select(
         "system", "workload", "rounds", *MEASURES,
