@@ -25,7 +25,9 @@ BLOCK_WEIGHT = 4_000_000
 #: Shared counters that bound document frequencies from above, in pieces; and parts in which tasks add theirs up.
 COUNTERS, PIECE, PARTS = 1 << 20, 1 << 12, 1_000
 #: Bits of the filter for shingles of candidates, and its pieces; a full filter lets more shingles move and changes no count.
-FILTER_BITS, FILTER_PIECES = 1 << 28, 256
+FILTER_BITS, FILTER_PIECES = 1 << 27, 256
+#: Shingles that are sampled at once, of whole texts: arrays of this length stay in a core's cache.
+AT_ONCE = 1 << 15
 #: Candidates get their frequencies in parts of about so many bytes of text.
 PART_BYTES = 500_000
 SLICE_BYTES = 8_000_000
@@ -58,9 +60,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, hash), sorted, with how often each occurs."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+    """Distinct (document, hash) of rows in order of documents, sorted, with how often each occurs."""
+    h = h.copy()
+    for part in np.split(h, np.flatnonzero(doc[1:] != doc[:-1]) + 1):  # views, each sorted in place
+        part.sort()
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
@@ -167,7 +170,8 @@ def frequencies(docs: DataFrame, text: str, texts: DataFrame, documents: int, fi
             at = 0
             for piece in slices(batch.column(1)):
                 doc, h, _ = counted(*shingles(piece))
-                _, h, _ = part = counted(where[at + doc], h)
+                order = np.argsort(where[at + doc], kind="stable")
+                _, h, _ = part = counted(where[at + doc][order], h[order])
                 at += len(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(h.view(np.int64)), pa.array(place(h) // piece_bits)], names=["p", "h", "piece"])
 
@@ -230,25 +234,25 @@ def band_keys(texts: pa.Array, weights: Bounds) -> list[list[int]]:
     out: list[list[int]] = [[] for _ in range(len(texts))]
     if not len(h):
         return out
-    w = weights.of(h, times)
-    log_w = np.log(w)
+    log_w = np.log(weights.of(h, times))
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    lens = np.diff(np.append(starts, len(doc)))
-    which = np.repeat(np.arange(len(starts)), lens)
+    ends = np.append(starts[1:], len(doc))
     keys = np.zeros((len(starts), BANDS), np.uint64)
-    low = np.uint64(0xFFFF)
-    for k in range(BANDS * ROWS):
-        m = h * odd[k]
-        r = r_table[(m >> np.uint64(48)).astype(np.int64)]
-        t = np.floor(log_w / r + b_table[((m >> np.uint64(16)) & low).astype(np.int64)])
-        log_a = c_table[((m >> np.uint64(32)) & low).astype(np.int64)] - r * (t - b_table[((m >> np.uint64(16)) & low).astype(np.int64)] + 1)
-        least = np.minimum.reduceat(log_a, starts)
-        at = np.flatnonzero(log_a == least[which])[::-1]
-        best = np.zeros(len(starts), np.int64)
-        best[which[at]] = at  # of ties, the first
-        band = k // ROWS
-        mixed = (h[best] + t[best].astype(np.int64).view(np.uint64) * ODD[1]) * ODD[2]
-        keys[:, band] = (keys[:, band] ^ (mixed ^ (mixed >> np.uint64(31)))) * ODD[3] + np.uint64(k + 1)
+    low, cuts = np.uint64(0xFFFF), np.flatnonzero(np.diff(starts // AT_ONCE, prepend=-1))
+    for one, two in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
+        part = slice(starts[one], ends[two - 1])
+        own, log_own, at_start, lens = h[part], log_w[part], starts[one:two] - starts[one], ends[one:two] - starts[one:two]
+        for k in range(BANDS * ROWS):
+            m = own * odd[k]
+            r = r_table[(m >> np.uint64(48)).astype(np.int64)]
+            b = b_table[((m >> np.uint64(16)) & low).astype(np.int64)]
+            t = np.floor(log_own / r + b)
+            log_a = c_table[((m >> np.uint64(32)) & low).astype(np.int64)] - r * (t - b + 1)
+            at = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, at_start), lens))
+            best = at[np.searchsorted(at, at_start)]  # of ties, the first
+            band = keys[one:two, k // ROWS]
+            mixed = (own[best] + t[best].astype(np.int64).view(np.uint64) * ODD[1]) * ODD[2]
+            band[:] = (band ^ (mixed ^ (mixed >> np.uint64(31)))) * ODD[3] + np.uint64(k + 1)
     for i, row in zip(doc[starts].tolist(), keys.view(np.int64).tolist(), strict=True):
         out[i] = row
     return out
