@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tidelake import catalog
+from tidelake.plans import ingest
 
 
 def test_violations_are_those_of_the_sql(spark, tmp_path):
@@ -19,3 +20,14 @@ def test_violations_are_those_of_the_sql(spark, tmp_path):
     want = sorted(duck.execute(catalog.ORACLE_SQL["quality_violations"]).fetchall())
     assert sorted(tuple(r) for r in catalog.QUERIES["quality_violations"](spark, str(tmp_path)).collect()) == want
     assert ("S1", "bid out of range", 1, 1704416523000) in want and len(want) == 5
+
+
+def test_a_catalogue_of_one_file_is_planned_by_many_tasks(spark):
+    day = lambda text: F.lit(text).cast("date")
+    catalogue = spark.range(0, 200, 1, 1).select(F.format_string("A%03d", "id").alias("symbol"), F.lit(1).alias("decimal_factor"), F.create_map(*(x for k in ("tick", "m1", "h1") for x in (F.lit(k), day("2024-01-01")))).alias("start_dates"))
+    none = spark.createDataFrame([], "symbol string, timeframe string, last_date date")
+    plan = ingest.build_plan(catalogue, ["tick", "m1", "m15", "h1", "h4"], none, day("2024-01-03"))
+    rows = plan.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 200 * (3 * 3 + 2) / 2
+    keys = ingest.chunk_keys(plan)
+    assert keys.count() == keys.select("key").distinct().count() == 200 * (3 * 24 + 3 + 1)

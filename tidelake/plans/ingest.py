@@ -30,9 +30,12 @@ def build_plan(instruments: DataFrame, timeframes: list[str], checkpoints: DataF
     """One row (symbol, timeframe, dt, decimal_factor) per day of ticks and minute bars, per month of hour bars.
 
     Dates end at `date_to`, or else `as_of`. A month that the start cuts is left out unless `partial_first_month`.
+    A catalogue is a small file that few tasks read, so its symbols are spread before they become dates: over all
+    shuffle partitions, as few bytes become many rows.
     """
     end = F.least(as_of, date_to) if date_to is not None else as_of
     due = starts(instruments, timeframes, checkpoints, date_from).where(F.col("start") <= end)
+    due = due.repartition(int(due.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
     monthly = F.col("timeframe").isin(*MONTHLY)
     first = F.trunc("start", "MM") if partial_first_month else first_whole_month(F.col("start"))
     dates = F.when(~monthly, F.sequence("start", end, F.expr("interval 1 day"))).when(first <= end, F.sequence(first, end, F.expr("interval 1 month")))
@@ -40,10 +43,14 @@ def build_plan(instruments: DataFrame, timeframes: list[str], checkpoints: DataF
 
 
 def chunk_keys(plan: DataFrame) -> DataFrame:
-    """One row per physical chunk: 24 hours for a day of ticks, else one; timeframes with one source share its chunks."""
-    hours = F.when(F.col("timeframe") == "tick", F.sequence(F.lit(0), F.lit(23))).otherwise(F.array(F.lit(None).cast("int")))
-    rows = plan.select("symbol", primitive(F.col("timeframe")).alias("primitive"), "dt", F.explode(hours).alias("hour"))
-    return rows.select("symbol", "primitive", "dt", "hour", chunk_key(F.col("symbol"), F.col("primitive"), F.col("dt"), F.col("hour")).alias("key")).distinct()
+    """One row per physical chunk: 24 hours for a day of ticks, else one; timeframes with one source share its chunks.
+
+    Days and months are made distinct before they become hours and keys, so that no task holds more than its share of these.
+    """
+    dates = plan.select("symbol", primitive(F.col("timeframe")).alias("primitive"), "dt").distinct()
+    hours = F.when(F.col("primitive") == "tick", F.sequence(F.lit(0), F.lit(23))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = dates.select("symbol", "primitive", "dt", F.explode(hours).alias("hour"))
+    return rows.select("symbol", "primitive", "dt", "hour", chunk_key(F.col("symbol"), F.col("primitive"), F.col("dt"), F.col("hour")).alias("key"))
 
 
 def workload(years: DataFrame, symbols: DataFrame, week: Column | None = None) -> DataFrame:
