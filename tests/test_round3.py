@@ -3,10 +3,13 @@
 import datetime as dt
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelake import catalog
+from tidelake.operators import migrate, quality
 from tidelake.plans import ingest
+from tidelake.sources import files
 
 
 def test_violations_are_those_of_the_sql(spark, tmp_path):
@@ -31,3 +34,39 @@ def test_a_catalogue_of_one_file_is_planned_by_many_tasks(spark):
     assert len(rows) == 4 and max(r["count"] for r in rows) < 200 * (3 * 3 + 2) / 2
     keys = ingest.chunk_keys(plan)
     assert keys.count() == keys.select("key").distinct().count() == 200 * (3 * 24 + 3 + 1)
+
+
+def test_a_migration_writes_a_file_a_source_without_steps_of_the_driver(spark, tmp_path):
+    at = "2024-01-01 00:00:0{}+00:00,{}.5,1.5,1,"
+    symbols = ["EUR=X", "A'B", *(f"S{i}" for i in range(20))]
+    for i, symbol in enumerate(symbols):
+        for name in ("up", "down"):
+            folder = tmp_path / "in" / symbol / "tick"
+            folder.mkdir(parents=True, exist_ok=True)
+            lines = [at.format(k, i) for k in range(5)]
+            (folder / f"{name}.csv").write_text("\n".join(["timestamp,ask,bid,ask_vol,bid_vol", *(lines if name == "up" else lines[::-1])]) + "\n")
+    none, out = spark.createDataFrame([], "symbol string, decimal_factor int"), tmp_path / "out"
+    run_once = lambda: migrate.migrate(spark, str(tmp_path / "in"), str(out), "tick", none, factor=2).groupBy("status").count().collect()
+    lake = lambda: sorted((r["symbol"], r["n"], r["low"], r["high"]) for r in spark.read.parquet(str(out)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("ask").alias("low"), F.max("ask").alias("high")).collect())
+    want = sorted((s, 10, 2 * i + 1, 2 * i + 1) for i, s in enumerate(symbols))
+    assert [tuple(r) for r in run_once()] == [("ok", 44)] and lake() == want
+    first = sorted(out.rglob("*.parquet"))
+    (tmp_path / "in" / "S3" / "tick" / "up.csv").write_text("timestamp,ask,bid,ask_vol,bid_vol\nsoon,1,1,1,1\n")
+    assert {tuple(r) for r in run_once()} == {("ok", 43), ("error", 1)} and lake() == want  # what fails now stays as it was
+    again = sorted(p for p in out.rglob("*") if p.is_file())
+    assert len(first) == 44 and len(set(first) & set(again)) == 1 and len(again) == 44  # no checksums or staged files beside them
+    assert {r["inversions"] for r in quality.file_order(spark.read.parquet(str(out))).collect()} == {0}
+    facts = {"decimal_factor": 2, "timeframe": "tick", "source": "migration"}
+    assert spark.read.parquet(str(out)).schema["timestamp"].metadata == facts
+    told = files.lake_facts(files.footers(spark, str(out / "symbol=S1"))).collect()
+    assert {r["name"]: r["value"] for r in told} == {k: str(v) for k, v in facts.items()}
+
+
+def test_publishing_twice_changes_nothing(tmp_path):
+    for name, text in {"new": "2", "out/symbol=A/source=s/part-old.parquet": "1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    batch = pa.RecordBatch.from_pylist([{"symbol": "A", "source": "s", "files": [{"name": "part-new.parquet", "path": str(tmp_path / "new")}]}])
+    for _ in range(2):
+        list(migrate._publish(str(tmp_path / "out"))(iter([batch])))
+        assert [(p.name, p.read_text()) for p in (tmp_path / "out").rglob("*") if p.is_file()] == [("part-new.parquet", "2")]
