@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import fresh
@@ -14,32 +16,29 @@ from tidelake.llm.common import fresh
 UNKNOWN = "und"
 #: Bits of evidence that one more compressed byte counts for in the score; well under 8, as bytes of one text depend on each other.
 BITS = 1.0
+#: Steps from 0 to 1 in which margins are counted.
+STEPS = 1 << 16
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 300, dict_bytes: int = 65_536, piece_chars: int = 2_000) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, from a bounded sample of the labelled rows.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dict_bytes: int = 65_536, word_chars: int = 16) -> dict[str, bytes]:
+    """A raw-content dictionary for each language: the words that all its labelled rows use most, the most frequent last.
 
-    The sample's bound is `rows_per_lang` rows of each language, the smallest by a hash of `key`; each gives one
-    piece of at most `piece_chars` characters at a place set by that hash, until `dict_bytes` are full. Labels are
-    counted over all rows first, so that only about twice the bound passes the filter and no language is one task.
-    Null labels and texts without a letter teach nothing. No labelled rows give no languages.
+    Words are counted exactly over every row, in tasks and by hash; a longer word counts as parts of `word_chars`
+    characters. Equal counts go by the word. Only the words that may fit `dict_bytes` reach the driver: the tasks
+    keep the first half as many words as bytes of each language, and pass on no more. Null labels and texts without a letter
+    teach nothing. No labelled rows give no languages.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), letters(F.col(text)).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("fit")).alias("h"))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*(x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * rows_per_lang / v)))))
-    unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    size = F.length("text")
-    start = F.when(size > piece_chars, F.pmod(F.xxhash64("h"), size - piece_chars + 1)).otherwise(0).cast("int")
-    sample = usable.where(unit < share[F.col("lang")]).select("lang", "h", F.col("text").substr(start + 1, F.lit(piece_chars)).alias("piece"))
-    pieces: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():  # at most about 2 * rows_per_lang pieces a language
-        pieces.setdefault(r["lang"], []).append((r["h"], r["piece"]))
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), letters(F.col(text)).alias("text"))
+    words = usable.select("lang", F.explode(F.regexp_extract_all("text", F.lit(rf"\S{{1,{word_chars}}}"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    found: dict[str, list[str]] = {}
+    for r in words.withColumn("rank", rank).where(F.col("rank") <= dict_bytes // 2).orderBy("lang", "rank").collect():  # a word and a space are two bytes at least
+        found.setdefault(r["lang"], []).append(r["word"])
     out = {}
-    for name, rows in sorted(pieces.items()):
-        data = b" ".join(p.encode() for _, p in sorted(rows)[:rows_per_lang])
-        out[name] = data[:dict_bytes]
+    for name, ranked in sorted(found.items()):
+        data = [w.encode() for w in ranked]
+        ends = list(accumulate(len(w) + 1 for w in data))
+        out[name] = b" ".join(data[: bisect_right(ends, dict_bytes)][::-1])
     return out
 
 
@@ -101,26 +100,28 @@ def classify(df: DataFrame, dicts: dict[str, bytes], text: str = "text", level:
     return out.withColumn(new[3], (F.col(new[0]) != UNKNOWN) & (F.col(new[2]) > least_margin)).drop(found)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 300, share: float = 0.005, **options) -> tuple[dict[str, bytes], float]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", share: float = 0.005, **options) -> tuple[dict[str, bytes], float]:
     """Dictionaries, and the margin below which a prediction is to be rejected.
 
-    Three quarters of the labelled rows (by a hash of `key`) are for the dictionaries, see `fit`. Of the others about
-    `rows_per_lang` of each language, by the same hash, are classified: the margin that all but `share` of those told
-    rightly exceed, halved, is the least margin; 0 if there are none. Texts in a language that was not learned, or in
-    none, compress about as badly with every dictionary and stay below it.
+    Three quarters of the labelled rows (by a hash of `key`) are for the dictionaries, see `fit`. All others are
+    classified: the margin that all but `share` of those told rightly exceed, halved, is the least margin; 0 if there
+    are none. It is counted in steps of 1/STEPS, so that as many counts at most reach the driver. Texts in a language
+    that was not learned, or in none, compress about as badly with every dictionary and stay below it.
     """
     (part,) = fresh(labelled, "_part")
-    split = labelled.withColumn(part, F.xxhash64(F.col(key).cast("string"), F.lit("part")))
-    dicts = fit(split.where(F.pmod(part, F.lit(4)) != 0), text, lang, key, rows_per_lang)
-    rest = split.where((F.pmod(part, F.lit(4)) == 0) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rest.groupBy(lang).count().collect()}
-    if not dicts or not counts:
+    split = labelled.withColumn(part, F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("part")), F.lit(4)))
+    dicts = fit(split.where(F.col(part) != 0), text, lang)
+    if not dicts:
         return dicts, 0.0
-    unit = F.pmod(F.shiftrightunsigned(part, 2), F.lit(1_000_000)) / 1_000_000
-    some = rest.where(unit < F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, min(1.0, rows_per_lang / v))))[F.col(lang)])
-    told = classify(some.select(F.col(text).alias("t"), F.col(lang).alias("l")), dicts, "t", **options)
-    low = told.where("l = lang_pred AND margin > 0").agg(F.percentile("margin", share)).first()[0]
-    return dicts, (low or 0.0) / 2
+    rest = split.where((F.col(part) == 0) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    told = classify(rest.select(F.col(text).alias("t"), F.col(lang).alias("l")), dicts, "t", **options)
+    counts = told.where("l = lang_pred AND margin > 0").groupBy(F.floor(F.col("margin") * STEPS).alias("step")).count().orderBy("step").collect()
+    allowed, seen = share * sum(r["count"] for r in counts), 0
+    for r in counts:
+        seen += r["count"]
+        if seen > allowed:
+            return dicts, r["step"] / STEPS / 2
+    return dicts, 0.0
 
 
 def held_out(key: Column) -> Column:
