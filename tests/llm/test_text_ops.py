@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -569,3 +570,19 @@ def test_edits_of_lines_equal_brute_force(spark):
         short = "".join(rng.choice(letters, 13 + n % 9))
         rows += [short, "q" + short[1:], short[:-1] + "q"]
     assert left_lines(spark, rows) == brute_lines(map(plain_line, rows))
+
+
+def test_unlike_copies_of_a_long_line_are_ruled_out_unread(spark, monkeypatch):
+    """A hundred long lines with a common origin, none alike another: the comparison of their buckets leaves few pairs to be read."""
+    rng, seen, every = random.Random(11), [], line_dedup.joined
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    origin = [word() for _ in range(145)]
+    rows = [" ".join(word() if i in changed else w for i, w in enumerate(origin)) for changed in (set(rng.sample(range(145), 17)) for _ in range(100))]
+
+    def counted(members, verify, *others):
+        return every(members, lambda pairs: (seen.append(pairs.count()), verify(pairs))[1], *others)
+
+    monkeypatch.setattr(line_dedup, "joined", counted)
+    monkeypatch.setattr("tidelake.llm.components.MANY_OPEN", 0, raising=False)
+    assert left_lines(spark, rows) == brute_lines(rows) == 100
+    assert sum(seen[1:]) < 1000

@@ -23,7 +23,7 @@ SINGLES, PAIRS = 12, 6
 #: Lines of up to so many characters also have the first verified shingles as bands, which misses nothing.
 TINY = 13
 #: Words of 64 parities in the hint of a line, a power of two.
-PARITIES = 8
+PARITIES = 16
 
 
 def normal(line: Column) -> Column:
@@ -55,7 +55,7 @@ def sketch(line: Column) -> Column:
 
         def start(x: Column) -> Column:
             i = x.bitwiseAND(part).cast("int")
-            return packed(F.shiftright(x, 30), F.substring(F.concat_ws(" ", *(F.get(w, i + j) for j in range(4))), 1, LONG))
+            return packed(F.shiftright(x, 30), F.substring(F.array_join(F.slice(w, i + 1, 4), " "), 1, LONG))
 
         inside = F.when(F.exists(w, lambda x: F.length(x) >= LONG + 8), F.transform(F.regexp_extract_all(line, F.lit(INSIDE), F.lit(1)), own)).otherwise(F.array().cast("array<bigint>"))
         taken = F.slice(F.array_distinct(F.sort_array(F.concat(F.transform(at, start), inside, F.array(own(F.substring(line, -LONG, LONG)))))), 1, SKETCH)
@@ -64,15 +64,20 @@ def sketch(line: Column) -> Column:
     return F.transform(F.array(F.split(line, " ")), of)[0]  # in a lambda, so that the words are split once
 
 
-def shingle_hashes(line: Column, n: int) -> Column:
-    """Hashes of 64 bits of the distinct runs of n characters."""
+def all_hashes(line: Column, n: int) -> Column:
+    """Hashes of 64 bits of the runs of n characters, repeats included."""
 
     def of(code: Column) -> Column:  # four bytes a character
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), (F.length(code) / 4).cast("int") - (n - 1)), lambda i: F.xxhash64(F.substring(code, i * 4 - 3, F.lit(4 * n)))))
+        return F.transform(F.sequence(F.lit(1), F.length(code) - (4 * n - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(code, i, F.lit(4 * n))))
 
     return F.when(F.length(line) >= n, F.transform(F.array(F.encode(line, "UTF-32")), of)[0]).otherwise(F.array().cast("array<bigint>"))
 
 
+def shingle_hashes(line: Column, n: int) -> Column:
+    """The distinct ones of `all_hashes`."""
+    return F.array_distinct(all_hashes(line, n))
+
+
 def prefix(size: Column, similarity: float) -> Column:
     """How many first shingles, in any one order, two sets must share one of to reach the similarity."""
     return size - F.ceil(size * F.lit(similarity) - 1e-9).cast("int") + 1
@@ -95,7 +100,7 @@ def parities(texts: DataFrame, n: int) -> DataFrame:
     """(id, hint) of lines (id, line, copy), one for all copies: the number of distinct shingles and, for each of 64 * PARITIES classes of hashes, whether it holds an odd number of them."""
     each = texts.select("id", "copy", F.explode(shingle_hashes(F.col("line"), n)).alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    odd = (F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES))
+    odd = (F.bit_xor(F.when(word == i, bit).otherwise(0)).alias(f"p{i}") for i in range(PARITIES))
     return each.groupBy("id", "copy").agg(F.count("*").cast("int").alias("n"), *odd).dropDuplicates(["id"]).select("id", F.struct("n", *(f"p{i}" for i in range(PARITIES))).alias("hint"))
 
 
@@ -125,11 +130,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """
     new = fresh(docs, "n_lines", "n_dropped", "_h", "_k2", "_h2", "_drop")
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= min_chars)
-    split = base.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("line", normal(F.col("line"))).where(F.length("line") >= min_chars)
-    coded = split.withColumns({"digest": F.unhex(F.md5("line")), "pick": F.xxhash64("k", "h", "i")})
+    split = base.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("i", "line"))
+    long_enough = F.col("line").rlike(r"\S") if min_chars == 1 else F.length(normal(F.col("line"))) >= min_chars  # the same, but the pattern ends at once
+    coded = split.where(long_enough).withColumn("line", normal(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
     short = F.sort_array(F.transform(shingle_hashes(F.col("line"), shingle_chars), lambda x: F.hash(x)))
     tiny = F.when(F.length("line") <= TINY, F.slice(short, F.lit(1), prefix(F.size(short), similarity)))
-    signed = coded.select("k", "h", "i", "digest", F.size(F.split("line", " ")).alias("m"), F.when(F.length("line") >= shingle_chars, sketch(F.col("line"))).alias("s"), tiny.alias("t"))
+    signed = coded.select("k", "h", "i", "digest", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("m"), F.when(F.length("line") >= shingle_chars, sketch(F.col("line"))).alias("s"), tiny.alias("t"))
     lines = stored(signed)
 
     def two(column: str, at: int) -> Column:
@@ -143,30 +149,25 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     members = shared(bands(classes))
     wanted = durable(members.select("id").distinct().join(classes.select("id", "digest", "pick"), "id"))
-    met = coded.select("digest", "pick", "line").join(broadcast_if_small(wanted), ["digest", "pick"])
-    texts = stored(met.select("id", "line", F.monotonically_increasing_id().alias("copy")))  # repeated rows give copies
+    met = split.withColumn("pick", F.xxhash64("k", "h", "i")).join(broadcast_if_small(wanted), "pick").withColumn("line", normal(F.col("line")))
+    texts = stored(met.where(F.unhex(F.md5("line")) == F.col("digest")).select("id", "line", F.monotonically_increasing_id().alias("copy")))  # repeated rows give copies
     step = 1.0001 * max(math.log(1 / similarity), 0.01)  # sizes of alike lines are at most one grade apart
     hints = stored(parities(texts, shingle_chars).withColumn("grade", F.floor(F.log(F.greatest("hint.n", F.lit(1))) / step).cast("int")))
 
-    def possible(x: Column, y: Column) -> Column:
-        """Whether sizes and parities allow the similarity: sets that differ in d shingles differ in at most d parities."""
+    def possible(x: Column, y: Column, share: float = 1.0) -> Column:
+        """Whether sizes and parities allow the similarity: sets that differ in d shingles differ in at most d parities.
+        A lower share asks for so much fewer, which the most alike have."""
         na, nb = x["n"], y["n"]
         differ = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITIES)), F.lit(0))
-        return (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
+        return (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= share * (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
 
     def alike(pairs: DataFrame) -> DataFrame:
         hinted = pairs.join(hints.select(F.col("id").alias("a"), F.col("hint").alias("ha")), "a").join(hints.select(F.col("id").alias("b"), F.col("hint").alias("hb")), "b")
-        near = hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b")
+        near = hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b", (F.col("ha.n") + F.col("hb.n")).alias("n"))
         both = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-
-        # in lambdas, so that each set is made once
-        sets = F.array(F.struct(shingle_hashes(F.col("la"), shingle_chars).alias("a"), shingle_hashes(F.col("lb"), shingle_chars).alias("b")))
-
-        def agree(s: Column) -> Column:
-            na, nb = F.size(s["a"]), F.size(s["b"])
-            return F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda m: m >= similarity * (na + nb - m) - 1e-9)
-
-        return both.where(F.exists(sets, agree)).select("a", "b").distinct()
+        # m of n - m shingles are shared; each line's hashes occur once here, so that they are made once
+        m = F.size(F.array_intersect(all_hashes(F.col("la"), shingle_chars), all_hashes(F.col("lb"), shingle_chars)))
+        return both.where(m * (1 + similarity) >= similarity * F.col("n") - 1e-9).select("a", "b").distinct()
 
     roots = joined(members, alike, hints, possible, lambda ids: rarest(texts.join(ids, "id", "left_semi"), shingle_chars, similarity))
     many = classes.select("id", "digest", "copies").join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL")
