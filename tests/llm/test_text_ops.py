@@ -586,3 +586,16 @@ def test_unlike_copies_of_a_long_line_are_ruled_out_unread(spark, monkeypatch):
     monkeypatch.setattr("tidelake.llm.components.MANY_OPEN", 0, raising=False)
     assert left_lines(spark, rows) == brute_lines(rows) == 100
     assert sum(seen[1:]) < 1000
+
+
+def test_components_end_once_they_are_stars(spark, monkeypatch):
+    """Stars need no round, a short chain few; every round is jobs and plans that the driver holds."""
+    from tidelake.llm import components as module
+
+    rounds, durable = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df: (rounds.append(1), durable(df))[1])
+    stars = components(spark.createDataFrame([(1, 2), (3, 1), (7, 5), (5, 5), (None, 1)], "a long, b long"))
+    assert sorted(map(tuple, stars.collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 5)] and len(rounds) == 1
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert sorted(map(tuple, chain.collect())) == [(i, 0) for i in range(41)]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
