@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import broadcast_if_small, durable, fresh, stored
+from tidelake.llm.common import BROADCAST_BYTES, broadcast_if_small, fresh, passing, stored
 from tidelake.llm.components import joined, shared
 
 #: Characters of a sketch shingle, and how many of them make a sketch.
@@ -106,30 +106,15 @@ def parities(texts: DataFrame, n: int) -> DataFrame:
 
 def rarest(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """Rows (key, id) by which no two alike lines miss each other: the prefix of each line's shingles, the rarest first."""
-    each = durable(texts.dropDuplicates(["id"]).select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h")))
+    each = stored(texts.dropDuplicates(["id"]).select("id", F.explode(shingle_hashes(F.col("line"), n)).alias("h")))
     counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
     ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))  # a line's own shingles
     return ordered.select("id", F.explode(F.slice("s", F.lit(1), prefix(F.size("s"), similarity))).alias("x")).select(F.xxhash64(F.lit(4), "x.h").alias("key"), "id")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 1) -> DataFrame:
-    """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
-
-    Lines that are equal once lower-cased, with white space as single spaces, and trimmed, or whose sets of
-    `shingle_chars`-character shingles have a Jaccard similarity of `similarity` or more, are linked; of each
-    connected component one line stays in the corpus, the first by (key, text hash, place). Lines of under `min_chars`
-    characters are structure: they always stay; by default only blank ones are.
-
-    Equal lines become one class first, with a number. A class's signature are the first
-    SKETCH of its longer character shingles in the order of hashes; bands are neighbours in it (see `bands`,
-    `components.joined`): two lines of whose sketch shingles three fifths agree share one with a chance of 0.97. The members of large buckets that
-    stars leave open are looked up by the rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
-    spared, every other is verified on the shingles of its whole lines (by hashes of 64 bits). Links are joined by
-    distributed union-find. A document that loses every line has an empty text; null stays null. Rows of one key and
-    text are one document, answered alike. Columns are kept; the new ones get a trailing `_` where their names are taken.
-    """
-    new = fresh(docs, "n_lines", "n_dropped", "_h", "_k2", "_h2", "_drop")
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= min_chars)
+def _repeated(docs: DataFrame, similarity: float, shingle_chars: int, min_chars: int) -> DataFrame:
+    """Rows (k, h, i) of documents (k, t) that lose lines: the key, the hash of the text and the places of these lines (see `dedup_lines`)."""
+    base = docs.where(F.length("t") >= min_chars)
     split = base.select("k", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("i", "line"))
     long_enough = F.col("line").rlike(r"\S") if min_chars == 1 else F.length(normal(F.col("line"))) >= min_chars  # the same, but the pattern ends at once
     coded = split.where(long_enough).withColumn("line", normal(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
@@ -148,7 +133,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
 
     members = shared(bands(classes))
-    wanted = durable(members.select("id").distinct().join(classes.select("id", "digest", "pick"), "id"))
+    wanted = stored(members.select("id").distinct().join(classes.select("id", "digest", "pick"), "id"))
     met = split.withColumn("pick", F.xxhash64("k", "h", "i")).join(broadcast_if_small(wanted), "pick").withColumn("line", normal(F.col("line")))
     texts = stored(met.where(F.unhex(F.md5("line")) == F.col("digest")).select("id", "line", F.monotonically_increasing_id().alias("copy")))  # repeated rows give copies
     step = 1.0001 * max(math.log(1 / similarity), 0.01)  # sizes of alike lines are at most one grade apart
@@ -161,21 +146,49 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
         differ = sum((F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITIES)), F.lit(0))
         return (F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= share * (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
 
+    def of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of ids in stored pairs; those of few pairs are found where they lie, so the others do not move."""
+        few = pairs.count() * 300 <= BROADCAST_BYTES
+        return rows.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "id", "left_semi") if few else rows
+
     def alike(pairs: DataFrame) -> DataFrame:
-        hinted = pairs.join(hints.select(F.col("id").alias("a"), F.col("hint").alias("ha")), "a").join(hints.select(F.col("id").alias("b"), F.col("hint").alias("hb")), "b")
-        near = hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b", (F.col("ha.n") + F.col("hb.n")).alias("n"))
-        both = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+        known = of(hints.select("id", "hint"), pairs)
+        hinted = pairs.join(known.select(F.col("id").alias("a"), F.col("hint").alias("ha")), "a").join(known.select(F.col("id").alias("b"), F.col("hint").alias("hb")), "b")
+        near = stored(hinted.where(possible(F.col("ha"), F.col("hb"))).select("a", "b", (F.col("ha.n") + F.col("hb.n")).alias("n")))
+        read = of(texts.select("id", "line"), near)
+        both = near.join(read.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(read.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
         # m of n - m shingles are shared; each line's hashes occur once here, so that they are made once
         m = F.size(F.array_intersect(all_hashes(F.col("la"), shingle_chars), all_hashes(F.col("lb"), shingle_chars)))
         return both.where(m * (1 + similarity) >= similarity * F.col("n") - 1e-9).select("a", "b").distinct()
 
     roots = joined(members, alike, hints, possible, lambda ids: rarest(texts.join(ids, "id", "left_semi"), shingle_chars, similarity))
     many = classes.select("id", "digest", "copies").join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL")
-    groups = durable(many.select("digest", F.coalesce("root", "id").alias("root")))
+    groups = stored(many.select("digest", F.coalesce("root", "id").alias("root")))
     place = F.struct("k", "h", "i")
-    held = durable(lines.select("digest", "k", "h", "i").join(broadcast_if_small(groups), "digest").select("root", "k", "h", "i"))
+    held = stored(lines.select("digest", "k", "h", "i").join(broadcast_if_small(groups), "digest").select("root", "k", "h", "i"))
     stays = held.groupBy("root").agg(F.min(place).alias("keep"))
-    drops = held.join(stays, "root").where(place != F.col("keep")).groupBy(F.col("k").alias(new[3]), F.col("h").alias(new[4])).agg(F.collect_set("i").alias(new[5]))
+    return held.join(stays, "root").where(place != F.col("keep")).groupBy("k", "h").agg(F.collect_set("i").alias("i"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_chars: int = 5, min_chars: int = 1) -> DataFrame:
+    """Every document with its repeated lines removed, and `n_lines` and `n_dropped`.
+
+    Lines that are equal once lower-cased, with white space as single spaces, and trimmed, or whose sets of
+    `shingle_chars`-character shingles have a Jaccard similarity of `similarity` or more, are linked; of each
+    connected component one line stays in the corpus, the first by (key, text hash, place). Lines of under `min_chars`
+    characters are structure: they always stay; by default only blank ones are.
+
+    Equal lines become one class first, with a number. A class's signature are the first
+    SKETCH of its longer character shingles in the order of hashes; bands are neighbours in it (see `bands`,
+    `components.joined`): two lines of whose sketch shingles three fifths agree share one with a chance of 0.97. The members of large buckets that
+    stars leave open are looked up by the rarest of their verified shingles instead, which loses nothing. Pairs that sizes and shingle parities rule out are
+    spared, every other is verified on the shingles of its whole lines (by hashes of 64 bits). Links are joined by
+    distributed union-find. A document that loses every line has an empty text; null stays null. Rows of one key and
+    text are one document, answered alike. Columns are kept; the new ones get a trailing `_` where their names are taken.
+    """
+    new = fresh(docs, "n_lines", "n_dropped", "_h", "_k2", "_h2", "_drop")
+    with passing(docs.sparkSession):
+        drops = stored(_repeated(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), similarity, shingle_chars, min_chars), last=True).toDF(*new[3:])
 
     keyed = docs.withColumn(new[2], F.xxhash64(text))
     out = keyed.join(drops, keyed[key].eqNullSafe(drops[new[3]]) & (keyed[new[2]] == drops[new[4]]), "left")
