@@ -4,7 +4,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tidelake import workspace
 from tidelake.llm import common, components, line_dedup, near_dedup
+from tidelake.operators import quality
+from tidelake.sources import files
 
 LINE = "a long line number {} about the harbour and the prices of grain at the market in spring"
 
@@ -31,13 +34,13 @@ def test_shuffle_files_go_with_their_query(spark):
     def shuffled():
         return spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 10).count()
 
-    files = lambda: sum(1 for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _ in Path(d).rglob("shuffle_*.data"))
+    left = lambda: sum(1 for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _ in Path(d).rglob("shuffle_*.data"))
     with common.passing(spark):
-        start = files()
+        start = left()
         for _ in range(5):
             stored(shuffled())
             shuffled().agg(F.sum("count")).first()
-            seen.append(files() - start)
+            seen.append(left() - start)
     assert max(seen) <= 4  # they go in the background; without it 5 times 2 to 4 each
 
 
@@ -54,3 +57,26 @@ def test_a_bucket_is_compared_in_one_place_until_it_is_large(spark, monkeypatch)
     monkeypatch.setattr(components, "BLOCK", 100)
     even = members.withColumn("grade", F.lit(0))
     assert near(components.open_pairs(even, possible)) == once and dealt
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / "in" / f"S{i}" / "tick").mkdir(parents=True)
+        (tmp_path / "in" / f"S{i}" / "tick" / "a.csv").write_text(f"timestamp,ask,bid,ask_vol,bid_vol\n2024-01-01 00:00:00+00:00,{i}.5,1.5,1,\n")
+    sc = spark.sparkContext
+    before = spark.conf.get(workspace.LISTERS)
+    sc.setJobGroup("listing", "")
+    try:
+        rows = files.scan_csv_tree(spark, str(tmp_path / "in"), "tick")
+    finally:
+        sc._jsc.clearJobGroup()
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 16 < 60
+    assert rows.count() == 60 and spark.conf.get(workspace.LISTERS) == before
+
+
+def test_steps_back_tell_the_rows_of_each_file(spark, tmp_path):
+    spark.createDataFrame([("A", t) for t in (1, 3, 2)] + [("B", t) for t in (1, 1)], "symbol string, timestamp long").repartition(1).write.partitionBy("symbol").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).select("symbol", "timestamp", F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row"))
+    assert sorted((r["symbol"], r["rows"], r["back"]) for r in quality.steps_back(table, "symbol").collect()) == [("A", 3, 1), ("B", 2, 0)]
